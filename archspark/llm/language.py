@@ -136,6 +136,18 @@ class _Rows(dict):
             self.clear()
 
 
+def _judged(text: str | None, model: LanguageModel | None, cache: _Rows | None) -> tuple[str, float, bool]:
+    words = _WORD.findall(text.lower()) if text and model else []
+    if not words:
+        return "und", 0.0, False
+    cache.start()
+    idx = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+    total = cache.table[idx].sum(axis=0)
+    p = np.exp(_log_softmax((total[:-2] / total[-2] + model.bias) / model.temperature))
+    best = int(p.argmax())
+    return model.languages[best], float(p[best]), bool(p[best] >= model.least_score and total[-1] / total[-2] >= model.least_seen)
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 
 
@@ -150,20 +162,23 @@ def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
         cache = _Rows(model) if model else None
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = _WORD.findall(text.lower()) if text and model else []
-                if not words:
-                    yield doc, "und", 0.0, False
-                    continue
-                cache.start()
-                idx = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-                total = cache.table[idx].sum(axis=0)
-                p = np.exp(_log_softmax((total[:-2] / total[-2] + model.bias) / model.temperature))
-                best = int(p.argmax())
-                yield doc, model.languages[best], float(p[best]), bool(p[best] >= model.least_score and total[-1] / total[-2] >= model.least_seen)
+                yield doc, *_judged(text, model, cache)
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda b: row_batches(rows(b), _OUT), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
+def accepted(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """The rows of documents, all columns, that `identify` accepts."""
+    at = documents.columns.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Rows(model) if model else None
+        for batch in batches:
+            yield batch.filter(pa.array([_judged(t, model, cache)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return documents.mapInArrow(rows, documents.schema)
+
+
 def fit(labelled: DataFrame) -> LanguageModel | None:
     """labelled(doc_id, text, lang) -> model, from SAMPLE rows of each of the LANGUAGES most frequent languages, those of the smallest id hashes."""
     known = labelled.where("lang is not null and text is not null").select(F.col("doc_id"), F.col("text"), F.col("lang"))

@@ -1,4 +1,8 @@
-"""Substring dedup by line hashing: the earliest occurrence of a line stays, later ones go, with offsets into the original text."""
+"""Substring dedup by line hashing: the earliest occurrence of a unit stays, later ones go, with offsets into the original text.
+
+A unit starts at a line and has as few lines as give it LEAST_WORDS words: mostly one line, or a run of short ones, so that a
+passage of several short lines is found wherever it stands. Units are compared by a 128-bit digest of their normal form.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 
 from archspark.llm.common import row_batches
 
-#: Lines of fewer words are too short to count as repeated passages.
+#: Units of fewer words are too short to count as repeated passages.
 LEAST_WORDS = 20
 
 _OUT = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("n_words", pa.int64())])
@@ -24,43 +28,69 @@ def normalised(line: str) -> list[str]:
     return _WORD.findall(line.lower())
 
 
+def spans(text: str, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, list[str]]]:
+    """Start, length and words of the units of a text; lines without a word start no unit, and none ends one."""
+    lines: list[tuple[int, int, list[str]]] = []
+    start = 0
+    for line in text.split("\n"):
+        if words := normalised(line):
+            lines.append((start, start + len(line), words))
+        start += len(line) + 1
+    last = total = 0
+    for i, (start, _, words) in enumerate(lines):
+        while last < len(lines) and total < least_words:
+            total += len(lines[last][2])
+            last += 1
+        if total < least_words:
+            return
+        yield start, lines[last - 1][1] - start, [w for _, _, ws in lines[i:last] for w in ws]
+        total -= len(words)
+
+
 def units(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per line of at least `least_words` words: 128-bit digest of its normal form, doc_id, start and length in code points, n_words."""
+    """One row per unit: 128-bit digest of its normal form, doc_id, start and length in code points, n_words."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                start = 0
-                for line in (text or "").split("\n"):
-                    if len(line) >= 2 * least_words - 1 and len(words := normalised(line)) >= least_words:
-                        d = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-                        yield (d >> 64) - (1 << 63), (d & (2**64 - 1)) - (1 << 63), doc, start, len(line), len(words)
-                    start += len(line) + 1
+                for start, length, words in spans(text or "", least_words):
+                    d = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
+                    yield (d >> 64) - (1 << 63), (d & (2**64 - 1)) - (1 << 63), doc, start, length, len(words)
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda b: row_batches(rows(b), _OUT, 10_000), "h1 long, h2 long, doc_id long, start long, length long, n_words long")
 
 
 def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """documents(doc_id, text) -> a row per line to remove: doc_id, start, length, n_words, first_doc_id, first_start.
+    """documents(doc_id, text) -> a row per unit to remove: doc_id, start, length, n_words, first_doc_id, first_start.
 
-    The occurrence of the smallest (doc_id, start) stays; null doc_ids come last. Null, empty and short lines are never
-    removed; of rows with one doc_id and one text, all count as the same place. An empty table gives no rows.
+    The occurrence of the smallest (doc_id, start) stays; null doc_ids come last. Null, empty and short texts have no units;
+    of rows with one doc_id and one text, all count as the same place. An empty table gives no rows. Spans may overlap.
     """
     every = units(documents, least_words)
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "start")
     firsts = every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    return every.join(firsts, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))).select("doc_id", "start", "length", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    later = every.join(firsts, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))))
+    return later.select("doc_id", "start", "length", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+
 
+def cut(text: str, gone: list[dict]) -> str:
+    """A text without spans, which may overlap, and without the line end after each."""
+    out, at = [], 0
+    for span in sorted(gone, key=lambda g: g["start"]):
+        out.append(text[at : max(at, span["start"])])
+        at = max(at, span["start"] + span["length"] + 1)
+    return "".join([*out, text[at:]])
 
-def without_lines(documents: DataFrame, spans: DataFrame) -> DataFrame:
-    """The documents without the given lines (and their line ends); n_chars is set anew. A document of which nothing but white space is left goes."""
+
+def without_lines(documents: DataFrame, removed: DataFrame) -> DataFrame:
+    """The documents without the given spans (and their line ends); n_chars is set anew, where there is one. A document of which nothing but white space is left goes."""
     columns = documents.columns
-    by_doc = spans.groupBy(F.col("doc_id").alias("span_doc")).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("gone"))
-    joined = documents.join(by_doc, documents["doc_id"] == by_doc["span_doc"], "left")
-    # text between the spans: each part runs from the end of one span (and its line end) to the start of the next
-    parts = F.expr(
-        "concat_ws('', transform(sequence(0, size(gone)), i -> substring(text, if(i = 0, 1, gone[i - 1].start + gone[i - 1].length + 2), "
-        "if(i = size(gone), char_length(text) + 1, gone[i].start + 1) - if(i = 0, 1, gone[i - 1].start + gone[i - 1].length + 2))))"
-    )
-    kept = joined.withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(parts)).where("gone is null or trim(left) != ''")
-    return kept.withColumn("text", F.col("left")).withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
+    by_doc = removed.groupBy(F.col("doc_id").alias("_span_doc")).agg(F.collect_set(F.struct("start", "length")).alias("_gone"))
+    joined = documents.join(by_doc, documents["doc_id"].eqNullSafe(by_doc["_span_doc"]), "left")
+
+    @F.arrow_udf("string")
+    def remaining(text: pa.Array, gone: pa.Array) -> pa.Array:
+        return pa.array([cut(t, g) if g and t else t for t, g in zip(text.to_pylist(), gone.to_pylist())], pa.string())
+
+    kept = joined.withColumn("_left", remaining("text", "_gone")).where("_gone is null or trim(_left) != ''").withColumn("text", F.col("_left"))
+    return (kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in columns else kept).select(*columns)
