@@ -5,9 +5,11 @@ it. Class sketches have COORDINATES bins: in round i every shingle is thrown int
 keeps its smallest value; rounds go on until every bin has one, and from round COORDINATES on, round i aims at bin
 i - COORDINATES, so all bins fill. Bands of ROWS coordinates are the buckets.
 
-Within a bucket no table of all pairs is made. First two members chosen by a hash are paired with all others, the pairs
-are verified on whole sets, and components are formed. Then only members of one bucket that are still in different
-components are paired, whatever their number. All pairs of one bucket are thus either tested or already connected.
+No table of all pairs of a bucket is made. First the smallest id of each bucket is paired with the others, the pairs are
+verified on whole sets, and components are formed. Then, in buckets that still hold several components, the members outside
+of the bucket's largest component meet all others, in blocks of bounded size; inside a task the sketches of a block are
+compared, and pairs that may be linked and aren't connected yet are verified on whole sets. All pairs of one bucket are thus
+either tested or already connected.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from archspark.llm.components import components
 COORDINATES, ROWS = 128, 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Sketch coordinates (of 128) that agree by chance in fewer than one linked pair in ten million; less is not verified.
-LEAST_AGREEING = 70
+#: Of COORDINATES coordinates kept as bytes, all but a few linked pairs in a million agree in so many; pairs with less are not verified.
+LEAST_AGREEING = 74
+#: Members of a bucket that one block holds.
+BLOCK = 512
 
 _A, _B = seeds(2 * COORDINATES, 11), seeds(2 * COORDINATES, 13)
 
@@ -70,30 +74,37 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sig = int(mixed(np.array([mixed(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].view(np.int64))
                 # sets of one or two shingles reach three quarters with equal sets only
                 bins = fast_sketch(s) if len(s) > 2 else None
-                yield doc, len(s), sig, band_keys(bins).tolist() if bins is not None else [], (bins >> np.uint64(48)).astype(np.uint16).tobytes() if bins is not None else b""
+                yield doc, len(s), sig, band_keys(bins).tolist() if bins is not None else [], (bins >> np.uint64(56)).astype(np.uint8).tobytes() if bins is not None else b""
 
     return row_batches(rows(), _SKETCHED)
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Keep the pairs whose sketches agree in at least LEAST_AGREEING coordinates."""
-    side = lambda p: classes.select(F.col("doc_id").alias(p), F.col("sketch").alias(f"sketch_{p}"))
+def _linked(s: np.ndarray, r: np.ndarray) -> bool:
+    both = len(np.intersect1d(s, r, assume_unique=True))
+    return 100 * both >= PERCENT * (len(s) + len(r) - both) > 0
+
+
+def _fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    side = lambda p: nodes.select(F.col("doc_id").alias(p), F.col("n").alias(f"n_{p}"), F.col("sketch").alias(f"sketch_{p}"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, COORDINATES) for i in (2, 3))
-            mask = pa.array((a == b).sum(axis=1) >= LEAST_AGREEING)
-            yield batch.select([0, 1]).filter(mask)
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (4, 5))
+            yield batch.select([0, 1]).filter(pa.array(((a == b).sum(axis=1) >= LEAST_AGREEING) & _fits(n, m)))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
     return both.mapInArrow(kept, "a long, b long")
 
 
-def _verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts_of: DataFrame) -> DataFrame:
     """Keep the pairs whose whole sets reach the similarity; texts go to the pairs, sets are made again in the task."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = stored(documents.join(needed, documents["doc_id"] == needed["id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    side = lambda p: wanted.select(F.col("doc_id").alias(p), F.col("text").alias(f"text_{p}"))
+    side = lambda p: texts_of.select(F.col("doc_id").alias(p), F.col("text").alias(f"text_{p}"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, sets = WordHashes(), {}
@@ -107,54 +118,115 @@ def _verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 
         for batch in batches:
             ids = [batch.column(i).to_pylist() for i in (0, 1)]
-            mask = []
-            for a, b, x, y in zip(*ids, texts(batch.column(2)), texts(batch.column(3))):
-                s, r = of(a, x), of(b, y)
-                both = len(np.intersect1d(s, r, assume_unique=True))
-                mask.append(100 * both >= PERCENT * (len(s) + len(r) - both))
+            mask = [_linked(of(a, x), of(b, y)) for a, b, x, y in zip(*ids, texts(batch.column(2)), texts(batch.column(3)))]
             yield batch.select([0, 1]).filter(pa.array(mask, pa.bool_()))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(kept, "a long, b long")
 
 
+_BLOCK_ARROW = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("docs", pa.list_(pa.int64())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("component", pa.list_(pa.int64()))])
+_LINK_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _candidates(rows: pa.Table) -> pa.Table:
+    """One block of a bucket: the pairs of a member outside of the largest component and a member of the block, of different components, that may be linked and have this bucket as their first; most alike first."""
+    doc, component, n, band = (rows.column(c).to_numpy() for c in ("doc_id", "component", "n", "band"))
+    minor, guest = (np.array(rows.column(c).to_pylist(), bool) for c in ("minor", "guest"))
+    sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    bands = np.array(rows.column("bands").to_pylist(), np.int64).reshape(len(doc), -1)
+    found: list[tuple[int, int, int]] = []
+    for i in np.flatnonzero(minor):
+        with_ = np.flatnonzero(~guest & (component != component[i]) & (~minor | (doc > doc[i])) & _fits(n, n[i]))
+        alike = (sketches[with_] == sketches[i]).sum(axis=1)
+        with_, alike = with_[alike >= LEAST_AGREEING], alike[alike >= LEAST_AGREEING]
+        first = (bands[with_] == bands[i]).argmax(axis=1) == band[i]
+        found += [(-int(x), int(i), int(j)) for x, j in zip(alike[first], with_[first])]
+    if not found:
+        return _BLOCK_ARROW.empty_table()
+    found.sort()
+    used, place = np.unique([(i, j) for _, i, j in found], return_inverse=True)
+    place = place.reshape(-1, 2)
+    values = (rows.column("key")[0].as_py(), rows.column("block")[0].as_py(), doc[used].tolist(), place[:, 0].tolist(), place[:, 1].tolist(), component[used].tolist())
+    return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(values, _BLOCK_ARROW)], schema=_BLOCK_ARROW)
+
+
+def _block_links(block: pa.Table, docs: pa.Table) -> pa.Table:
+    """Verify the candidates of a block on whole sets; those that links already connect are passed over."""
+    links: list[tuple[int, int]] = []
+    if block.num_rows:
+        own, cache = block.to_pylist()[0], WordHashes()
+        sets = {d: shingle_set(t, cache) for d, t in zip(docs.column("doc_id").to_pylist(), texts(docs.column("text")))}
+        root = {c: c for c in own["component"]}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for i, j in zip(own["a"], own["b"]):
+            x, y = top(own["component"][i]), top(own["component"][j])
+            if x != y and _linked(sets[own["docs"][i]], sets[own["docs"][j]]):
+                root[max(x, y)] = min(x, y)
+                links.append((own["docs"][i], own["docs"][j]))
+    return pa.Table.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=_LINK_ARROW)
+
+
+def _open_links(multi: DataFrame, comp: DataFrame, nodes: DataFrame, texts_of: DataFrame) -> DataFrame:
+    """Links between members of one bucket that are in different components so far."""
+    placed = multi.join(comp, multi["doc_id"] == comp["id"], "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    by_component = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
+    split = by_component.groupBy("key").agg(F.max(F.struct("size", F.col("component").alias("c"))).alias("largest"), F.sum("size").alias("total"), F.count("*").alias("parts"))
+    split = split.where("parts > 1").select("key", F.col("largest.c").alias("major"), F.ceil(F.col("total") / BLOCK).cast("int").alias("n_blocks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int")
+    minor = F.col("component") != F.col("major")
+    blocks = F.when(minor, F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(own))
+    dealt = placed.join(split, "key").select("key", "band", "doc_id", "component", minor.alias("minor"), own.alias("own"), F.explode(blocks).alias("block"))
+    dealt = dealt.join(nodes, "doc_id").select("key", "block", "band", "doc_id", "component", "minor", (F.col("own") != F.col("block")).alias("guest"), "n", "sketch", "bands")
+    found = stored(dealt.groupBy("key", "block").applyInArrow(_candidates, "key long, block int, docs array<long>, a array<int>, b array<int>, component array<long>"), "blocks")
+    wanted = found.select(F.col("key").alias("w_key"), F.col("block").alias("w_block"), F.explode("docs").alias("doc_id")).join(texts_of, "doc_id").select("w_key", "w_block", "doc_id", "text")
+    return found.groupBy("key", "block").cogroup(wanted.groupBy("w_key", "w_block")).applyInArrow(_block_links, "a long, b long")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """documents(doc_id, text) -> doc_id, n_shingles, component_id, kept, class_id, n_links (to documents of other classes, as far as verified).
+    """documents(doc_id, text) -> doc_id, n_shingles, component_id, kept, class_id.
 
-    Null and empty texts have no set and link with nothing. Rows of one doc_id and one text count once each and come back
-    each; a doc_id with several texts links as all of them. A row without doc_id comes back unlinked, with null
-    component_id, and is kept. An empty table gives no rows.
+    Null and empty texts have no set and link with nothing. Repeated rows come back each; a doc_id with several texts links as
+    all of them, verified on the first. A row without doc_id comes back unlinked, with null component_id, and is kept. An
+    empty table gives no rows.
     """
     documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = stored(documents.mapInArrow(_sketched, "doc_id long, n_shingles long, sig long, bands array<long>, sketch binary"), "sketches")
     own = rows.where("sig is not null and doc_id is not null")
     classes = stored(own.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    tied = own.join(classes.select("sig", F.col("doc_id").alias("class_id")), "sig").select("doc_id", "class_id", "n_shingles")
-    members = classes.select("doc_id", "n", F.explode("bands").alias("key"))
-    fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-
-    by = F.struct(F.xxhash64("key", "doc_id").alias("h"), "doc_id", "n")
-    centres = members.groupBy("key").agg(F.min(by).alias("low"), F.max(by).alias("high")).where("low.doc_id != high.doc_id")
-    met = members.join(centres, "key").select(F.col("doc_id").alias("m"), "n", F.explode(F.array("low", "high")).alias("c"))
-    pairs = met.select(F.least("m", "c.doc_id").alias("a"), F.greatest("m", "c.doc_id").alias("b"), F.col("n").alias("n_a"), F.col("c.n").alias("n_b")).where("a != b").where(fits).select("a", "b").distinct()
-    tested = stored(_agreeing(pairs, classes), "tested")
-    links = stored(_verified(tested, documents), "links")
-    comp = stored(components(links.union(tied.where("doc_id != class_id").select("doc_id", "class_id"))), "components")
-
-    placed = members.join(comp, members["doc_id"] == comp["id"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    open_ = stored(placed.join(split, "key", "left_semi"), "open")
-    left, right = (open_.select("key", F.col("doc_id").alias(p), F.col("n").alias(f"n_{p}"), F.col("component").alias(f"c_{p}")) for p in "ab")
-    rest = left.join(right, "key").where("a < b and c_a != c_b").where(fits).select("a", "b").distinct()
-    more = stored(_verified(stored(_agreeing(rest.join(tested, ["a", "b"], "left_anti"), classes), "rest"), documents), "more")
-    if more.isEmpty():
-        final, every = comp, links
-    else:
-        every = links.union(more).distinct()
-        final = components(every.union(tied.where("doc_id != class_id").select("doc_id", "class_id")))
-    counts = every.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    placing = own.select("doc_id", "sig").join(classes.select("sig", F.col("doc_id").alias("class_id")), "sig").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    placing = placing.join(final, placing["doc_id"] == final["id"], "left").join(counts, "class_id", "left").select("doc_id", "class_id", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    tied = own.select("doc_id", "sig").join(classes.select("sig", F.col("doc_id").alias("class_id")), "sig").select("doc_id", "class_id")
+    copies = tied.where("doc_id != class_id")
+
+    members = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    least = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("key", "centre")
+    multi = stored(members.join(least, "key").select("key", F.col("band").cast("short").alias("band"), "doc_id", "centre"), "members")
+    needed = multi.select("doc_id").distinct()
+    nodes = stored(classes.join(needed, "doc_id", "left_semi").select("doc_id", "n", "sketch", "bands"), "nodes")
+    texts_of = stored(documents.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+
+    pairs = multi.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = stored(_verified(stored(_likely(pairs, nodes), "likely"), texts_of), "links")
+    comp = stored(components(links.union(copies)), "components")
+    more = stored(_open_links(multi.select("key", "band", "doc_id"), comp, nodes, texts_of).distinct(), "more")
+
+    def placed(links: DataFrame, of: DataFrame) -> DataFrame:
+        """Component of both ends of the links."""
+        for p in "ab":
+            links = links.join(of.select(F.col("id").alias(p), F.col("component").alias(f"c_{p}")), p, "left").withColumn(p, F.coalesce(f"c_{p}", p)).drop(f"c_{p}")
+        return links.select("a", "b")
+
+    final = comp
+    if not more.isEmpty():
+        joined = components(placed(more, comp)).select(F.col("id").alias("old"), F.col("component").alias("new"))
+        every = comp.union(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left_anti").select("id", F.col("id").alias("component")))
+        final = stored(every.join(joined, every["component"] == joined["old"], "left").select("id", F.coalesce("new", "component").alias("component")), "components")
+    placing = tied.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    placing = placing.join(final, placing["doc_id"] == final["id"], "left").select("doc_id", "class_id", F.coalesce("component", "doc_id").alias("component_id"))
     return rows.select("doc_id", "n_shingles").join(placing, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id")
     )
