@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,10 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archspark.llm.common import CACHE_WORDS, mixed, partitions, row_batches, stored, texts
+from archspark.llm.common import mixed, partitions, row_batches, stored, texts
 
 LENGTH, END = 2048, 1
 DIMS, BITS = 4, 8
+#: Runs whose ids a worker keeps; about 130 bytes each.
+CACHED_RUNS = 1_200_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -42,16 +45,22 @@ class Encoder:
         self.tokenizer, self.cache = _tokenizer(path), {}
 
     def encode(self, batch: list[bytes]) -> list[np.ndarray]:
-        if len(self.cache) >= CACHE_WORDS:
+        if len(self.cache) >= CACHED_RUNS:
             self.cache.clear()
         # special tokens are looked up before lower-casing
         runs = [t.split() if b"<|" in t else t.lower().split() for t in batch]
-        new = list({r for words in runs for r in words} - self.cache.keys())
-        for r, e in zip(new, self.tokenizer.encode_batch([r.decode() for r in new], add_special_tokens=False)):
-            self.cache[r] = np.array(e.ids, "<u4").tobytes()
+        new = list(set().union(*runs) - self.cache.keys())
+        for r, e in zip(new, self.tokenizer.encode_batch_fast([r.decode() for r in new], add_special_tokens=False)):
+            self.cache[r] = array("I", e.ids).tobytes()
         return [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4") for words in runs]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One per Python worker, so that tasks that follow each other share its cache."""
+    return Encoder(path)
+
+
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     """(n, dims) cells in [0, 2^bits) -> position along the Hilbert curve of that grid."""
     x = [c.copy() for c in cells.astype(np.int64).T]
@@ -89,7 +98,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 
 
 def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path)
+    encoder = _encoder(path)
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
