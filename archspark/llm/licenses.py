@@ -179,8 +179,9 @@ def likeness(family: str, ws: list[str]) -> float:
 
 def fit(documents: DataFrame) -> LicenceModel:
     """The model for a corpus: the unknown class is trained on paragraphs of the SAMPLE documents of the smallest id hashes."""
-    sample = documents.where("text is not null").select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(SAMPLE)
-    texts = [r["text"] for r in sample.select("text").collect()]
+    keyed = documents.where("text is not null").select("text", F.xxhash64("doc_id").alias("h"))
+    least = [r["h"] for r in keyed.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]  # the hashes alone, as texts are long
+    texts = sorted(r["text"] for r in keyed.where(F.col("h") <= F.lit(least[-1])).select("text").distinct().limit(2 * SAMPLE).collect()) if least else []
     sure = re.compile(r"(?i)licen[sc]e|copyright|rights reserved|spdx|public domain")
     return train([p for t in texts for p in t.split("\n")[:40] if p.strip() and not sure.search(p)][:4000])
 

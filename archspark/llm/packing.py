@@ -26,7 +26,7 @@ from archspark.llm.common import mixed, partitions, row_batches, stored, texts
 LENGTH, END = 2048, 1
 DIMS, BITS = 4, 8
 #: Runs whose ids a worker keeps; about 130 bytes each.
-CACHED_RUNS = 1_200_000
+CACHED_RUNS = 1_500_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -39,21 +39,57 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Token ids of texts. No token of this tokenizer spans white space, so ids are cached by run of other bytes, and texts joined from them."""
+    """Token ids of texts. No token of this tokenizer spans white space, so ids are cached by run of other bytes, and texts joined from them.
+
+    Runs of letters are one word each to the tokenizer, so many are encoded as one text and told apart by the tokens that end
+    a word; a full stop or comma after letters is a word of its own.
+    """
+
+    JOINED = 200
 
     def __init__(self, path: str):
         self.tokenizer, self.cache = _tokenizer(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
 
     def encode(self, batch: list[bytes]) -> list[np.ndarray]:
         if len(self.cache) >= CACHED_RUNS:
             self.cache.clear()
         # special tokens are looked up before lower-casing
         runs = [t.split() if b"<|" in t else t.lower().split() for t in batch]
-        new = list(set().union(*runs) - self.cache.keys())
-        for r, e in zip(new, self.tokenizer.encode_batch_fast([r.decode() for r in new], add_special_tokens=False)):
-            self.cache[r] = array("I", e.ids).tobytes()
+        self._add(set().union(*runs) - self.cache.keys())
         return [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4") for words in runs]
 
+    def _add(self, new: set[bytes]) -> None:
+        cache, marked, letters, other = self.cache, [], set(), set()
+        for run in new:
+            word = run.decode()
+            if word[-1] in ".," and word[:-1].isalpha():
+                marked.append((run, run[:-1], word[-1]))
+                run, word = run[:-1], word[:-1]
+                if run in cache:
+                    continue
+            (letters if word.isalpha() and word == word.lower() else other).add(word)
+        words = list(letters)
+        parts = [words[i : i + self.JOINED] for i in range(0, len(words), self.JOINED)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stops) != len(part):
+                other.update(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for word, stop in zip(part, stops):
+                cache[word.encode()] = raw[at:stop]
+                at = stop
+        single = list(other)
+        for word, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False)):
+            cache[word.encode()] = array("I", e.ids).tobytes()
+        for run, word, mark in marked:
+            cache[run] = cache[word] + self.marks[mark]
+
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
