@@ -66,7 +66,7 @@ class Encoder:
         cache, marked, letters, other = self.cache, [], set(), set()
         for run in new:
             word = run.decode()
-            if word[-1] in ".," and word[:-1].isalpha():
+            if word[-1] in ".," and word[:-1].isalpha() and word == word.lower():
                 marked.append((run, run[:-1], word[-1]))
                 run, word = run[:-1], word[:-1]
                 if run in cache:
