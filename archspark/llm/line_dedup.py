@@ -7,6 +7,7 @@ passage of several short lines is found wherever it stands. Units are compared b
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -85,12 +86,13 @@ def cut(text: str, gone: list[dict]) -> str:
 def without_lines(documents: DataFrame, removed: DataFrame) -> DataFrame:
     """The documents without the given spans (and their line ends); n_chars is set anew, where there is one. A document of which nothing but white space is left goes."""
     columns = documents.columns
-    by_doc = removed.groupBy(F.col("doc_id").alias("_span_doc")).agg(F.collect_set(F.struct("start", "length")).alias("_gone"))
-    joined = documents.join(by_doc, documents["doc_id"].eqNullSafe(by_doc["_span_doc"]), "left")
+    of, gone, left = (f"_{name}_{uuid.uuid4().hex}" for name in ("of", "gone", "left"))  # no column of documents is called that
+    by_doc = removed.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set(F.struct("start", "length")).alias(gone))
+    joined = documents.join(by_doc, documents["doc_id"].eqNullSafe(by_doc[of]), "left")
 
     @F.arrow_udf("string")
     def remaining(text: pa.Array, gone: pa.Array) -> pa.Array:
         return pa.array([cut(t, g) if g and t else t for t, g in zip(text.to_pylist(), gone.to_pylist())], pa.string())
 
-    kept = joined.withColumn("_left", remaining("text", "_gone")).where("_gone is null or trim(_left) != ''").withColumn("text", F.col("_left"))
-    return (kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in columns else kept).select(*columns)
+    kept = joined.withColumn(left, remaining("text", gone)).where(F.col(gone).isNull() | (F.trim(left) != "")).withColumn("text", F.col(left))
+    return (kept.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(documents.schema["n_chars"].dataType)) if "n_chars" in columns else kept).select(*columns)
