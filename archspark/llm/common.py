@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +48,28 @@ def crc_mod(key, mod: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % mod
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept_in_worker(owner: str, make: Callable[[], object]) -> object:
+    """One object per Python worker, for tasks of one operator that follow each other; another operator's is let go."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = make()
+    return _KEPT[owner]
+
+
+def nothing_kept() -> None:
+    """Let go of what tasks of another operator kept in this Python worker."""
+    _KEPT.clear()
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; emptied when it holds CACHE_WORDS entries."""
 
+    def __init__(self):
+        nothing_kept()
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archspark.llm.common import CACHE_WORDS, row_batches
+from archspark.llm.common import CACHE_WORDS, nothing_kept, row_batches
 
 SAMPLE, LANGUAGES = 1200, 200
 BUCKETS, DIM, EPOCHS = 1 << 15, 16, 3
@@ -119,6 +119,7 @@ class _Rows(dict):
     """word -> row of summed logits, number of subwords and of those seen in training."""
 
     def __init__(self, model: LanguageModel):
+        nothing_kept()
         self.model, self.table = model, np.zeros((1024, len(model.languages) + 2))
 
     def __missing__(self, word: str) -> int:

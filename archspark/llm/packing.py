@@ -21,12 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archspark.llm.common import mixed, partitions, row_batches, stored, texts
+from archspark.llm.common import kept_in_worker, mixed, partitions, row_batches, stored, texts
 
 LENGTH, END = 2048, 1
 DIMS, BITS = 4, 8
-#: Runs whose ids a worker keeps; about 130 bytes each.
-CACHED_RUNS = 1_500_000
+#: Runs whose ids a worker keeps; about 200 bytes each.
+CACHED_RUNS = 800_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -91,12 +91,6 @@ class Encoder:
             cache[run] = cache[word] + self.marks[mark]
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    """One per Python worker, so that tasks that follow each other share its cache."""
-    return Encoder(path)
-
-
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     """(n, dims) cells in [0, 2^bits) -> position along the Hilbert curve of that grid."""
     x = [c.copy() for c in cells.astype(np.int64).T]
@@ -134,7 +128,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 
 
 def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encoder = _encoder(path)
+    encoder = kept_in_worker(f"encoder {path}", lambda: Encoder(path))  # tasks that follow each other share its cache
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
