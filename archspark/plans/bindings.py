@@ -330,7 +330,7 @@ def t1_sensitivity(spark, sf):
 _TOK = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9_/{{}}-]+'), lambda t: t <> '')"
 _RANKED = f"""WITH q AS (SELECT item_id AS query, token, count(*) AS n FROM (SELECT item_id, unnest({_TOK.format('text')}) AS token FROM benchmark) GROUP BY ALL),
   e AS (SELECT doc_id AS id, unnest(list_distinct({_TOK.format('text')})) AS token, 1.2 AS w FROM documents UNION ALL SELECT doc_id, unnest(list_distinct({_TOK.format('source')})), 1.8 FROM documents),
-  m AS (SELECT query, id, round(sum(n * w) + 0.3 * any_value(CASE lang WHEN 'en' THEN 3 WHEN 'de' THEN 2 ELSE 1 END), 4) AS score FROM q JOIN e USING (token) JOIN documents ON doc_id = id GROUP BY query, id)
+  m AS (SELECT query, id, round(CAST(sum(n * w) + 0.3 * any_value(CASE lang WHEN 'en' THEN 3 WHEN 'de' THEN 2 ELSE 1 END) AS DOUBLE), 4) AS score FROM q JOIN e USING (token) JOIN documents ON doc_id = id GROUP BY query, id)
   SELECT query, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM m) WHERE place <= 20"""
 
 
