@@ -22,8 +22,10 @@ from archspark.llm.common import CACHE_WORDS, nothing_kept, row_batches
 SAMPLE, LANGUAGES = 1200, 200
 BUCKETS, DIM, EPOCHS = 1 << 15, 16, 3
 SUBWORDS = (2, 3, 4)
-#: Share of validation texts that calibration lets each rejection rule reject.
+#: Share of validation texts, plain ones and mixtures of two languages, that calibration lets each rejection rule reject.
 REJECTED = 0.0005
+#: Where the least score lies between chance (0) and that calibrated quantile (1): uncertain texts of known languages stay, and only near-even ones go.
+MARGIN = 0.25
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -107,7 +109,20 @@ def train(examples: list[tuple[str, str]], seed: int = 1) -> LanguageModel | Non
             best, temperature = loss, float(t)
     top = np.exp(_log_softmax(z / temperature)).max(axis=1)
     covered = np.array([seen[features[i]].mean() for i in check])
-    return LanguageModel(languages, table, seen, b.astype(np.float64), temperature, min(float(np.quantile(top, REJECTED)), 0.6), min(float(np.quantile(covered, REJECTED)), 0.5))
+    mixed = np.exp(_log_softmax(_mixtures(table, b, [features[i] for i in check], labels[check], rng) / temperature)).max(axis=1)
+    top = np.r_[top, mixed]
+    chance = 1 / len(languages)
+    return LanguageModel(languages, table, seen, b.astype(np.float64), temperature, min(chance + MARGIN * max(0.0, float(np.quantile(top, REJECTED)) - chance), 0.6), min(float(np.quantile(covered, REJECTED)), 0.5))
+
+
+def _mixtures(table: np.ndarray, bias: np.ndarray, features: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Logits of validation windows, each joined to one of another language: a text that mixes known languages is no unknown one."""
+    logits = []
+    for i, sub in enumerate(features):
+        others = np.flatnonzero(labels != labels[i])
+        if len(others):
+            logits.append(table[np.r_[sub, features[rng.choice(others)]]].mean(axis=0))
+    return np.array(logits).reshape(-1, table.shape[1]) + bias
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
