@@ -103,3 +103,18 @@ def chatty(calls: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("method").orderBy("pos"))
     tag = F.when(F.col("reverse") < F.col("order"), "cyclic").when(F.col("nth") > 1, "chatty").otherwise("none")
     return external.withColumn("nth", nth).join(first, ["src", "dst"], "left").select("method", "pos", "src", "dst", F.col("nth").cast("long").alias("nth"), tag.alias("tag"))
+
+
+def coupling(edges: DataFrame, threshold: int) -> DataFrame:
+    """(id, neighbours, colour): distinct neighbours in either direction, self loops left out; red above the threshold, orange above half of it, green else."""
+    links = edges.where("src != dst").select("src", "dst")
+    both = links.union(links.select("dst", "src")).toDF("id", "other").distinct()
+    n = F.col("neighbours")
+    colour = F.when(n > threshold, "red").when(n > threshold / 2, "orange").otherwise("green")
+    return both.groupBy("id").agg(F.count("*").alias("neighbours")).select("id", "neighbours", colour.alias("colour"))
+
+
+def shared_imports(imports: DataFrame) -> DataFrame:
+    """imports(service, name): the distinct rows whose name more than one service imports."""
+    rows = imports.select("service", "name").where("service is not null").distinct()
+    return rows.join(rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "name", "left_semi").select("service", "name")

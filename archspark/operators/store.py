@@ -65,3 +65,8 @@ def budget_step(spend: DataFrame, steps: DataFrame, budget: float, ceiling: int)
     used = spend.select("day", F.round(100 * to_date / budget, 4).alias("percent"))
     met = used.join(F.broadcast(steps), F.col("at_percent") <= F.col("percent"), "left").groupBy("day", "percent").agg(F.max_by("capacity", "at_percent").alias("declared"))
     return met.select("day", "percent", F.greatest(F.lit(1), F.least(F.coalesce("declared", F.lit(ceiling)), F.lit(ceiling))).alias("capacity"))
+
+
+def append_new(kept: DataFrame, fetched: DataFrame, key: list[str]) -> DataFrame:
+    """The kept rows and those fetched ones whose key is not among them."""
+    return kept.unionByName(fetched.join(kept.select(*key).distinct(), key, "left_anti"))

@@ -418,3 +418,23 @@ def s3_budget_steps(spark, sf):
     spend = _t(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("cost"))
     steps = spark.createDataFrame([(0, 100), (50, 50), (75, 20), (90, 1)], "at_percent int, capacity int")
     return store.budget_step(spend, steps, 5e7, 80).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "percent", "capacity")
+
+
+# --- view-level graphs
+@query(f"""WITH f AS ({_flows_sql()}), b AS (SELECT src AS id, dst AS other FROM f UNION SELECT dst, src FROM f)
+  SELECT id, count(*) AS neighbours, CASE WHEN count(*) > 4 THEN 'red' WHEN count(*) > 2 THEN 'orange' ELSE 'green' END AS colour FROM b GROUP BY id""")
+def v1_coupling_colours(spark, sf):
+    return graph.coupling(flows(spark, sf), 4)
+
+
+@query("SELECT DISTINCT l_suppkey AS service, l_partkey AS name FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1)")
+def v1_shared_imports(spark, sf):
+    return graph.shared_imports(_t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("service"), F.col("l_partkey").alias("name")))
+
+
+@query("""WITH a AS (SELECT o_custkey AS id, min(o_orderkey) AS version FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS id, max(o_orderkey) AS version FROM orders GROUP BY 1)
+  SELECT id, version FROM a UNION ALL SELECT id, version FROM b WHERE id NOT IN (SELECT id FROM a)""")
+def v1_timeline_append(spark, sf):
+    o = _t(spark, sf, "orders")
+    done = o.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderkey").alias("version"))
+    return store.append_new(done, o.groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderkey").alias("version")), ["id"])
