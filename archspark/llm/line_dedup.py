@@ -1,7 +1,10 @@
-"""Substring dedup by line hashing: the earliest occurrence of a unit stays, later ones go, with offsets into the original text.
+"""Substring dedup by hashing: the earliest occurrence of a unit stays, later ones go, with offsets into the original text.
 
 A unit starts at a line and has as few lines as give it LEAST_WORDS words: mostly one line, or a run of short ones, so that a
-passage of several short lines is found wherever it stands. Units are compared by a 128-bit digest of their normal form.
+passage of several short lines is found wherever it stands. `repeated_passages` adds runs of RUN words wherever they begin,
+chosen by winnowing: of every PASSAGE words in a row, the run of the least hash is a unit, so a passage of PASSAGE words or more
+that repeats has a unit in common with its first occurrence, and the units of a longer one cover it but for fewer than
+PASSAGE - RUN + 1 words at either end. Units are compared by a 128-bit digest of their normal form.
 """
 
 from __future__ import annotations
@@ -10,18 +13,24 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archspark.llm.common import row_batches
+from archspark.llm.common import CACHE_WORDS, WordHashes, row_batches, seeds, shingles, stored
 
 #: Units of fewer words are too short to count as repeated passages.
 LEAST_WORDS = 20
+#: A repeat of PASSAGE words is found wherever it stands, by a run of RUN of its words.
+PASSAGE, RUN = 50, 26
 
-_OUT = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("n_words", pa.int64())])
+_OUT = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("n_words", pa.int64())])
+_COLUMNS = "h1 long, h2 long, doc_id long, text_hash long, start long, length long, n_words long"
 _WORD = re.compile(r"\w+")
+_GAP = re.compile(r"(\W+)")
+_SECOND = seeds(RUN, 31)
 
 
 def normalised(line: str) -> list[str]:
@@ -48,47 +57,110 @@ def spans(text: str, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int,
         total -= len(words)
 
 
-def units(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per unit: 128-bit digest of its normal form, doc_id, start and length in code points, n_words."""
+class _Normal(WordHashes):
+    """word -> hash of its normal form."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
+        return h
+
+
+def runs(text: str, cache: _Normal) -> Iterator[tuple[int, int, int, int]]:
+    """Digest (two halves), start and length of the winnowed runs of RUN words of a text; none where it has fewer than PASSAGE words."""
+    pieces = _GAP.split(text)
+    if len(pieces) < 2 * PASSAGE - 1:
+        return
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = lengths.cumsum()[::2]
+    starts = ends - lengths[::2]
+    words = pieces[::2]
+    some = slice(not words[0], len(words) - (not words[-1]))
+    words, starts, ends = words[some], starts[some], ends[some]
+    if len(words) < PASSAGE:
+        return
+    hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    first = shingles(hashes, RUN)
+    width = PASSAGE - RUN + 1
+    back = np.lib.stride_tricks.sliding_window_view(first, width)[:, ::-1].argmin(axis=1)
+    least = np.arange(width - 1, width - 1 + len(back)) - back  # the last least hash of each window; never falls
+    at = least[np.r_[True, least[1:] != least[:-1]]]
+    second = (hashes[at[:, None] + np.arange(RUN)] * _SECOND).sum(axis=1, dtype=np.uint64)
+    yield from zip(first[at].view(np.int64).tolist(), second.view(np.int64).tolist(), starts[at].tolist(), (ends[at + RUN - 1] - starts[at]).tolist())
+
+
+def units(documents: DataFrame, least_words: int = LEAST_WORDS, passages: bool = False) -> DataFrame:
+    """One row per unit: 128-bit digest of its normal form, doc_id and hash of the text, start and length in code points, n_words."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
+        cache = _Normal()
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text, text_hash in zip(*(c.to_pylist() for c in batch.columns)):
                 for start, length, words in spans(text or "", least_words):
                     d = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-                    yield (d >> 64) - (1 << 63), (d & (2**64 - 1)) - (1 << 63), doc, start, length, len(words)
+                    yield (d >> 64) - (1 << 63), (d & (2**64 - 1)) - (1 << 63), doc, text_hash, start, length, len(words)
+                if passages:
+                    for h1, h2, start, length in runs(text or "", cache):
+                        yield h1, h2, doc, text_hash, start, length, RUN
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda b: row_batches(rows(b), _OUT, 10_000), "h1 long, h2 long, doc_id long, start long, length long, n_words long")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash("text")).mapInArrow(lambda b: row_batches(rows(b), _OUT, 10_000), _COLUMNS)
+
+
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def _firsts(every: DataFrame) -> DataFrame:
+    """The first place of each digest that occurs more than once."""
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "start", "text_hash")
+    return every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+
+
+def _repeated(every: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The units that an earlier one equals."""
+    at_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")) & (F.col("text_hash") == F.col("first.text_hash"))
+    later = every.join(firsts, ["h1", "h2"]).where(~at_first)
+    return later.select("doc_id", "text_hash", "start", "length", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
 
 
 def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """documents(doc_id, text) -> a row per unit to remove: doc_id, start, length, n_words, first_doc_id, first_start.
+    """documents(doc_id, text) -> a row per unit of lines to remove: doc_id, start, length, n_words, first_doc_id, first_start.
 
     The occurrence of the smallest (doc_id, start) stays; null doc_ids come last. Null, empty and short texts have no units;
     of rows with one doc_id and one text, all count as the same place. An empty table gives no rows. Spans may overlap.
     """
     every = units(documents, least_words)
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "start")
-    firsts = every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    later = every.join(firsts, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))))
-    return later.select("doc_id", "start", "length", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    return _repeated(every, _firsts(every)).drop("text_hash")
+
+
+def repeated_passages(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """documents(doc_id, text) -> the rows of `repeated_lines` and those of repeated runs inside lines, with text_hash, which tells rows of one doc_id apart."""
+    every = stored(units(documents, least_words, passages=True), "units")
+    return _repeated(every, stored(_firsts(every), "firsts"))  # stored, so that a join skewed by a frequent passage can be split
 
 
 def cut(text: str, gone: list[dict]) -> str:
-    """A text without spans, which may overlap, and without the line end after each."""
+    """A text without spans, which may overlap, and without the line end or other white space after each."""
     out, at = [], 0
     for span in sorted(gone, key=lambda g: g["start"]):
         out.append(text[at : max(at, span["start"])])
-        at = max(at, span["start"] + span["length"] + 1)
+        end = span["start"] + span["length"]
+        at = max(at, end + text[end : end + 1].isspace())
     return "".join([*out, text[at:]])
 
 
 def without_lines(documents: DataFrame, removed: DataFrame) -> DataFrame:
-    """The documents without the given spans (and their line ends); n_chars is set anew, where there is one. A document of which nothing but white space is left goes."""
+    """The documents without the given spans (and their line ends); n_chars is set anew, where there is one. A document of which nothing but white space is left goes.
+
+    With text_hash, spans are cut out of the rows of their doc_id and text; without it, out of all rows of their doc_id.
+    """
     columns = documents.columns
-    of, gone, left = (f"_{name}_{uuid.uuid4().hex}" for name in ("of", "gone", "left"))  # no column of documents is called that
-    by_doc = removed.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set(F.struct("start", "length")).alias(gone))
-    joined = documents.join(by_doc, documents["doc_id"].eqNullSafe(by_doc[of]), "left")
+    of, of_text, gone, left = (f"_{name}_{uuid.uuid4().hex}" for name in ("of", "of_text", "gone", "left"))  # no column of documents is called that
+    exact = "text_hash" in removed.columns
+    by_doc = removed.groupBy(F.col("doc_id").alias(of), (F.col("text_hash") if exact else F.lit(0)).alias(of_text)).agg(F.collect_set(F.struct("start", "length")).alias(gone))
+    same = documents["doc_id"].eqNullSafe(by_doc[of])
+    joined = documents.join(by_doc, same & (_text_hash("text") == by_doc[of_text]) if exact else same, "left")
 
     @F.arrow_udf("string")
     def remaining(text: pa.Array, gone: pa.Array) -> pa.Array:

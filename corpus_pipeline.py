@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occurred before are cut out of the text; a document of which nothing is left goes."""
-    return line_dedup.without_lines(docs, line_dedup.repeated_lines(docs))
+    return line_dedup.without_lines(docs, line_dedup.repeated_passages(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

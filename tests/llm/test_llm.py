@@ -279,6 +279,36 @@ def test_repeated_lines(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == len(ODD) and line_dedup.repeated_lines(none).count() == 0
 
 
+def test_repeated_passages_equal_a_brute_force_search(spark):
+    """Every run of 50 words that occurred before meets a span; every span's words occurred before; rows that share an id keep their own spans."""
+    rng = np.random.default_rng(5)
+    made = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    passages = [made(n) for n in (50, 60, 90, 200, 49)]
+    texts = [(i, ", ".join([*made(int(rng.integers(0, 80))), *passages[i % 5], *made(int(rng.integers(0, 80)))])) for i in range(15)]
+    texts += [(None, " ".join(made(70))), (None, " ".join([*made(5), *passages[2]]) + " İ end")]
+    texts += [(20, " ".join([*passages[1], *made(30)])), (20, " ".join(made(100)))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found: dict[tuple, list] = {}
+    keys = {(r.doc_id, r.h): r.text for r in df.selectExpr("doc_id", "text", "xxhash64(text) as h").collect()}
+    for r in line_dedup.repeated_passages(df).collect():
+        found.setdefault(keys[r.doc_id, r.text_hash], []).append((r.start, r.start + r.length))
+    before, whole = set(), " "
+    for _, text in sorted(texts, key=lambda t: (t[0] is None, t[0] or 0)):
+        places = [m.span() for m in line_dedup._WORD.finditer(text)]
+        words = [text[a:b].lower() for a, b in places]
+        for a, b in found.get(text, []):
+            assert " " + " ".join(w.lower() for w in line_dedup._WORD.findall(text[a:b])) + " " in whole
+        runs = [tuple(words[i : i + 50]) for i in range(len(words) - 49)]
+        for i, run in enumerate(runs):
+            if run in before:
+                assert any(places[i][0] <= a and b <= places[i + 49][1] for a, b in found[text])
+        before |= set(runs)
+        whole += " ".join(words) + " | "
+    assert found
+    left = {r.text for r in line_dedup.without_lines(df, line_dedup.repeated_passages(df)).collect()}
+    assert texts[15][1] in left and texts[18][1] in left and texts[16][1] not in left
+
+
 def test_pipeline(spark, duck):
     """Stage by stage: each keeps what a plain reading of its operator's result keeps."""
     import corpus_pipeline as p
