@@ -181,6 +181,22 @@ def test_decontamination_of_odd_tables(spark, odd, none):
     assert decontaminate.contaminated(none, items).count() == 0 and decontaminate.contaminated(odd, items.where("false")).count() == 0
 
 
+def test_decontamination_finds_every_short_item_and_rows_without_ids(spark, tmp_path):
+    """Items of two to twelve words, each in the middle of 150 texts of its own; a null doc_id and a null item_id count."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    made = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**9, n))
+    items = [(i, made(2 + i % 11)) for i in range(1650)] + [(None, made(6))]
+    docs = [(i, f"{made(int(rng.integers(0, 30)))} {t} {made(int(rng.integers(0, 30)))}") for i, t in items[:-1]]
+    docs += [(None, f"{made(20)} {items[0][1]}"), (None, made(40)), (5000, f"{items[-1][1]} {made(9)}")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(i, i) for i in range(1650)} | {(None, 0), (5000, None)}
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.text for r in corpus_pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()] == [docs[-2][1]]
+
+
 def test_licences(spark, odd, none):
     lines = [(i, f"Some words before.\n{t}\nwords after", f) for i, (f, t) in enumerate((f, ts[0]) for f, ts in licenses.TEMPLATES.items())]
     clean = [(100 + i, t, None) for i, t in enumerate(licenses.OTHER)]
