@@ -24,28 +24,47 @@ BUCKETS, DIM, EPOCHS = 1 << 15, 16, 3
 SUBWORDS = (2, 3, 4)
 #: Share of validation texts, plain ones and mixtures of two languages, that calibration lets each rejection rule reject.
 REJECTED = 0.0005
-#: Where the least score lies between chance (0) and that calibrated quantile (1): uncertain texts of known languages stay, and only near-even ones go.
-MARGIN = 0.25
+#: Share of validation windows of a language left out of the known subwords that the coverage rule aims to let through.
+LET_THROUGH = 0.01
+#: Subwords of a text beyond these make its share of known ones no surer.
+MOST_SUBWORDS = 400
+#: Characters of sampled texts by the number of languages: the driver holds SAMPLE texts of each.
+SAMPLE_CHARS = 250_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def subwords(word: str) -> list[int]:
-    """Buckets of the word and of its character n-grams, with word marks."""
+    """Hashes of the word and of its character n-grams, with word marks."""
     marked = f"<{word}>"
     grams = [marked[i : i + n] for n in SUBWORDS for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in [marked, *grams]]
+    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) for g in [marked, *grams]]
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
     logits: np.ndarray  # by bucket: embedding times softmax weights
-    seen: np.ndarray  # by bucket: whether training met it
+    seen: np.ndarray  # sorted whole hashes of the subwords that training met: they don't fill up as buckets do
     bias: np.ndarray
     temperature: float
     least_score: float
-    least_seen: float
+    usual_seen: float
+    most_short: float
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        return _within(hashes, self.seen)
+
+
+def _within(hashes: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(hashes), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)] == hashes
+
+
+def _short(share: float, usual: float, n: float) -> float:
+    """How far a share of known subwords among n falls short of the usual one, in terms of the spread that n leaves."""
+    return (usual - share) * min(n, MOST_SUBWORDS) ** 0.5
 
 
 def train(examples: list[tuple[str, str]], seed: int = 1) -> LanguageModel | None:
@@ -55,7 +74,7 @@ def train(examples: list[tuple[str, str]], seed: int = 1) -> LanguageModel | Non
     if not languages:
         return None
     known: dict[str, np.ndarray] = {}
-    features, labels, held = [], [], []
+    features, whole, labels, held = [], [], [], []
     for i, (text, lang) in enumerate(examples):
         words = _WORD.findall(text.lower())
         at = 0
@@ -66,8 +85,9 @@ def train(examples: list[tuple[str, str]], seed: int = 1) -> LanguageModel | Non
             if window:
                 for w in window:
                     if w not in known:
-                        known[w] = np.array(subwords(w))
-                features.append(np.concatenate([known[w] for w in window]))
+                        known[w] = np.array(subwords(w), np.int64)
+                whole.append(np.concatenate([known[w] for w in window]).astype(np.uint32))
+                features.append((whole[-1] % BUCKETS).astype(np.int64))
                 labels.append(languages.index(lang))
                 held.append(i % 8 == 7)
     if not features:
@@ -96,9 +116,8 @@ def train(examples: list[tuple[str, str]], seed: int = 1) -> LanguageModel | Non
             W -= rate * (mean.T @ p).astype(np.float32)
             b -= rate * p.sum(axis=0).astype(np.float32) / 4
             np.add.at(E, idx, -rate * np.repeat(back / sizes[:, None], sizes, axis=0) * 8)
-    seen = np.zeros(BUCKETS, bool)
-    for i in train_rows:
-        seen[features[i]] = True
+    by_language = [np.unique(np.concatenate([np.empty(0, np.uint32), *(whole[i] for i in train_rows if labels[i] == y)])) for y in range(len(languages))]
+    seen, languages_of = np.unique(np.concatenate(by_language), return_counts=True)
     table = (E @ W).astype(np.float64)
     check = np.flatnonzero(held) if held.any() else train_rows
     z = np.array([table[features[i]].mean(axis=0) for i in check]) + b
@@ -108,11 +127,19 @@ def train(examples: list[tuple[str, str]], seed: int = 1) -> LanguageModel | Non
         if loss < best:
             best, temperature = loss, float(t)
     top = np.exp(_log_softmax(z / temperature)).max(axis=1)
-    covered = np.array([seen[features[i]].mean() for i in check])
+    shares = np.array([_within(whole[i], seen).mean() for i in check])
+    usual = float(shares.mean())
+    most_short = float(np.quantile([_short(c, usual, len(whole[i])) for c, i in zip(shares, check)], 1 - REJECTED))
+    if len(languages) > 1:  # the same windows as if their language were unknown: subwords that it alone has don't count
+        strange = []
+        for i in check:
+            place = np.minimum(np.searchsorted(seen, whole[i]), len(seen) - 1)
+            others = languages_of[place] - _within(whole[i], by_language[labels[i]])
+            strange.append(_short(float(((seen[place] == whole[i]) & (others > 0)).mean()), usual, len(whole[i])))
+        most_short = max(most_short, (most_short + float(np.quantile(strange, LET_THROUGH))) / 2)
     mixed = np.exp(_log_softmax(_mixtures(table, b, [features[i] for i in check], labels[check], rng) / temperature)).max(axis=1)
     top = np.r_[top, mixed]
-    chance = 1 / len(languages)
-    return LanguageModel(languages, table, seen, b.astype(np.float64), temperature, min(chance + MARGIN * max(0.0, float(np.quantile(top, REJECTED)) - chance), 0.6), min(float(np.quantile(covered, REJECTED)), 0.5))
+    return LanguageModel(languages, table, seen, b.astype(np.float64), temperature, float(np.quantile(top, REJECTED)), usual, most_short)
 
 
 def _mixtures(table: np.ndarray, bias: np.ndarray, features: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -140,9 +167,10 @@ class _Rows(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= len(self.table):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        sub = subwords(word)
+        whole = np.array(subwords(word), np.uint32)
+        sub = whole % BUCKETS
         at = len(self)
-        self.table[at, :-2], self.table[at, -2:] = self.model.logits[sub].sum(axis=0), (len(sub), self.model.seen[sub].sum())
+        self.table[at, :-2], self.table[at, -2:] = self.model.logits[sub].sum(axis=0), (len(sub), self.model.known(whole).sum())
         self[word] = at
         return at
 
@@ -161,7 +189,7 @@ def _judged(text: str | None, model: LanguageModel | None, cache: _Rows | None)
     total = cache.table[idx].sum(axis=0)
     p = np.exp(_log_softmax((total[:-2] / total[-2] + model.bias) / model.temperature))
     best = int(p.argmax())
-    return model.languages[best], float(p[best]), bool(p[best] >= model.least_score and total[-1] / total[-2] >= model.least_seen)
+    return model.languages[best], float(p[best]), bool(p[best] >= model.least_score and _short(total[-1] / total[-2], model.usual_seen, total[-2]) <= model.most_short)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
@@ -171,7 +199,7 @@ def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
     """documents(doc_id, text) -> doc_id, lang_pred, score, accepted.
 
     lang_pred is `und`, score 0 and accepted false where the text is null or has no letter, or where there is no model.
-    accepted is false too where the calibrated score, or the share of subwords known from training, is below its threshold.
+    accepted is false too where the calibrated score, or the share of subwords known from training, for so long a text, is below its threshold.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]):
@@ -203,6 +231,6 @@ def fit(labelled: DataFrame) -> LanguageModel | None:
         return None
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], SAMPLE / r["count"])))
     drawn = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)) < F.element_at(share, F.col("lang"))
-    sample = known.where(drawn).select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id")
-    rows = sample.orderBy("h", "doc_id", "text").limit(SAMPLE * min(len(counts), 16)).select("text", "lang").collect()
+    sample = known.where(drawn).select(F.substring("text", 1, SAMPLE_CHARS // len(counts)).alias("text"), "lang", F.xxhash64("doc_id").alias("h"), "doc_id")
+    rows = sample.orderBy("h", "doc_id", "text").limit(SAMPLE * len(counts)).select("text", "lang").collect()
     return train([(r["text"], r["lang"]) for r in rows])

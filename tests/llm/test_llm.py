@@ -132,6 +132,16 @@ def test_language_rejects_gibberish(spark):
     assert language.accepted(docs, model).count() >= 0.97 * docs.count()
 
 
+def test_language_rejects_unknown_languages_whatever_the_input_size(spark):
+    """Trained on sf0.1, texts of gibberish, Greek and Russian go, and hardly one of the table's own does."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.fit(docs)
+    strange = ["zxqj kkvw pqzzt xxjq wvvk qqpz jjxk vvzq " * 5, "η γάτα κάθισε στο χαλί και ήταν πολύ καλή μέρα για όλους μας " * 3, "кошка сидела на коврике и это был очень хороший день для всех нас " * 3]
+    df = spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string")
+    assert not any(r.accepted for r in language.identify(df, model).collect())
+    assert language.accepted(docs, model).count() >= 0.995 * docs.where("text is not null").count()
+
+
 def test_packing_round_trip(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     from tokenizers import Tokenizer
