@@ -46,11 +46,11 @@ WITH RECURSIVE bytes AS (
 ), nr AS (
   SELECT o, list_transform(range(1, 7), lambda r: coalesce(list_sum(list_transform(list_filter(l, lambda e: e.c = r), lambda e: e.n)), 0)) AS n FROM (
     SELECT o, list({{'c': c, 'n': n}}) AS l FROM (SELECT 1 AS o, c, count(*) AS n FROM uni GROUP BY c UNION ALL SELECT 2, c, count(*) FROM bi GROUP BY c) GROUP BY o)
-), gt AS (
-  SELECT o, n, 6 * n[6] / n[1] AS rest, list_transform(range(1, 6), lambda r: ((r + 1) * n[r + 1] / n[r] / r - 6 * n[6] / n[1]) / (1 - 6 * n[6] / n[1])) AS d FROM nr
+), fitted AS (
+  SELECT o, regr_slope(ln(y), ln(x)) AS slope FROM (SELECT o, unnest(n) AS y, unnest(range(1, 7)) AS x FROM nr) WHERE y > 0 GROUP BY o
 ), disc AS (
-  SELECT o, n, CASE WHEN list_min(n) > 0 AND rest < 1 AND list_min(d) > 0 AND list_max(d) < 1 THEN d
-    ELSE list_transform(range(1, 6), lambda r: (r - CASE WHEN n[1] > 0 THEN least(0.9, n[1] / (n[1] + 2 * n[2])) ELSE 0.5 END) / r) END AS d FROM gt
+  SELECT o, n, CASE WHEN slope < -1 THEN list_transform(range(1, 6), lambda r: (pow(1 + 1 / r, slope + 1) - pow(6, slope + 1)) / (1 - pow(6, slope + 1)))
+    ELSE list_transform(range(1, 6), lambda r: (r - CASE WHEN n[1] > 0 THEN least(0.9, n[1] / (n[1] + 2 * n[2])) ELSE 0.5 END) / r) END AS d FROM nr LEFT JOIN fitted USING (o)
 ), rest AS (
   SELECT list_sum(list_transform(range(1, 6), lambda r: (1 - d[r]) * r * n[r])) AS q FROM disc WHERE o = 1
 ), p1 AS (

@@ -250,6 +250,24 @@ def test_katz_equals_a_plain_model_that_sums_to_one(spark, odd, none):
     assert len(untrained) == len(ODD) and all(r.n_known == 0 and r.score == 0 for r in untrained)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_good_turing_is_what_discounts(duck, sf):
+    """The fall of the counts of counts is steep enough for both orders, so the absolute discount isn't used."""
+    docs = f"read_parquet('/root/testdata/{sf}/documents.parquet')"
+    words = f"select unnest(string_split(lower(text), ' ')) as w, doc_id from {docs}"
+    pairs = f"select w || ' ' || lead(w) over (partition by doc_id) as w from ({words})"
+    for of in (words, pairs):
+        counts = dict(duck.sql(f"select c, count(*) from (select count(*) as c from ({of}) group by w) where c <= {katz.K + 1} group by c").fetchall())
+        n = [0, *(counts.get(r, 0) for r in range(1, katz.K + 2))]
+        d, less = katz.discounts(n), n[1] / (n[1] + 2 * n[2])
+        assert (0 < d[1 : katz.K + 1]).all() and (d[1 : katz.K + 1] < 1).all() and (np.diff(d[1:]) > 0).all()
+        assert abs(d[1] - (1 - less)) > 1e-3 and abs(d[2] - (2 - less) / 2) > 1e-3
+        slope = np.polyfit(np.log(range(1, katz.K + 2)), np.log(n[1:]), 1)[0]
+        stars = [(r + 1) * (1 + 1 / r) ** slope for r in range(1, katz.K + 1)]
+        rest = (katz.K + 1) ** (slope + 1)
+        assert d[1 : katz.K + 1] == pytest.approx([(x / r - rest) / (1 - rest) for r, x in enumerate(stars, 1)])
+
+
 def test_sketch_coordinates_agree_as_sets_do():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
