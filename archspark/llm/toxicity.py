@@ -3,8 +3,9 @@
 Voters are words and word beginnings that training labels show to be telling (lexicon voters) and a few forms of writing
 (pattern voters). The label model takes each voter to fire with one probability in toxic and another in other texts, both
 estimated by expectation-maximisation; voters that fire together beyond what the class explains share their weight. Its
-posterior labels, not the given ones, train a logistic regression over the same voters. The model is fitted on a bounded
-sample (SAMPLE texts of either label); every text is scored whole.
+posterior labels, not the given ones, train a logistic regression over the same voters. The given label is one more voter,
+whose accuracy by class is estimated from how often it agrees with the others. The model is fitted on a bounded sample
+(SAMPLE texts of either label, drawn by id before any text is read); every text is scored whole.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ SAMPLE, VOTERS = 6000, 800
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: A lexicon voter occurs so many times as often in toxic texts as in others, with such a log-likelihood ratio (by chance, one in 2e7 words).
 LEAST_RATIO, LEAST_SURENESS = 20.0, 28.0
-#: Log-odds that a given training label adds to the votes on its text: labels are one more voter, right in 97 of 100 cases.
-LABEL_ODDS = 3.5
+#: Texts of either kind, right ones, that the given labels are taken to have had beforehand: keeps their accuracy below 1.
+LABEL_PRIOR = 2.0
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"\w+")
@@ -62,7 +63,11 @@ class LabelModel:
 
 
 def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 6) -> tuple[LabelModel, np.ndarray]:
-    """votes (texts by voters, 0 or 1) and the given labels -> model and posterior labels."""
+    """votes (texts by voters, 0 or 1) and the given labels -> model and posterior labels.
+
+    The given labels start the rounds. Their own accuracy is estimated anew in each, against what the voters alone say, and
+    their log-odds are added to the voters'.
+    """
     q = np.clip(given.astype(float), 0.02, 0.98)
     for _ in range(rounds):
         fires = np.stack([((1 - q) @ votes + 0.05) / ((1 - q).sum() + 1), (q @ votes + 0.05) / (q.sum() + 1)])
@@ -72,7 +77,11 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 6) -> tuple[
         together[together < 0.1] = 0
         np.fill_diagonal(together, 0)
         model = LabelModel(float(np.clip(q.mean(), 0.02, 0.98)), fires, together)
-        q = 1 / (1 + np.exp(-np.clip(model.log_odds(votes) + LABEL_ODDS * (2 * given - 1), -30, 30)))
+        voted = np.clip(model.log_odds(votes), -30, 30)
+        alone = 1 / (1 + np.exp(-voted))
+        right = [((1 - alone) @ (1 - given) + LABEL_PRIOR) / ((1 - alone).sum() + LABEL_PRIOR + 1), (alone @ given + LABEL_PRIOR) / (alone.sum() + LABEL_PRIOR + 1)]
+        odds = np.where(given == 1, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0]))
+        q = 1 / (1 + np.exp(-np.clip(voted + odds, -30, 30)))
     return model, q
 
 
@@ -132,30 +141,39 @@ def _unnested(found: dict[str, int]) -> list[str]:
     return [part for part in found if part not in covered]
 
 
-def _with_likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Add three minimum shingle hashes, of which near copies share some."""
+def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Three minimum shingle hashes of each text, of which near copies share some."""
     cache, salts = WordHashes(), seeds(3, 31)
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc, toxic, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             s = shingle_set(text.encode(), cache)
-            yield text, toxic, *((int((mixed(s * c)).min().view(np.int64)) for c in salts) if len(s) else (0, 0, 0))
+            yield doc, toxic, *((int((mixed(s * c)).min().view(np.int64)) for c in salts) if len(s) else (0, 0, 0))
 
 
-def fit(labelled: DataFrame) -> ToxicityModel | None:
-    """labelled(doc_id, text, toxic) -> model, from at most SAMPLE texts of either label, those of the smallest id hashes; None where a label is missing."""
-    known = labelled.where("toxic in (0, 1) and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("toxic").cast("int"))
-    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    if len(n) < 2:
-        return None
-    drawn = F.when(F.col("toxic") == 1, F.lit(SAMPLE / n[1])).otherwise(F.lit(SAMPLE / n[0]))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20) < drawn).select("text", "toxic")
-    # near copies count once, or their common words would seem telling
-    schema = pa.schema([("text", pa.string()), ("toxic", pa.int32()), ("m1", pa.int64()), ("m2", pa.int64()), ("m3", pa.int64())])
-    sample = sample.mapInArrow(lambda b: row_batches(_with_likeness(b), schema, 500), "text string, toxic int, m1 long, m2 long, m3 long")
+def drawn(labels: DataFrame, most: int) -> DataFrame:
+    """labels(doc_id, toxic) -> the ids of either label with the smallest hashes, `most` at most; an id with both labels is left out."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
+    hashed = known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
+    return hashed.where("toxic = 1").orderBy("h").limit(most).union(hashed.where("toxic = 0").orderBy("h").limit(most)).select("doc_id", "toxic")
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> ToxicityModel | None:
+    """documents(doc_id, text), labels(doc_id, toxic) -> model, from at most SAMPLE texts of either label, those of the smallest id hashes; None where a label is missing.
+
+    Ids are drawn from the labels alone; they are few enough to be sent to one scan of the documents. Of an id with several
+    texts the first counts. Of near copies one text counts, or their common words would seem telling.
+    """
+    ids = stored(drawn(labels, SAMPLE), "drawn")
+    texts = documents.where("text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id")  # 2 * SAMPLE ids at most
+    sample = stored(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("m1", pa.int64()), ("m2", pa.int64()), ("m3", pa.int64())])
+    alike = sample.select("doc_id", "toxic", "text").mapInArrow(lambda b: row_batches(_likeness(b), schema), "doc_id long, toxic int, m1 long, m2 long, m3 long")
     for m in ("m1", "m2", "m3"):
-        sample = sample.groupBy("toxic", m).agg(F.min_by(F.struct(*(c for c in sample.columns if c not in ("toxic", m))), F.struct("text")).alias("r")).select("toxic", m, "r.*")
-    sample = stored(sample.select("text", "toxic"), "labelled")
+        alike = alike.groupBy("toxic", m).agg(F.min(F.struct("doc_id", *(c for c in ("m1", "m2", "m3") if c != m))).alias("r")).select("toxic", m, "r.*")
+    sample = stored(sample.join(F.broadcast(alike.select("doc_id")), "doc_id", "left_semi").select("text", "toxic"), "sample")
     sizes = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not all(sizes.values()):
+        return None
     schema = pa.schema([("part", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
     counts = sample.mapInArrow(lambda b: row_batches(_counted(b), schema, 10_000), "part string, pos long, neg long").groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ratio = (F.col("pos") + 0.1) / (sizes[1] + 0.2) / ((F.col("neg") + 0.1) / (sizes[0] + 0.2))

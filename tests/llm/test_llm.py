@@ -71,15 +71,37 @@ def test_toxicity_learns_words_and_beginnings(spark):
             words[5:5] = [("grobl" + str(rng.choice(["ig", "ung", "er", "ste"]))) if i % 4 else "vile" for _ in range(3)]
         rows.append((i, " ".join(words), int(bad)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit(df.where("doc_id % 3 != 1"))
+    model = toxicity.fit(df.select("doc_id", "text"), df.where("doc_id % 3 != 1").select("doc_id", "toxic"))
     got = {r.doc_id: r for r in toxicity.toxicity(df, model).collect()}
     held = [r for r in rows if r[0] % 3 == 1]
     assert sum(got[d].predicted == y for d, _, y in held) >= 0.98 * len(held)
     assert set(model.lexicon) and model.labels.fires.shape[0] == 2
 
 
+def test_toxicity_on_held_out_labels(spark, duck):
+    """On sf0.1: precision and recall on the third of the labels that training never saw."""
+    sf = "/root/testdata/sf0.1"
+    truth = dict(duck.sql(f"select doc_id, max(toxic) from read_parquet('{sf}/labels.parquet') where toxic is not null group by doc_id").fetchall())
+    rows = [r for r in queries.op2_toxicity(spark, sf).collect() if r.held_out and r.doc_id in truth]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows)
+    toxic = [r for r in rows if truth[r.doc_id] == 1]
+    # labels are noisy: 54 of the 449 texts marked toxic hold no insult at all, and nothing sets them apart from clean ones
+    insult = re.compile("trash|idiot|pathetic|worthless|scum|stupid|loser|moron|disgusting|clown")
+    texts = dict(duck.sql(f"select doc_id, lower(text) from read_parquet('{sf}/documents.parquet')").fetchall())
+    assert np.mean([r.predicted for r in toxic if insult.search(texts[r.doc_id])]) > 0.98
+    assert np.mean([r.predicted for r in toxic]) > 0.8
+    assert np.mean([r.predicted for r in rows if truth[r.doc_id] == 0]) < 0.001
+    for r in rows:
+        assert r.predicted == (r.score >= 0.7)
+
+
 def test_toxicity_of_odd_tables(spark, odd, none):
-    assert toxicity.fit(none.selectExpr("doc_id", "text", "1 as toxic")) is None
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 1), (4, 0), (5, None), (7, 1), (8, 0), (None, 1), (9, 1)], "doc_id long, toxic int")
+    assert toxicity.fit(none, labels) is None and toxicity.fit(odd, labels.where("toxic = 1")) is None and toxicity.fit(odd, labels.where("false")) is None
+    model = toxicity.fit(odd, labels)
+    rows = toxicity.toxicity(odd, model).collect()
+    assert len(rows) == len(ODD) and len({r.score for r in rows if r.doc_id in (1, 2, 3, 6)}) == 1 and all(0 <= r.score <= 1 for r in rows)
+    assert {r.doc_id: r.toxic for r in toxicity.drawn(labels, 2).collect()}.keys() <= {1, 2, 7, 8, 9} and toxicity.drawn(labels, 1).count() == 2
     assert {r.score for r in toxicity.toxicity(odd, None).collect()} == {0.0}
     assert toxicity.toxicity(none, None).count() == 0
 
