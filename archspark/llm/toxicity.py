@@ -4,7 +4,7 @@ Voters are words and word beginnings that training labels show to be telling (le
 (pattern voters). The label model takes each voter to fire with one probability in toxic and another in other texts, both
 estimated by expectation-maximisation; voters that fire together beyond what the class explains share their weight. Its
 posterior labels, not the given ones, train a logistic regression over the same voters. The given label is one more voter,
-whose accuracy by class is estimated from how often it agrees with the others. The model is fitted on a bounded sample
+whose accuracy by class is estimated along with theirs. The model is fitted on a bounded sample
 (SAMPLE texts of either label, drawn by id before any text is read); every text is scored whole.
 """
 
@@ -65,7 +65,7 @@ class LabelModel:
 def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 6) -> tuple[LabelModel, np.ndarray]:
     """votes (texts by voters, 0 or 1) and the given labels -> model and posterior labels.
 
-    The given labels start the rounds. Their own accuracy is estimated anew in each, against what the voters alone say, and
+    The given labels start the rounds. Their own accuracy by class is estimated anew in each, as that of the voters is, and
     their log-odds are added to the voters'.
     """
     q = np.clip(given.astype(float), 0.02, 0.98)
@@ -78,14 +78,13 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 6) -> tuple[
         np.fill_diagonal(together, 0)
         model = LabelModel(float(np.clip(q.mean(), 0.02, 0.98)), fires, together)
         voted = np.clip(model.log_odds(votes), -30, 30)
-        alone = 1 / (1 + np.exp(-voted))
-        right = [((1 - alone) @ (1 - given) + LABEL_PRIOR) / ((1 - alone).sum() + LABEL_PRIOR + 1), (alone @ given + LABEL_PRIOR) / (alone.sum() + LABEL_PRIOR + 1)]
+        right = [((1 - q) @ (1 - given) + LABEL_PRIOR) / ((1 - q).sum() + LABEL_PRIOR + 1), (q @ given + LABEL_PRIOR) / (q.sum() + LABEL_PRIOR + 1)]
         odds = np.where(given == 1, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0]))
         q = 1 / (1 + np.exp(-np.clip(voted + odds, -30, 30)))
     return model, q
 
 
-def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 1e-5, rounds: int = 1500) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 1e-4, rounds: int = 1500) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels; both classes weigh the same."""
     share = np.clip(q.mean(), 1e-3, 1 - 1e-3)
     row = q * 0.5 / share + (1 - q) * 0.5 / (1 - share)

@@ -90,7 +90,7 @@ def test_toxicity_on_held_out_labels(spark, duck):
     texts = dict(duck.sql(f"select doc_id, lower(text) from read_parquet('{sf}/documents.parquet')").fetchall())
     assert np.mean([r.predicted for r in toxic if insult.search(texts[r.doc_id])]) > 0.98
     assert np.mean([r.predicted for r in toxic]) > 0.8
-    assert np.mean([r.predicted for r in rows if truth[r.doc_id] == 0]) < 0.001
+    assert np.mean([r.predicted for r in rows if truth[r.doc_id] == 0]) < 0.005
     for r in rows:
         assert r.predicted == (r.score >= 0.7)
 
