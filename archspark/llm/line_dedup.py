@@ -3,8 +3,9 @@
 A unit starts at a line and has as few lines as give it LEAST_WORDS words: mostly one line, or a run of short ones, so that a
 passage of several short lines is found wherever it stands. `repeated_passages` adds runs of RUN words wherever they begin,
 chosen by winnowing: of every PASSAGE words in a row, the run of the least hash is a unit, so a passage of PASSAGE words or more
-that repeats has a unit in common with its first occurrence, and the units of a longer one cover it but for fewer than
-PASSAGE - RUN + 1 words at either end. Units are compared by a 128-bit digest of their normal form.
+that repeats has a unit in common with its first occurrence. Units that overlap in both texts are joined, and what they give
+is extended word by word, by PASSAGE - RUN words at either end, as far as both texts agree: so the whole repeated passage is
+found. Units are compared by a 128-bit digest of their normal form, words beyond them by a 64-bit one.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archspark.llm.common import CACHE_WORDS, WordHashes, row_batches, seeds, shingles, stored
@@ -67,17 +68,19 @@ class _Normal(WordHashes):
         return h
 
 
-def runs(text: str, cache: _Normal) -> Iterator[tuple[int, int, int, int]]:
-    """Digest (two halves), start and length of the winnowed runs of RUN words of a text; none where it has fewer than PASSAGE words."""
+def _words(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of a text with their starts and ends."""
     pieces = _GAP.split(text)
-    if len(pieces) < 2 * PASSAGE - 1:
-        return
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     ends = lengths.cumsum()[::2]
-    starts = ends - lengths[::2]
     words = pieces[::2]
     some = slice(not words[0], len(words) - (not words[-1]))
-    words, starts, ends = words[some], starts[some], ends[some]
+    return words[some], (ends - lengths[::2])[some], ends[some]
+
+
+def runs(text: str, cache: _Normal) -> Iterator[tuple[int, int, int, int]]:
+    """Digest (two halves), start and length of the winnowed runs of RUN words of a text; none where it has fewer than PASSAGE words."""
+    words, starts, ends = _words(text)
     if len(words) < PASSAGE:
         return
     hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
@@ -90,21 +93,40 @@ def runs(text: str, cache: _Normal) -> Iterator[tuple[int, int, int, int]]:
     yield from zip(first[at].view(np.int64).tolist(), second.view(np.int64).tolist(), starts[at].tolist(), (ends[at + RUN - 1] - starts[at]).tolist())
 
 
-def units(documents: DataFrame, least_words: int = LEAST_WORDS, passages: bool = False) -> DataFrame:
-    """One row per unit: 128-bit digest of its normal form, doc_id and hash of the text, start and length in code points, n_words."""
+def units(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row per unit of lines: 128-bit digest of its normal form, doc_id and hash of the text, start and length in code points, n_words."""
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for doc, text, text_hash in zip(*(c.to_pylist() for c in batch.columns)):
+                for start, length, words in spans(text or "", least_words):
+                    yield *_digest(words), doc, text_hash, start, length, len(words)
+
+    return _keyed(documents).mapInArrow(lambda b: row_batches(rows(b), _OUT, 10_000), _COLUMNS)
+
+
+def _all_units(documents: DataFrame, least_words: int) -> DataFrame:
+    """As `units`, and the winnowed runs, which have 0 for n_words."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
         cache = _Normal()
         for batch in batches:
             for doc, text, text_hash in zip(*(c.to_pylist() for c in batch.columns)):
                 for start, length, words in spans(text or "", least_words):
-                    d = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-                    yield (d >> 64) - (1 << 63), (d & (2**64 - 1)) - (1 << 63), doc, text_hash, start, length, len(words)
-                if passages:
-                    for h1, h2, start, length in runs(text or "", cache):
-                        yield h1, h2, doc, text_hash, start, length, RUN
+                    yield *_digest(words), doc, text_hash, start, length, len(words)
+                for h1, h2, start, length in runs(text or "", cache):
+                    yield h1, h2, doc, text_hash, start, length, 0
+
+    return _keyed(documents).mapInArrow(lambda b: row_batches(rows(b), _OUT, 10_000), _COLUMNS)
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash("text")).mapInArrow(lambda b: row_batches(rows(b), _OUT, 10_000), _COLUMNS)
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash("text").alias("text_hash"))
+
+
+def _digest(words: list[str]) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
+    return (d >> 64) - (1 << 63), (d & (2**64 - 1)) - (1 << 63)
 
 
 def _text_hash(text: str) -> Column:
@@ -113,7 +135,7 @@ def _text_hash(text: str) -> Column:
 
 def _firsts(every: DataFrame) -> DataFrame:
     """The first place of each digest that occurs more than once."""
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "start", "text_hash")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "start", "text_hash", "length")
     return every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
 
 
@@ -121,7 +143,7 @@ def _repeated(every: DataFrame, firsts: DataFrame) -> DataFrame:
     """The units that an earlier one equals."""
     at_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")) & (F.col("text_hash") == F.col("first.text_hash"))
     later = every.join(firsts, ["h1", "h2"]).where(~at_first)
-    return later.select("doc_id", "text_hash", "start", "length", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    return later.select("doc_id", "text_hash", "start", "length", "n_words", *(F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "text_hash", "start", "length")))
 
 
 def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -131,13 +153,100 @@ def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
     of rows with one doc_id and one text, all count as the same place. An empty table gives no rows. Spans may overlap.
     """
     every = units(documents, least_words)
-    return _repeated(every, _firsts(every)).drop("text_hash")
+    return _repeated(every, _firsts(every)).select("doc_id", "start", "length", "n_words", "first_doc_id", "first_start")
 
 
 def repeated_passages(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """documents(doc_id, text) -> the rows of `repeated_lines` and those of repeated runs inside lines, with text_hash, which tells rows of one doc_id apart."""
-    every = stored(units(documents, least_words, passages=True), "units")
-    return _repeated(every, stored(_firsts(every), "firsts"))  # stored, so that a join skewed by a frequent passage can be split
+    """documents(doc_id, text) -> the rows of `repeated_lines` and a row per repeated passage wherever it stands, with text_hash, which tells rows of one doc_id apart.
+
+    Spans may overlap. A passage that repeats within one text is taken from behind its first occurrence on.
+    """
+    every = stored(_all_units(documents, least_words), "units")
+    later = stored(_repeated(every, stored(_firsts(every), "firsts")), "later")  # stored, so that a join skewed by a frequent passage can be split
+    columns = ["doc_id", "text_hash", "start", "length", "n_words", "first_doc_id", "first_start"]
+    return later.where("n_words > 0").select(*columns).unionByName(_extended(documents, _joined(later.where("n_words = 0"))).select(*columns))
+
+
+def _joined(later: DataFrame) -> DataFrame:
+    """Runs of one text that overlap, and whose first occurrences in one text overlap too, as one: doc_id, text_hash, start, stop and first_*."""
+    pair = ["doc_id", "text_hash", "first_doc_id", "first_text_hash"]
+    by = Window.partitionBy(*pair).orderBy("start", "first_start")
+    placed = later.select(*pair, "start", "first_start", (F.col("start") + F.col("length")).alias("stop"), (F.col("first_start") + F.col("first_length")).alias("first_stop"))
+    new = F.coalesce((F.col("start") > F.lag("stop").over(by)) | (F.col("first_start") > F.lag("first_stop").over(by)) | (F.col("first_start") < F.lag("first_start").over(by)), F.lit(True))
+    part = placed.withColumn("new", new).withColumn("part", F.sum(F.col("new").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return part.groupBy(*pair, "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_start").alias("first_start"), F.max("first_stop").alias("first_stop")).drop("part")
+
+
+class _Placed:
+    """A text's words, to look beyond a span: hashes of the words before its start and after its stop, nearest first."""
+
+    def __init__(self, text: str, cache: _Normal):
+        words, self.starts, self.stops = _words(text)
+        self.hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+
+    def before(self, start: int) -> np.ndarray:
+        i = int(np.searchsorted(self.starts, start))
+        return self.hashes[max(0, i - PASSAGE + RUN) : i][::-1]
+
+    def after(self, stop: int) -> np.ndarray:
+        i = int(np.searchsorted(self.stops, stop)) + 1
+        return self.hashes[i : i + PASSAGE - RUN]
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    same = a[:n] == b[:n]
+    return n if same.all() else int(same.argmin())
+
+
+_BEYOND = pa.schema([("at_doc", pa.int64()), ("at_hash", pa.int64()), ("side", pa.int32()), ("at", pa.int64()), ("beyond", pa.binary())])
+_SPANS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("n_words", pa.int64()), ("first_doc_id", pa.int64()), ("first_start", pa.int64())])
+
+
+def _extended(documents: DataFrame, joined: DataFrame) -> DataFrame:
+    """Spans with as many words at either end as agree with the first occurrence.
+
+    First the words beyond the first occurrences are taken from their texts, then they meet the texts of the others. What is
+    gathered for a text are places in it, so never more than it has runs.
+    """
+    docs = _keyed(documents).where("text is not null")
+
+    def beyond(batches: Iterator[pa.RecordBatch]):
+        cache = _Normal()
+        for batch in batches:
+            for doc, text_hash, text, starts, stops in zip(*(c.to_pylist() for c in batch.columns)):
+                placed = _Placed(text, cache)
+                for at in starts:
+                    yield doc, text_hash, 0, at, placed.before(at).tobytes()
+                for at in stops:
+                    yield doc, text_hash, 1, at, placed.after(at).tobytes()
+
+    firsts = joined.groupBy(F.col("first_doc_id").alias("of"), F.col("first_text_hash").alias("of_hash")).agg(F.collect_set("first_start").alias("starts"), F.collect_set("first_stop").alias("stops"))
+    at = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash"))).select("doc_id", "text_hash", "text", "starts", "stops")
+    words = stored(at.mapInArrow(lambda b: row_batches(beyond(b), _BEYOND), "at_doc long, at_hash long, side int, at long, beyond binary").distinct(), "beyond")
+    for side, place, name in ((0, "first_start", "before"), (1, "first_stop", "after")):
+        own = words.where(F.col("side") == side).drop("side").withColumnRenamed("beyond", name)
+        joined = joined.join(own, F.col("first_doc_id").eqNullSafe(F.col("at_doc")) & (F.col("first_text_hash") == F.col("at_hash")) & (F.col(place) == F.col("at"))).drop("at_doc", "at_hash", "at")
+    same_text = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_hash") == F.col("first_text_hash"))
+    span = F.struct("start", "stop", "first_doc_id", "first_start", F.when(same_text, F.col("first_stop")).otherwise(0).alias("least"), "before", "after")
+    by_doc = joined.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash")).agg(F.collect_list(span).alias("spans"))
+
+    def extended(batches: Iterator[pa.RecordBatch]):
+        cache = _Normal()
+        for batch in batches:
+            for doc, text_hash, text, found in zip(*(c.to_pylist() for c in batch.columns)):
+                placed = _Placed(text, cache)
+                for x in found:
+                    before, after = (np.frombuffer(x[c], np.uint64) for c in ("before", "after"))
+                    i = int(np.searchsorted(placed.starts, x["start"])) - _agreeing(placed.before(x["start"]), before)
+                    i = max(i, int(np.searchsorted(placed.starts, x["least"])))
+                    j = int(np.searchsorted(placed.stops, x["stop"])) + _agreeing(placed.after(x["stop"]), after)
+                    if i <= j:
+                        start = int(placed.starts[i])
+                        yield doc, text_hash, start, int(placed.stops[j]) - start, j - i + 1, x["first_doc_id"], x["first_start"]
+
+    both = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash"))).select("doc_id", "text_hash", "text", "spans")
+    return both.mapInArrow(lambda b: row_batches(extended(b), _SPANS), "doc_id long, text_hash long, start long, length long, n_words long, first_doc_id long, first_start long").distinct()  # repeated rows
 
 
 def cut(text: str, gone: list[dict]) -> str:

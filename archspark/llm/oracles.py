@@ -105,4 +105,4 @@ WITH line AS (
 SELECT doc_id, CAST(start AS BIGINT) AS start, length, n_words, first_doc_id, CAST(first_start AS BIGINT) AS first_start FROM ranked WHERE k > 1
 """
 
-ORACLES = {"op6_decontamination": OP6, "op8_katz": OP8, "op9_near_duplicates": OP9, "op10_repeated_lines": OP10}
+ORACLES = {"op6_decontamination": OP6, "op8_katz": OP8, "op9_near_duplicates": OP9, "repeated_lines": OP10}

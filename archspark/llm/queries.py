@@ -57,8 +57,9 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
-def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10_repeated_passages that SQL can express: units of whole lines."""
     return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_html_text, op4_language, op5_packing, op6_decontamination, op7_licences, op8_katz, op9_near_duplicates, op10_repeated_passages, op10_repeated_lines)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_html_text, op4_language, op5_packing, op6_decontamination, op7_licences, op8_katz, op9_near_duplicates, op10_repeated_passages, repeated_lines)}

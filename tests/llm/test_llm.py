@@ -346,7 +346,7 @@ def test_repeated_lines(spark, odd, none):
 
 
 def test_repeated_passages_equal_a_brute_force_search(spark):
-    """Every run of 50 words that occurred before meets a span; every span's words occurred before; rows that share an id keep their own spans."""
+    """Every run of 50 words that occurred before lies in a span; every span's words occurred before; rows that share an id keep their own spans."""
     rng = np.random.default_rng(5)
     made = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
     passages = [made(n) for n in (50, 60, 90, 200, 49)]
@@ -367,9 +367,13 @@ def test_repeated_passages_equal_a_brute_force_search(spark):
         runs = [tuple(words[i : i + 50]) for i in range(len(words) - 49)]
         for i, run in enumerate(runs):
             if run in before:
-                assert any(places[i][0] <= a and b <= places[i + 49][1] for a, b in found[text])
+                assert any(a <= places[i][0] and places[i + 49][1] <= b for a, b in found[text])
+            covered = [w for w, (a, b) in zip(words, places) if any(x <= a and b <= y for x, y in found.get(text, []))]
         before |= set(runs)
         whole += " ".join(words) + " | "
+        own = next((p for p in passages if " ".join(p) in " ".join(words)), None)
+        if own and found.get(text) and len(own) >= 50:
+            assert covered == own  # the whole passage, nothing else
     assert found
     left = {r.text for r in line_dedup.without_lines(df, line_dedup.repeated_passages(df)).collect()}
     assert texts[15][1] in left and texts[18][1] in left and texts[16][1] not in left
