@@ -1,15 +1,19 @@
 """MinHash near-duplicates by fast similarity sketching, banding and exact verification.
 
 A document's set is its distinct five-word shingles. Documents with equal sets form a class, whose smallest id stands for
-it. Class sketches have COORDINATES bins: in round i every shingle is thrown into one bin with a value in [i, i+1); a bin
+it (a doc_id with several texts is in several classes, and links them). Class sketches have COORDINATES bins: in round i every shingle is thrown into one bin with a value in [i, i+1); a bin
 keeps its smallest value; rounds go on until every bin has one, and from round COORDINATES on, round i aims at bin
 i - COORDINATES, so all bins fill. Bands of ROWS coordinates are the buckets.
 
 No table of all pairs of a bucket is made. First the smallest id of each bucket is paired with the others, the pairs are
 verified on whole sets, and components are formed. Then, in buckets that still hold several components, the members outside
-of the bucket's largest component meet all others, in blocks of bounded size; inside a task the sketches of a block are
-compared, and pairs that may be linked and aren't connected yet are verified on whole sets. All pairs of one bucket are thus
-either tested or already connected.
+of the bucket's largest component meet all others: both kinds are dealt into blocks of about BLOCK members, and each two blocks
+that have to meet are one task of at most about 2 * BLOCK. There the sketches are compared, and pairs that may be linked and
+aren't connected yet are verified on whole sets. All pairs of one bucket are thus either tested or already connected. A bucket
+of m members of which none is linked to the rest costs m * m / BLOCK rows: no family like it can be told apart beforehand
+without losing links near the threshold.
+
+Two linked documents share no band with probability 5e-6 at most, and agree in fewer than LEAST_AGREEING coordinates with 4e-6.
 """
 
 from __future__ import annotations
@@ -58,7 +62,7 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return mixed(total).view(np.int64)
 
 
-_SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_SKETCHED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,15 +70,15 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows():
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
+            for doc, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
                 s = shingle_set(text, cache)
                 if not len(s):
-                    yield doc, 0, None, [], b""
+                    yield doc, text_hash, 0, None, [], b""
                     continue
                 sig = int(mixed(np.array([mixed(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].view(np.int64))
                 # sets of one or two shingles reach three quarters with equal sets only
                 bins = fast_sketch(s) if len(s) > 2 else None
-                yield doc, len(s), sig, band_keys(bins).tolist() if bins is not None else [], (bins >> np.uint64(56)).astype(np.uint8).tobytes() if bins is not None else b""
+                yield doc, text_hash, len(s), sig, band_keys(bins).tolist() if bins is not None else [], (bins >> np.uint64(56)).astype(np.uint8).tobytes() if bins is not None else b""
 
     return row_batches(rows(), _SKETCHED)
 
@@ -89,55 +93,59 @@ def _fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow a link."""
-    side = lambda p: nodes.select(F.col("doc_id").alias(p), F.col("n").alias(f"n_{p}"), F.col("sketch").alias(f"sketch_{p}"))
+    """The pairs of classes (a, b, a_doc, b_doc) whose sizes and sketches allow a link."""
+    side = lambda p: nodes.select(F.col("sig").alias(p), F.col("n").alias(f"n_{p}"), F.col("sketch").alias(f"sketch_{p}"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m = (batch.column(i).to_numpy() for i in (2, 3))
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (4, 5))
-            yield batch.select([0, 1]).filter(pa.array(((a == b).sum(axis=1) >= LEAST_AGREEING) & _fits(n, m)))
+            n, m = (batch.column(i).to_numpy() for i in (4, 5))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (6, 7))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(((a == b).sum(axis=1) >= LEAST_AGREEING) & _fits(n, m)))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-    return both.mapInArrow(kept, "a long, b long")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_doc", "b_doc", "n_a", "n_b", "sketch_a", "sketch_b")
+    return both.mapInArrow(kept, "a long, b long, a_doc long, b_doc long")
 
 
 def _verified(pairs: DataFrame, texts_of: DataFrame) -> DataFrame:
-    """Keep the pairs whose whole sets reach the similarity; texts go to the pairs, sets are made again in the task."""
-    side = lambda p: texts_of.select(F.col("doc_id").alias(p), F.col("text").alias(f"text_{p}"))
+    """(a, b): the doc_ids of the pairs whose whole sets reach the similarity; texts go to the pairs, sets are made again in the task."""
+    side = lambda p: texts_of.select(F.col("sig").alias(p), F.col("text").alias(f"text_{p}"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, sets = WordHashes(), {}
 
-        def of(doc: int, text: bytes) -> np.ndarray:
-            if doc not in sets:
+        def of(sig: int, text: bytes) -> np.ndarray:
+            if sig not in sets:
                 if len(sets) >= 256:
                     sets.clear()
-                sets[doc] = shingle_set(text, cache)
-            return sets[doc]
+                sets[sig] = shingle_set(text, cache)
+            return sets[sig]
 
         for batch in batches:
             ids = [batch.column(i).to_pylist() for i in (0, 1)]
-            mask = [_linked(of(a, x), of(b, y)) for a, b, x, y in zip(*ids, texts(batch.column(2)), texts(batch.column(3)))]
-            yield batch.select([0, 1]).filter(pa.array(mask, pa.bool_()))
+            mask = [_linked(of(a, x), of(b, y)) for a, b, x, y in zip(*ids, texts(batch.column(4)), texts(batch.column(5)))]
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(mask, pa.bool_())).columns[2:4], names=["a", "b"])
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_doc", "b_doc", "text_a", "text_b")
     return both.mapInArrow(kept, "a long, b long")
 
 
-_BLOCK_ARROW = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("docs", pa.list_(pa.int64())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("component", pa.list_(pa.int64()))])
+_BLOCK = "key long, block int, other int, sigs array<long>, docs array<long>, a array<int>, b array<int>, component array<long>"
+_BLOCK_ARROW = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("other", pa.int32()), ("sigs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("component", pa.list_(pa.int64()))])
 _LINK_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _candidates(rows: pa.Table) -> pa.Table:
-    """One block of a bucket: the pairs of a member outside of the largest component and a member of the block, of different components, that may be linked and have this bucket as their first; most alike first."""
-    doc, component, n, band = (rows.column(c).to_numpy() for c in ("doc_id", "component", "n", "band"))
-    minor, guest = (np.array(rows.column(c).to_pylist(), bool) for c in ("minor", "guest"))
+    """Two blocks of a bucket, or one with itself: the pairs of a member outside of the largest component and another, of different components, that may be linked and have this bucket as their first; most alike first."""
+    sig, doc, component, n, band, own = (rows.column(c).to_numpy() for c in ("sig", "doc_id", "component", "n", "band", "own"))
+    block, other = (rows.column(c)[0].as_py() for c in ("block", "other"))
     sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
     bands = np.array(rows.column("bands").to_pylist(), np.int64).reshape(len(doc), -1)
+    right = np.flatnonzero(own == other)
     found: list[tuple[int, int, int]] = []
-    for i in np.flatnonzero(minor):
-        with_ = np.flatnonzero(~guest & (component != component[i]) & (~minor | (doc > doc[i])) & _fits(n, n[i]))
+    for i in np.flatnonzero(own == block):
+        with_ = right[(component[right] != component[i]) & _fits(n[right], n[i])]
+        if block == other:
+            with_ = with_[sig[with_] > sig[i]]
         alike = (sketches[with_] == sketches[i]).sum(axis=1)
         with_, alike = with_[alike >= LEAST_AGREEING], alike[alike >= LEAST_AGREEING]
         first = (bands[with_] == bands[i]).argmax(axis=1) == band[i]
@@ -147,7 +155,7 @@ def _candidates(rows: pa.Table) -> pa.Table:
     found.sort()
     used, place = np.unique([(i, j) for _, i, j in found], return_inverse=True)
     place = place.reshape(-1, 2)
-    values = (rows.column("key")[0].as_py(), rows.column("block")[0].as_py(), doc[used].tolist(), place[:, 0].tolist(), place[:, 1].tolist(), component[used].tolist())
+    values = (rows.column("key")[0].as_py(), block, other, sig[used].tolist(), doc[used].tolist(), place[:, 0].tolist(), place[:, 1].tolist(), component[used].tolist())
     return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(values, _BLOCK_ARROW)], schema=_BLOCK_ARROW)
 
 
@@ -156,7 +164,7 @@ def _block_links(block: pa.Table, docs: pa.Table) -> pa.Table:
     links: list[tuple[int, int]] = []
     if block.num_rows:
         own, cache = block.to_pylist()[0], WordHashes()
-        sets = {d: shingle_set(t, cache) for d, t in zip(docs.column("doc_id").to_pylist(), texts(docs.column("text")))}
+        sets = {d: shingle_set(t, cache) for d, t in zip(docs.column("sig").to_pylist(), texts(docs.column("text")))}
         root = {c: c for c in own["component"]}
 
         def top(c: int) -> int:
@@ -166,7 +174,7 @@ def _block_links(block: pa.Table, docs: pa.Table) -> pa.Table:
 
         for i, j in zip(own["a"], own["b"]):
             x, y = top(own["component"][i]), top(own["component"][j])
-            if x != y and _linked(sets[own["docs"][i]], sets[own["docs"][j]]):
+            if x != y and _linked(sets[own["sigs"][i]], sets[own["sigs"][j]]):
                 root[max(x, y)] = min(x, y)
                 links.append((own["docs"][i], own["docs"][j]))
     return pa.Table.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=_LINK_ARROW)
@@ -174,45 +182,54 @@ def _block_links(block: pa.Table, docs: pa.Table) -> pa.Table:
 
 def _open_links(multi: DataFrame, comp: DataFrame, nodes: DataFrame, texts_of: DataFrame) -> DataFrame:
     """Links between members of one bucket that are in different components so far."""
-    placed = multi.join(comp, multi["doc_id"] == comp["id"], "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = multi.join(comp, multi["doc_id"] == comp["id"], "left").select("key", "band", "sig", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     by_component = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
     split = by_component.groupBy("key").agg(F.max(F.struct("size", F.col("component").alias("c"))).alias("largest"), F.sum("size").alias("total"), F.count("*").alias("parts"))
-    split = split.where("parts > 1").select("key", F.col("largest.c").alias("major"), F.ceil(F.col("total") / BLOCK).cast("int").alias("n_blocks"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int")
+    many = lambda members: F.ceil(members / BLOCK).cast("int")
+    split = split.where("parts > 1").select("key", F.col("largest.c").alias("major"), many(F.col("total") - F.col("largest.size")).alias("n_minor"), many(F.col("largest.size")).alias("n_major"))
     minor = F.col("component") != F.col("major")
-    blocks = F.when(minor, F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(own))
-    dealt = placed.join(split, "key").select("key", "band", "doc_id", "component", minor.alias("minor"), own.alias("own"), F.explode(blocks).alias("block"))
-    dealt = dealt.join(nodes, "doc_id").select("key", "block", "band", "doc_id", "component", "minor", (F.col("own") != F.col("block")).alias("guest"), "n", "sketch", "bands")
-    found = stored(dealt.groupBy("key", "block").applyInArrow(_candidates, "key long, block int, docs array<long>, a array<int>, b array<int>, component array<long>"), "blocks")
-    wanted = found.select(F.col("key").alias("w_key"), F.col("block").alias("w_block"), F.explode("docs").alias("doc_id")).join(texts_of, "doc_id").select("w_key", "w_block", "doc_id", "text")
-    return found.groupBy("key", "block").cogroup(wanted.groupBy("w_key", "w_block")).applyInArrow(_block_links, "a long, b long")
+    # blocks of minors have the numbers 0, 1, .., those of the largest component -1, -2, ..
+    own = F.when(minor, F.pmod(F.xxhash64("sig"), F.col("n_minor"))).otherwise(-1 - F.pmod(F.xxhash64("sig"), F.col("n_major"))).cast("int")
+    dealt = placed.join(split, "key").select("key", "band", "sig", "doc_id", "component", "n_minor", "n_major", minor.alias("minor"), own.alias("own"))
+    with_minors = F.transform(F.sequence(F.lit(0), F.col("n_minor") - 1), lambda j: F.when(F.col("own") < 0, F.struct(j.alias("block"), F.col("own").alias("other"))).otherwise(F.struct(F.least("own", j).alias("block"), F.greatest("own", j).alias("other"))))
+    with_majors = F.transform(F.sequence(F.lit(-1), -F.col("n_major"), F.lit(-1)), lambda j: F.struct(F.col("own").alias("block"), j.alias("other")))
+    tasks = F.when(F.col("minor"), F.concat(with_minors, with_majors)).otherwise(with_minors)
+    dealt = dealt.select("key", "band", "sig", "doc_id", "component", "own", F.explode(tasks).alias("task")).select("key", "task.block", "task.other", "band", "sig", "doc_id", "component", "own")
+    dealt = dealt.join(nodes, "sig").select("key", "block", "other", "band", "sig", "doc_id", "component", "own", "n", "sketch", "bands")
+    found = stored(dealt.groupBy("key", "block", "other").applyInArrow(_candidates, _BLOCK), "blocks")
+    wanted = found.select(F.col("key").alias("w_key"), F.col("block").alias("w_block"), F.col("other").alias("w_other"), F.explode("sigs").alias("sig")).join(texts_of, "sig").select("w_key", "w_block", "w_other", "sig", "text")
+    return found.groupBy("key", "block", "other").cogroup(wanted.groupBy("w_key", "w_block", "w_other")).applyInArrow(_block_links, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_shingles, component_id, kept, class_id.
 
     Null and empty texts have no set and link with nothing. Repeated rows come back each; a doc_id with several texts links as
-    all of them, verified on the first. A row without doc_id comes back unlinked, with null component_id, and is kept. An
-    empty table gives no rows.
+    all of them, each verified on its own set. A row without doc_id comes back unlinked, with null component_id, and is kept.
+    An empty table gives no rows.
     """
-    documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = stored(documents.mapInArrow(_sketched, "doc_id long, n_shingles long, sig long, bands array<long>, sketch binary"), "sketches")
+    documents = documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
+    rows = stored(documents.mapInArrow(_sketched, "doc_id long, text_hash long, n_shingles long, sig long, bands array<long>, sketch binary"), "sketches")
     own = rows.where("sig is not null and doc_id is not null")
-    classes = stored(own.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    tied = own.select("doc_id", "sig").join(classes.select("sig", F.col("doc_id").alias("class_id")), "sig").select("doc_id", "class_id")
-    copies = tied.where("doc_id != class_id")
-
-    members = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    least = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("key", "centre")
-    multi = stored(members.join(least, "key").select("key", F.col("band").cast("short").alias("band"), "doc_id", "centre"), "members")
-    needed = multi.select("doc_id").distinct()
-    nodes = stored(classes.join(needed, "doc_id", "left_semi").select("doc_id", "n", "sketch", "bands"), "nodes")
-    texts_of = stored(documents.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-
-    pairs = multi.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    one = F.min(F.struct("doc_id", "text_hash")).alias("one")
+    classes = stored(own.groupBy("sig").agg(one, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select("sig", "one.doc_id", "one.text_hash", "n", "bands", "sketch"), "classes")
+    tied = own.select("doc_id", "sig").join(classes.select("sig", F.col("doc_id").alias("of")), "sig").select("doc_id", "of")
+    placed_in = stored(tied.groupBy("doc_id").agg(F.min("of").alias("class_id"), F.max("of").alias("last")), "placed")
+    several = placed_in.where("class_id < last").select("doc_id", "class_id")  # a doc_id with several texts is in the classes of them all
+    across = tied.join(several, "doc_id").where("of != class_id").select(F.col("class_id").alias("a"), F.col("of").alias("b")).distinct()
+
+    members = classes.select("sig", "doc_id", F.posexplode("bands").alias("band", "key"))
+    least = members.groupBy("key").agg(F.min(F.struct("doc_id", "sig")).alias("centre"), F.max(F.struct("doc_id", "sig")).alias("last")).where("centre < last").select("key", "centre")
+    multi = stored(members.join(least, "key").select("key", F.col("band").cast("short").alias("band"), "sig", "doc_id", "centre"), "members")
+    needed = multi.select("sig").distinct()
+    nodes = stored(classes.join(needed, "sig", "left_semi").select("sig", "doc_id", "text_hash", "n", "sketch", "bands"), "nodes")
+    texts_of = stored(documents.join(nodes.select("doc_id", "text_hash", "sig"), ["doc_id", "text_hash"]).groupBy("sig").agg(F.min("text").alias("text")), "texts")
+    nodes = nodes.select("sig", "n", "sketch", "bands")
+
+    pairs = multi.where("sig != centre.sig").select(F.col("centre.sig").alias("a"), F.col("sig").alias("b"), F.col("centre.doc_id").alias("a_doc"), F.col("doc_id").alias("b_doc")).distinct()
     links = stored(_verified(stored(_likely(pairs, nodes), "likely"), texts_of), "links")
-    comp = stored(components(links.union(copies)), "components")
-    more = stored(_open_links(multi.select("key", "band", "doc_id"), comp, nodes, texts_of).distinct(), "more")
+    comp = stored(components(links.union(across)), "components")
+    more = stored(_open_links(multi.select("key", "band", "sig", "doc_id"), comp, nodes, texts_of).distinct(), "more")
 
     def placed(links: DataFrame, of: DataFrame) -> DataFrame:
         """Component of both ends of the links."""
@@ -225,8 +242,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         joined = components(placed(more, comp)).select(F.col("id").alias("old"), F.col("component").alias("new"))
         every = comp.union(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left_anti").select("id", F.col("id").alias("component")))
         final = stored(every.join(joined, every["component"] == joined["old"], "left").select("id", F.coalesce("new", "component").alias("component")), "components")
-    placing = tied.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    placing = placing.join(final, placing["doc_id"] == final["id"], "left").select("doc_id", "class_id", F.coalesce("component", "doc_id").alias("component_id"))
+    placing = placed_in.join(final, placed_in["class_id"] == final["id"], "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     return rows.select("doc_id", "n_shingles").join(placing, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id")
     )
