@@ -116,6 +116,57 @@ def test_html_text(html):
     assert html_text.main_text(html) == TEXT
 
 
+LONG = "This is a sentence of the article that says something at some length. " * 4
+
+
+def test_html_text_by_density_without_article_or_main():
+    lead, part = "L" * 600, "p" * 300
+    wrap = f"<body><div class=wrap><p>{lead}</p><div class=text>{f'<p>{part}</p>' * 10}</div></div><div class=nav><a href=x>one</a> <a href=y>two</a></div></body>"
+    assert html_text.main_text(wrap) == " ".join([lead, *[part] * 10])
+    links = "".join(f"<li><a href=/{i}>a linked headline number {i}</a></li>" for i in range(30))
+    assert html_text.main_text(f"<body><ul>{links}</ul><div><h1>A title</h1><p>{LONG}</p><p>{LONG}</p></div><p>tiny</p></body>") == " ".join(["A title", LONG.strip(), LONG.strip()])
+    assert html_text.main_text(f"<body><div><p>{LONG}</p></div><div><a href=x>x</a></div></body>") == LONG.strip()
+    assert html_text.main_text(f"<body>{LONG}<div><p>tiny</p></div></body>").startswith(LONG.strip())
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "post-with-comments", "related-work", "no-sidebar"])
+def test_html_text_keeps_what_only_mentions_another_part(name):
+    assert html_text.main_text(f"<body><div class='{name}'><h1>A title</h1><p>{LONG}</p><p>{LONG}</p></div></body>") == " ".join(["A title", LONG.strip(), LONG.strip()])
+
+
+@pytest.mark.parametrize("name", ["comment-list", "cookie-banner", "sidebar", "site-footer", "ad-slot-2", "related-posts"])
+def test_html_text_leaves_out_what_names_itself_another_part(name):
+    inside = f"<h1>A title</h1><div class='article-header'><p>{LONG}</p></div><section id='related-work'><p>{LONG}</p></section>"
+    assert html_text.main_text(f"<body><div>{inside}<div class='{name}'><p>{LONG} other</p></div></div></body>") == " ".join(["A title", LONG.strip(), LONG.strip()])
+
+
+def test_html_text_of_comments_and_forms():
+    comments = "".join(f"<article class='comment'><p>{LONG} by reader {i}</p></article>" for i in range(5))
+    assert html_text.main_text(f"<body><article><h1>A title</h1><p>{LONG}</p><div>{comments}</div></article></body>") == f"A title {LONG.strip()}"
+    assert html_text.main_text(f"<body><form action='.'><div><h1>A title</h1><p>{LONG}</p><p>{LONG}</p><input></div></form></body>") == " ".join(["A title", LONG.strip(), LONG.strip()])
+    assert html_text.main_text(f"<body><div class='widget'><main><p>{LONG}</p></main></div></body>") == LONG.strip()
+
+
+def test_html_text_of_deep_pages_takes_time_in_proportion():
+    import time
+
+    took = []
+    for n in (4000, 16_000):
+        page = "<body>" + "<div><b>" * n + "deep" + "</i></p></span>" * n + "</div>" * n
+        began = time.perf_counter()
+        assert html_text.main_text(page) == "deep"
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_html_text_of_repeated_rows_and_empty_tables(spark):
+    rows = [(1, "u", PAGE.format(ARTICLE), "a"), (1, "u", PAGE.format(ARTICLE), "a"), (None, None, None, "b")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_text.extract(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and sorted(r.n_chars for r in got.collect()) == [0, len(TEXT), len(TEXT)]
+    assert html_text.extract(df.where("false")).count() == 0
+
+
 def test_html_text_of_the_pages(spark, duck):
     import html
 
@@ -301,6 +352,66 @@ def test_sketch_coordinates_agree_as_sets_do():
     assert max(hits) < 0.15 and len(np.unique(near_dedup.fast_sketch(a[:3]))) <= near_dedup.COORDINATES
 
 
+def linked_by_brute_force(rows):
+    """rows of (doc_id, text) -> doc_id -> smallest doc_id reachable."""
+    sets = [(d, set(zip(*(t.lower().split()[k:] for k in range(5))))) for d, t in rows]
+    parent = {d: d for d, _ in sets}
+
+    def top(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for i, (a, s) in enumerate(sets):
+        for b, r in sets[:i]:
+            if 100 * len(s & r) >= 75 * len(s | r) > 0:
+                x, y = sorted((top(a), top(b)))
+                parent[y] = x
+    return {d: top(d) for d, _ in sets}
+
+
+def test_near_duplicates_in_small_blocks_and_of_ids_with_several_texts(spark, monkeypatch):
+    """Families at 0.6 to 0.9 of their templates, blocks of 8 members: blocks of both kinds meet. Ids 3 and 40 have texts in two families."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(8)
+    rows = []
+    for family in range(3):
+        words = [f"f{family}_{i}" for i in range(150)]
+        for _ in range(60):
+            own = list(words)
+            for _ in range(int(rng.integers(1, 6))):
+                own[int(rng.integers(0, 150))] = f"x{rng.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(3, rows[70][1]), (40, rows[130][1] + " and more")]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == linked_by_brute_force(rows)
+
+
+def test_near_duplicates_finds_pairs_at_the_threshold(spark):
+    """400 pairs whose similarity is 0.75 to 0.80: no link is lost."""
+    rng = np.random.default_rng(9)
+    rows = []
+    while len(rows) < 800:
+        words = [f"p{len(rows)}_{i}" for i in range(204)]
+        other = list(words)
+        for at in rng.choice(np.arange(2, 202), int(rng.integers(5, 7)), replace=False):
+            other[at] = "edit"
+        s, r = (set(zip(*(w[k:] for k in range(5)))) for w in (words, other))
+        if 0.75 <= len(s & r) / len(s | r) <= 0.80:
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    from archspark.llm import components as c
+
+    monkeypatch.setattr(c, "HUB", 50)
+    links = [(0, i) for i in range(10, 400)] + [(i, i + 1) for i in range(500, 560)] + [(399, 500), (700, 701)]
+    got = {r.id: r.component for r in c.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for a, b in links[:-1] for i in (a, b)}, 700: 700, 701: 700}
+
+
 def test_near_duplicates_of_a_family_without_a_centre(spark, odd, none):
     """Chains of copies, each edited from the one before: links between neighbours only, all in one component."""
     rng = np.random.default_rng(4)
@@ -312,20 +423,7 @@ def test_near_duplicates_of_a_family_without_a_centre(spark, odd, none):
         words[at : at + 9] = [f"n{i}_{k}" for k in range(9)]
     rows += [(500 + i, " ".join(f"z{i}_{k}" for k in range(50))) for i in range(20)] + [(700, rows[0][1].upper()), (701, rows[0][1])]
     got = {r.doc_id: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = {d: set(zip(*(t.lower().split()[k:] for k in range(5)))) for d, t in rows}
-    parent = {d: d for d in sets}
-
-    def top(d):
-        while parent[d] != d:
-            d = parent[d]
-        return d
-
-    for a in sets:
-        for b in sets:
-            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                x, y = sorted((top(a), top(b)))
-                parent[y] = x
-    assert {d: r.component_id for d, r in got.items()} == {d: top(d) for d in sets}
+    assert {d: r.component_id for d, r in got.items()} == linked_by_brute_force(rows)
     rest = near_dedup.near_duplicates(odd).collect()
     assert len(rest) == len(ODD) and {r.component_id for r in rest if r.doc_id in (4, 5)} == {4} and all(r.n_shingles == 0 and r.kept for r in rest if r.doc_id in (1, 2, 3, 6))
     assert near_dedup.near_duplicates(none).count() == 0
