@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +24,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir. A temporary one where it is unset in local mode (tests); on a cluster that is an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         given = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given
 
 
+#: Folders and tables that this process wrote for its own use, in order.
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write `df` as a table in the shared folder and read it back: cuts lineage and survives lost executors. `discard` removes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, what: str, column: str) -> DataFrame:
+    """As `stored`, as a table bucketed by a column into spark.sql.shuffle.partitions buckets."""
+    spark, name = df.sparkSession, f"{what}_{uuid.uuid4().hex}"
+    _WRITTEN.append(name)
+    df.write.bucketBy(partitions(spark), column).option("compression", "uncompressed").saveAsTable(name)
+    return spark.table(name)
+
+
+def written() -> int:
+    """How much was written so far; `discard` takes it for `since`."""
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Remove what `stored` and `bucketed` wrote since then, but for the files of one DataFrame. Results that read it must have been written."""
+    kept = {str(Path(f).parent.name) for f in but.inputFiles()} if but is not None else set()
+    for what in _WRITTEN[since:]:
+        if "/" not in what:
+            spark.sql(f"DROP TABLE IF EXISTS {what}")
+        elif what.rsplit("/", 1)[1] not in kept:
+            path = spark._jvm.org.apache.hadoop.fs.Path(what)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _WRITTEN[since:]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,7 +1,8 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax and calibrated rejection.
 
-The model is trained by stochastic gradient descent in numpy on a bounded sample (SAMPLE texts per language, LANGUAGES
-languages at most); every text is then scored whole. As the model is linear in the mean embedding, a word's contribution
+The model is trained by stochastic gradient descent in numpy on a bounded sample: WINDOWS windows of 2 to 60 words from
+anywhere in each of SAMPLE texts per language (LANGUAGES languages at most), cut in the tasks that read them. Every text is then
+scored whole. As the model is linear in the mean embedding, a word's contribution
 is one row of logits, which a task caches.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from archspark.llm.common import CACHE_WORDS, nothing_kept, row_batches
 
-SAMPLE, LANGUAGES = 1200, 200
+SAMPLE, LANGUAGES, WINDOWS = 1200, 200, 4
 BUCKETS, DIM, EPOCHS = 1 << 15, 16, 3
 SUBWORDS = (2, 3, 4)
 #: Share of validation texts, plain ones and mixtures of two languages, that calibration lets each rejection rule reject.
@@ -28,8 +29,8 @@ REJECTED = 0.0005
 LET_THROUGH = 0.01
 #: Subwords of a text beyond these make its share of known ones no surer.
 MOST_SUBWORDS = 400
-#: Characters of sampled texts by the number of languages: the driver holds SAMPLE texts of each.
-SAMPLE_CHARS = 250_000
+#: A sampled text with a word of more letters than this gives no window with it.
+MOST_LETTERS = 100
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -67,31 +68,34 @@ def _short(share: float, usual: float, n: float) -> float:
     return (usual - share) * min(n, MOST_SUBWORDS) ** 0.5
 
 
-def train(examples: list[tuple[str, str]], seed: int = 1) -> LanguageModel | None:
-    """(text, language) pairs -> model; None without examples. Texts are cut into windows of 2 to 60 words, so that short texts are calibrated too."""
+def windows(text: str, seed: int) -> list[str]:
+    """WINDOWS windows of 2 to 60 words of a text, so that short texts are calibrated too; none without a word."""
     rng = np.random.default_rng(seed)
-    languages = sorted({lang for _, lang in examples})
+    words = [w for w in _WORD.findall(text.lower()) if len(w) <= MOST_LETTERS]
+    out = []
+    for _ in range(WINDOWS):
+        n = int(rng.integers(2, 60))
+        at = int(rng.integers(0, max(1, len(words) - n)))
+        out.append(" ".join(words[at : at + n]))
+    return [w for w in out if w]
+
+
+def train(examples: list[tuple[str, str, bool]], seed: int = 1) -> LanguageModel | None:
+    """(window, language, held out for calibration) -> model; None without examples."""
+    rng = np.random.default_rng(seed)
+    languages = sorted({lang for _, lang, _ in examples})
     if not languages:
         return None
     known: dict[str, np.ndarray] = {}
     features, whole, labels, held = [], [], [], []
-    for i, (text, lang) in enumerate(examples):
-        words = _WORD.findall(text.lower())
-        at = 0
-        for _ in range(4):
-            n = int(rng.integers(2, 60))
-            at = int(rng.integers(0, max(1, len(words) - n)))
-            window = words[at : at + n]
-            if window:
-                for w in window:
-                    if w not in known:
-                        known[w] = np.array(subwords(w), np.int64)
-                whole.append(np.concatenate([known[w] for w in window]).astype(np.uint32))
-                features.append((whole[-1] % BUCKETS).astype(np.int64))
-                labels.append(languages.index(lang))
-                held.append(i % 8 == 7)
-    if not features:
-        return None
+    for window, lang, out in examples:
+        for w in window.split():
+            if w not in known:
+                known[w] = np.array(subwords(w), np.int64)
+        whole.append(np.concatenate([known[w] for w in window.split()]).astype(np.uint32))
+        features.append((whole[-1] % BUCKETS).astype(np.int64))
+        labels.append(languages.index(lang))
+        held.append(out)
     labels, held = np.array(labels), np.array(held)
     share = np.bincount(labels, minlength=len(languages)).astype(float)
     weight = (len(labels) / len(languages) / np.maximum(share, 1))[labels].clip(0.2, 20)
@@ -223,14 +227,28 @@ def accepted(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
     return documents.mapInArrow(rows, documents.schema)
 
 
+_WINDOWS = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("k", pa.int32()), ("text", pa.string())])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for lang, h, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for k, window in enumerate(windows(text, h & (2**63 - 1))):
+                yield lang, h, k, window
+
+
 def fit(labelled: DataFrame) -> LanguageModel | None:
-    """labelled(doc_id, text, lang) -> model, from SAMPLE rows of each of the LANGUAGES most frequent languages, those of the smallest id hashes."""
-    known = labelled.where("lang is not null and text is not null").select(F.col("doc_id"), F.col("text"), F.col("lang"))
+    """labelled(doc_id, text, lang) -> model, from about SAMPLE rows of each of the LANGUAGES most frequent languages, by the hash of id and text.
+
+    Only windows reach the driver, WINDOWS * SAMPLE for each language. Repeated rows count once. A row in eight is held out to
+    calibrate the temperature and the rejection.
+    """
+    known = labelled.where("lang is not null and text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.col("text"), F.col("lang"))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], SAMPLE / r["count"])))
-    drawn = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)) < F.element_at(share, F.col("lang"))
-    sample = known.where(drawn).select(F.substring("text", 1, SAMPLE_CHARS // len(counts)).alias("text"), "lang", F.xxhash64("doc_id").alias("h"), "doc_id")
-    rows = sample.orderBy("h", "doc_id", "text").limit(SAMPLE * len(counts)).select("text", "lang").collect()
-    return train([(r["text"], r["lang"]) for r in rows])
+    drawn = (F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < F.element_at(share, F.col("lang"))
+    cut = known.where(drawn).select("lang", "h", "text").mapInArrow(lambda b: row_batches(_cut(b), _WINDOWS), "lang string, h long, k int, text string").distinct()
+    rows = cut.orderBy(F.shiftrightunsigned("h", 20), "h", "k", "lang").limit(WINDOWS * SAMPLE * len(counts)).collect()
+    return train([(r["text"], r["lang"], (r["h"] >> 40) % 8 == 7) for r in rows])

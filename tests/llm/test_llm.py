@@ -191,7 +191,10 @@ def test_language_on_held_out_documents(spark, duck):
 
 
 def test_language_of_odd_tables(spark, odd, none):
-    model = language.train([("the cat sat on the mat and it was good " * 5, "en"), ("der hund und die katze sind nicht gut " * 5, "de")] * 20)
+    texts = [("the cat sat on the mat and it was good " * 5, "en"), ("der hund und die katze sind nicht gut " * 5, "de")]
+    model = language.train([(w, lang, seed % 8 == 7) for seed in range(20) for t, lang in texts for w in language.windows(t, seed)])
+    fitted = language.fit(odd)
+    assert fitted.languages == ["x"] and len(language.identify(odd, fitted).collect()) == len(ODD)
     got = [tuple(r) for r in language.identify(odd, model).collect()]
     assert len(got) == len(ODD) and {r[1] for r in got if r[0] in (1, 2, 3, 6, 8)} == {"und"}
     assert language.accepted(odd, model).columns == odd.columns and language.accepted(none, None).count() == 0 and language.fit(none) is None
@@ -215,6 +218,17 @@ def test_language_rejects_unknown_languages_whatever_the_input_size(spark):
     assert language.accepted(docs, model).count() >= 0.995 * docs.where("text is not null").count()
 
 
+def test_language_rejects_a_language_left_out_and_few_rows_not_looked_at(spark):
+    """Trained on the rows of three languages that crc32 gives to training: of the fourth language most long texts go; of the three, hardly one of the rows that training never saw."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang is not null and text is not null")
+    left_out = docs.selectExpr("min(lang)").first()[0]
+    own = docs.where(docs.lang != left_out)
+    model = language.fit(own.where("crc32(cast(cast(doc_id as string) as binary)) % 4 != 2"))
+    seen = language.identify(own.where("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"), model).where("lang_pred != 'und'").selectExpr("avg(cast(not accepted as int))").first()[0]
+    strange = language.identify(docs.where((docs.lang == left_out) & (docs.n_chars > 400)), model).selectExpr("avg(cast(not accepted as int))").first()[0]
+    assert seen < 0.005 and strange > 0.9, (seen, strange)
+
+
 def test_packing_round_trip(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     from tokenizers import Tokenizer
@@ -477,6 +491,20 @@ def test_repeated_passages_equal_a_brute_force_search(spark):
     assert texts[15][1] in left and texts[18][1] in left and texts[16][1] not in left
 
 
+def test_what_operators_write_is_removed(spark):
+    from pathlib import Path
+
+    from archspark.llm import common
+
+    before = common.written()
+    kept = common.stored(spark.range(3), "kept")
+    common.stored(spark.range(4), "gone")
+    common.bucketed(spark.range(5), "coded", "id")
+    gone, table = common._WRITTEN[-2:]
+    common.discard(spark, before, kept)
+    assert kept.count() == 3 and not Path(gone.removeprefix("file://")).exists() and not spark.catalog.tableExists(table)
+
+
 def test_pipeline(spark, duck):
     """Stage by stage: each keeps what a plain reading of its operator's result keeps."""
     import corpus_pipeline as p
