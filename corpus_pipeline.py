@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archspark.llm import decontaminate, language, line_dedup, near_dedup, packing
-from archspark.llm.common import stored, table
+from archspark.llm.common import discard, stored, table, written
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -49,13 +49,15 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("language", identify_language), ("near_duplicates", drop_near_duplicates), ("repeated_passages", drop_repeated_passages), ("decontamination", drop_contaminated), ("packing", pack_sequences)]
 
-#: No stage but the third and fourth can be said in SQL; tests/llm/test_pipeline.py checks the stages against plain versions.
+#: The first, third and last stage can't be said in SQL; tests/llm/test_llm.py checks each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet in the shared folder and read again."""
+    """All stages over documents; each result is written as Parquet in the shared folder and read again. What a stage wrote for itself is removed after it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = written()
         docs = stored(stage(spark, docs, sf_dir), name)
+        discard(spark, before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
