@@ -304,6 +304,36 @@ def test_licences(spark, odd, none):
     assert licenses.scan(odd, model).where("confirmed").count() == 0 and licenses.scan(none, licenses.fit(none)).count() == 0
 
 
+#: Notices that TEMPLATES doesn't have, wrapped as source files wrap them.
+UNSEEN = [
+    ("MIT", "/*\n * This package is free to use under the terms of\n * the MIT License; see the file LICENSE.\n */"),
+    ("Apache-2.0", "# Licensed to the Foundation under one or more agreements, under the Apache\n# License, Version 2.0; you may not use this file\n# except in compliance with it."),
+    ("GPL-3.0", " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"),
+    ("ISC", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice appears in all copies."),
+    ("EPL-2.0", "Contributed under the Eclipse Public License\nversion 2.0, which is available at the foundation."),
+    ("CC-BY-4.0", "Text and figures: Creative Commons\nAttribution 4.0 International License."),
+]
+
+
+def test_licences_wrapped_unseen_and_several_in_one_paragraph(spark, duck):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = licenses.fit(docs)
+    two = "Released under the MIT License. " + "and then a good many other words about the weather stand in between here today " * 4 + "Licensed under the Apache License, Version 2.0."
+    df = spark.createDataFrame([*((i, "Some words before.\n\n" + t + "\n\nwords after") for i, (_, t) in enumerate(UNSEEN)), (50, two)], "doc_id long, text string")
+    found = {}
+    for r in licenses.scan(df, model).collect():
+        found.setdefault(r.doc_id, set()).add(r.family)
+    assert sum(f in found.get(i, ()) for i, (f, _) in enumerate(UNSEEN)) >= len(UNSEEN) - 1, found
+    assert found[50] == {"MIT", "Apache-2.0"}
+    lines = duck.sql("select doc_id, unnest(string_split(text, chr(10))) as l from documents").fetchall()
+    marked = {d for d, t in lines if re.search(r"(?i)licen[sc]e|all rights reserved|public domain|creative commons|CC BY", t)}
+    rows = licenses.scan(docs, model).where("confirmed").collect()
+    assert {r.doc_id for r in rows} <= marked and len({r.doc_id for r in rows}) >= 0.9 * len(marked), (len(rows), len(marked))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(texts[r.doc_id][r.start : r.start + r.length].strip() == texts[r.doc_id][r.start : r.start + r.length] for r in rows)
+
+
 def test_katz_equals_a_plain_model_that_sums_to_one(spark, odd, none):
     from collections import Counter
 
