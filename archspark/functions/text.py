@@ -29,18 +29,23 @@ def endpoint_id(service: Column, url: Column, method: Column, compat: bool = Fal
 
 
 def templated(path: Column) -> Column:
-    """Path segments that look like ids (UUID, number, 24 hex digits) replaced by {id}."""
-    ids = r"^([0-9]+|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{24})$"
+    """Path segments that look like ids replaced by {id}: a UUID, a number, 24 hex digits, or 8 letters and digits or more, with dashes after them."""
+    ids = r"^([0-9]+|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|[a-zA-Z0-9]{8,}(-[a-zA-Z0-9]+)*)$"
     return F.array_join(F.transform(F.split(path, "/"), lambda s: F.when(s.rlike(ids), "{id}").otherwise(s)), "/")
 
 
+# Words that make an endpoint sensitive, in order of precedence; `transaction` counts for endpoint ids only.
+SENSITIVE = {"FINANCIAL": "pay|refund|payment", "PII": "user|profile|personal|account", "INTERNAL": "admin|config|manage|report"}
+
+
 def sensitivity(text: Column, transactions: bool = True) -> Column:
     """FINANCIAL, PII, INTERNAL or PUBLIC by the first list of words that occurs."""
-    money = "payment|price|amount|account|order" + ("|transaction" if transactions else "")
     low = F.lower(text)
-    return F.when(low.rlike(money), "FINANCIAL").when(low.rlike("user|email|phone|address|passenger|contact"), "PII").when(low.rlike("admin|config|internal"), "INTERNAL").otherwise("PUBLIC")
+    money = SENSITIVE["FINANCIAL"] + ("|transaction" if transactions else "")
+    return F.when(low.rlike(money), "FINANCIAL").when(low.rlike(SENSITIVE["PII"]), "PII").when(low.rlike(SENSITIVE["INTERNAL"]), "INTERNAL").otherwise("PUBLIC")
 
 
+# By..And.., By..In and the two beginnings of names.
 def injectable(name: Column) -> Column:
     """Repository method names whose derived query takes several conditions, a list, or deletes by another column than the id."""
     removes = F.lower(name).rlike("^(deleteby|remove)") & (F.lower(name) != "deletebyid")
@@ -58,22 +63,35 @@ def ant_regex(pattern: Column) -> Column:
 
 
 def ant_specificity(pattern: Column) -> Column:
-    """1000 for an exact path, 900 with variables, 800 with single wildcards, 700 and 10 per segment before a `/**` tail, 600 else."""
-    depth = F.size(F.split(F.split(pattern, r"\*\*")[0], "/")) - 1
-    many = F.when(pattern.rlike(r"/\*\*$"), 700 + 10 * depth).otherwise(600)
-    return F.when(pattern.contains("**"), many).when(pattern.rlike(r"[*?]"), 800).when(pattern.contains("{"), 900).otherwise(1000)
+    """1000 for an exact path, 900 with variables, 800 with single wildcards, 700 and 10 for each segment (with the empty one before the first slash) before `**`."""
+    p = F.when(F.length(pattern) > 1, F.regexp_replace(pattern, "/$", "")).otherwise(pattern)
+    before = F.regexp_replace(F.regexp_replace(p, r"\*\*.*$", ""), "/+$", "")
+    many = 700 + F.when(before == "", 0).otherwise(10 * F.size(F.split(before, "/")))
+    exact = ~p.rlike(r"[*?{]")
+    return F.when(p.isNull(), 0).when(exact, 1000).when(p.contains("{") & p.contains("}"), 900).when(p.contains("*") & ~p.contains("**"), 800).when(p.contains("?"), 800).when(p.contains("**"), many).otherwise(600)
+
+
+# What adds a branch to a method's complexity.
+BRANCHES = (r"\bif\b", r"\bfor\b", r"\bwhile\b", r"\bdo\b", r"\bcase\b", r"\bcatch\b", "&&", r"\|\|", r"\? :")
 
 
 def cyclomatic(code: Column) -> Column:
     """1 and a branch for each keyword or short-circuit operator in a method body without comments and strings."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", " "), r"(?m)//[^\n]*", " "), r'"(\\.|[^"\\])*"', " ")
-    return F.lit(1) + sum(F.regexp_count(bare, F.lit(p)) for p in (r"\bif\b", r"\bfor\b", r"\bwhile\b", r"\bcase\b", r"\bcatch\b", "&&", r"\|\|", r"\? "))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(code, r"(?m)//[^\n]*", " "), r"(?s)/\*.*?\*/", " "), r'"(\\.|[^"\\])*"', " ")
+    return F.lit(1) + sum(F.regexp_count(bare, F.lit(p)) for p in BRANCHES)
+
+
+# Default values that are no secrets.
+NO_SECRETS = ("root", "admin", "password", "null", "false", "true")
 
 
-def secrets(text: Column) -> Column:
-    """Default values of ${NAME:default} placeholders that are longer than 7 characters and no stop word."""
-    stop = ["localhost", "password", "username", "changeit", "required", "disabled"]
-    return F.filter(F.regexp_extract_all(text, F.lit(r"\$\{[A-Z_]+:([^}]+)\}"), 1), lambda v: (F.length(v) > 7) & ~F.lower(v).isin(stop))
+def secrets(text: Column, key: Column | None = None) -> Column:
+    """Hard-coded secrets of a configuration value: default values of ${NAME:default} placeholders, and, under a key that names a password, secret or key, what follows the last colon, without quotes and up to a `$`. Longer than 7 characters and none of the stop words."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"\$\{[A-Z0-9_]+:([^}]+)\}"), 1), lambda v: F.trim(v))
+    if key is not None:
+        plain = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.element_at(F.split(text, ":"), -1)), "^['\"]+|['\"]+$", ""), r"(?s)\$.*$", ""))
+        found = F.concat(found, F.when(F.lower(key).rlike("password|secret|key"), F.array(plain)).otherwise(F.array().cast("array<string>")))
+    return F.filter(found, lambda v: (F.length(v) > 7) & ~F.lower(v).isin(*NO_SECRETS))
 
 
 def operation_type(name: Column) -> Column:

@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Kinds of paths, by the first that applies, with their weights and names; and weights of changes.
+PATH_KINDS = [(r"pom\.xml|\.yml|\.properties", 5.0, "Config/Infra Changes"), ("controller|endpoint", 4.0, "API/Contract Changes"), ("service|impl", 3.0, "Core Logic Overhaul"), ("entity|repository", 2.0, "Data Model Shifts")]
+CHANGES, COMPONENTS = {"DELETE": 3.0, "MODIFY": 2.0}, {"DELETE": 1.5, "MODIFY": 1.0}
+
+
+def affected_service(path: Column) -> Column:
+    """First segment of a path with more than one; null else."""
+    return F.nullif(F.regexp_extract(path, "^/?([^/]+)/", 1), F.lit(""))
+
+
 def volatility(changes: DataFrame) -> DataFrame:
-    """changes(service, path, change) -> raw weight, normalised to 1 at 20, and which kinds of risk occur."""
+    """changes(path, change, components: array of changes) -> by service, the first segment of the path: raw weight, normalised to 1 at 20, and the kinds of risk, sorted."""
     low = F.lower("path")
-    config = low.rlike(r"\.(xml|ya?ml|properties|gradle)$|dockerfile")
-    kind = F.when(config, 5).when(low.rlike("controller|endpoint"), 4).when(low.rlike("service|impl"), 3).when(low.rlike("entity|repository"), 2).otherwise(1)
-    factor = F.when(F.col("change") == "DELETE", 3).when(F.col("change") == "MODIFY", 2).otherwise(1)
-    flag = lambda c, name: F.max(F.when(c, F.lit(name)))
-    risks = F.concat_ws(",", flag(low.rlike("controller|endpoint"), "API"), flag(config, "Config"), flag(F.col("change") == "DELETE", "Deletion"))
-    return changes.groupBy("service").agg(F.sum(kind * factor).cast("long").alias("raw"), F.round(F.least(F.lit(1.0), F.sum(kind * factor) / 20), 4).alias("volatility"), risks.alias("risks"))
+    kind, name = F.lit(1.0), F.lit(None).cast("string")
+    for pattern, weight, risk in reversed(PATH_KINDS):
+        kind, name = F.when(low.rlike(pattern), weight).otherwise(kind), F.when(low.rlike(pattern), risk).otherwise(name)
+    factor = lambda change, table, other: F.coalesce(*(F.when(change == c, w) for c, w in table.items()), F.lit(other))
+    parts = F.aggregate(F.coalesce("components", F.array().cast("array<string>")), F.lit(0.0), lambda acc, c: acc + factor(c, COMPONENTS, 0.5))
+    rows = changes.select(affected_service(F.col("path")).alias("service"), (kind * factor(F.col("change"), CHANGES, 1.0) + parts).alias("w"), F.array_compact(F.array(name, F.when(F.col("change") == "DELETE", "Severe Deletions"))).alias("risks")).where("service is not null")
+    by = rows.groupBy("service").agg(F.sum("w").alias("raw"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("risks")))), ",").alias("risks"))
+    return by.select("service", F.round("raw", 2).alias("raw"), F.round(F.least(F.lit(1.0), F.col("raw") / 20), 4).alias("volatility"), "risks")
+
+
+def critical(scores: DataFrame, above: float = 0.7) -> DataFrame:
+    """scores(src, dst, state, score): impacts above a score, rounded to two digits, largest first."""
+    return scores.where(F.col("score") > above).select("src", "dst", "state", F.round("score", 2).alias("score")).orderBy(F.desc("score"), "src", "dst")
+
+
+def counters(changes: DataFrame) -> DataFrame:
+    """changes(change, components) -> number of changes and of component changes of each kind."""
+    n = lambda name: (F.count_if(F.col("change") == name) + F.coalesce(F.sum(F.size(F.filter("components", lambda c: c == name))), F.lit(0)))
+    return changes.agg(n("ADD").alias("added"), n("MODIFY").alias("modified"), n("DELETE").alias("deleted"))
 
 
 def impact(links: DataFrame, vol: DataFrame) -> DataFrame:

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset."""
+    """Cut lineage in the folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset in local mode, an error elsewhere."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
@@ -42,27 +46,150 @@ def reachable(edges: DataFrame, starts: DataFrame | None = None, max_depth: int
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, scc, size, cyclic): strongly connected component named by its smallest id; cyclic where it has several members."""
-    pairs = reachable(edges)
-    mutual = pairs.alias("a").join(pairs.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("id"), F.col("a.dst").alias("other"))
-    named = nodes.select("id").join(mutual.groupBy("id").agg(F.min("other").alias("low")), "id", "left").select("id", F.least("id", F.coalesce("low", "id")).alias("scc"))
+    """(id, scc, size, cyclic): strongly connected component named by its smallest id; cyclic where it has several members.
+
+    By colouring, with rows in proportion to nodes and edges: edges that no cycle can hold are trimmed, every node takes the
+    smallest id that reaches it for its colour, and of a colour those that reach the node it is named by are a component. These
+    go, and the rest is coloured anew until no edge is left.
+    """
+    left = checkpointed(edges.select("src", "dst").where("src != dst").distinct())
+    cycles = []
+    while True:
+        left = _trimmed(left)
+        if left.isEmpty():
+            break
+        colour = _coloured(left)
+        c = lambda end: colour.select(F.col("id").alias(end), F.col("colour").alias(f"c_{end}"))
+        within = checkpointed(left.join(c("src"), "src").join(c("dst"), "dst").where("c_src = c_dst").select("src", "dst"))
+        members = frontier = checkpointed(colour.where("id = colour"))
+        while not frontier.isEmpty():
+            step = within.join(frontier.select(F.col("id").alias("dst"), "colour"), "dst").select(F.col("src").alias("id"), "colour").distinct()
+            frontier = checkpointed(step.join(members, "id", "left_anti"))
+            members = members.union(frontier)
+        members = checkpointed(members)
+        cycles.append(members)
+        left = checkpointed(left.join(members.select(F.col("id").alias("src")), "src", "left_anti").join(members.select(F.col("id").alias("dst")), "dst", "left_anti"))
+    named = nodes.select("id", F.col("id").alias("scc"))
+    if cycles:
+        of = reduce(DataFrame.union, cycles)
+        named = nodes.select("id").join(of, "id", "left").select("id", F.coalesce("colour", "id").alias("scc"))
     sizes = named.groupBy("scc").agg(F.count("*").alias("size"))
     return named.join(sizes, "scc").select("id", "scc", "size", (F.col("size") > 1).alias("cyclic"))
 
 
-def longest_chain(edges: DataFrame, starts: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(id, length): most edges on a path from the start to a leaf that takes no edge twice; 0 from a node without edges."""
-    edges = edges.select("src", "dst", F.xxhash64("src", "dst").alias("e"))
-    leaves = edges.select(F.col("dst").alias("at")).distinct().join(edges.select(F.col("src").alias("at")), "at", "left_anti")
-    paths = starts.select("id", F.col("id").alias("at"), F.array().cast("array<long>").alias("used"))
-    found = starts.select("id", F.lit(0).alias("length"))
-    for depth in range(1, max_depth + 1):
-        paths = paths.join(edges, paths["at"] == edges["src"]).where("not array_contains(used, e)").select("id", F.col("dst").alias("at"), F.array_append("used", F.col("e")).alias("used"))
-        paths = checkpointed(paths)
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose start has a way in and whose end a way out, again and again."""
+    n = edges.count()
+    while True:
+        edges = checkpointed(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        before, n = n, edges.count()
+        if n == before:
+            return edges
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(id, colour): the smallest id that reaches each node, itself included; only nodes whose colour changed pass theirs on."""
+    now = checkpointed(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.col("id").alias("colour")))
+    moved = now
+    while not moved.isEmpty():
+        passed = edges.join(moved.select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("offered"))
+        both = checkpointed(now.join(passed, "id", "left").select("id", F.least("colour", F.coalesce("offered", "colour")).alias("colour"), (F.col("offered") < F.col("colour")).alias("changed")))
+        now, moved = both.select("id", "colour"), both.where("changed").select("id", "colour")
+    return now
+
+
+def longest_chain(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, length): most edges on a path from the start to a leaf that takes no edge twice; 0 from a node without edges, and where no leaf is reached.
+
+    Nodes all of whose successors are known get one more than the longest of them, round by round. Only from nodes that reach a
+    cycle are paths followed one by one, within those nodes, until none can go on.
+    """
+    edges = edges.select("src", "dst").distinct()
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    known = checkpointed(nodes.join(edges.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("length")))
+    frontier, open_ = known, checkpointed(edges)
+    while not frontier.isEmpty() and not open_.isEmpty():
+        waiting = open_.join(known.select(F.col("id").alias("dst"), "length"), "dst", "left")
+        ready = waiting.groupBy("src").agg(F.max("length").alias("length"), F.count_if(F.col("length").isNull()).alias("missing")).where("missing = 0")
+        frontier = checkpointed(ready.select(F.col("src").alias("id"), (F.col("length") + 1).alias("length")))
+        known = checkpointed(known.union(frontier))
+        open_ = checkpointed(open_.join(frontier.select(F.col("id").alias("src")), "src", "left_anti"))
+    found = starts.select("id").join(known, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"))
+    if open_.isEmpty():
+        return found
+    exits = open_.join(known.select(F.col("id").alias("dst"), "length"), "dst").groupBy(F.col("src").alias("at")).agg((F.max("length") + 1).alias("length"))
+    inside = checkpointed(open_.join(known.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst", F.xxhash64("src", "dst").alias("e")))
+    paths = checkpointed(starts.select("id").join(known, "id", "left_anti").select("id", F.col("id").alias("at"), F.array().cast("array<long>").alias("used")))
+    while not paths.isEmpty():
+        found = checkpointed(found.union(paths.join(exits, "at").select("id", (F.col("length") + F.size("used")).alias("length"))).groupBy("id").agg(F.max("length").alias("length")))
+        paths = checkpointed(paths.join(inside, paths["at"] == inside["src"]).where("not array_contains(used, e)").select("id", F.col("dst").alias("at"), F.array_append("used", F.col("e")).alias("used")))
+    return found
+
+
+def call_chain(calls: DataFrame, roots: DataFrame) -> DataFrame:
+    """calls(src, pos, dst), roots(id) -> (root, node, position, depth, cycles): depth-first order from each root, calls of a node by pos, each node visited once.
+
+    The path by which a depth-first search finds a node is the least, by positions, of all paths to it without a repeated node,
+    so every node keeps its least path so far, and improved paths are passed on until none improves. Sorting by path gives the
+    order. cycles says whether any call leads to a node visited before (also where two ways meet).
+    """
+    calls = checkpointed(calls.select("src", F.col("pos").cast("int").alias("pos"), "dst").where("dst is not null").distinct())
+    best = checkpointed(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.array().cast("array<int>").alias("path"), F.array("id").alias("nodes")).distinct())
+    moved = best
+    while not moved.isEmpty():
+        step = moved.join(calls, moved["node"] == calls["src"]).where("not array_contains(nodes, dst)").select("root", F.col("dst").alias("node"), F.array_append("path", F.col("pos")).alias("path"), F.array_append("nodes", F.col("dst")).alias("nodes"))
+        offered = step.groupBy("root", "node").agg(F.min(F.struct("path", "nodes")).alias("new"))
+        moved = checkpointed(offered.join(best, ["root", "node"], "left").where("path is null or new.path < path").select("root", "node", "new.path", "new.nodes"))
+        best = checkpointed(best.join(moved, ["root", "node"], "left_anti").unionByName(moved))
+    made = best.join(calls, best["node"] == calls["src"]).groupBy("root").agg(F.count("*").alias("n_calls"))
+    reached = best.groupBy("root").agg(F.count("*").alias("n"))
+    cycles = reached.join(made, "root", "left").select("root", (F.coalesce("n_calls", F.lit(0)) > F.col("n") - 1).alias("cycles"))
+    place = (F.row_number().over(Window.partitionBy("root").orderBy("path")) - 1).cast("long")
+    return best.select("root", "node", place.alias("position"), F.size("path").alias("depth")).join(cycles, "root")
+
+
+def chain_statistics(chain: DataFrame, required: DataFrame) -> DataFrame:
+    """chain of `call_chain`, required(node, roles: array; no row where unresolved) -> by root: calls in all, resolved and not, greatest depth, public (no roles) and restricted ones, cycles."""
+    rows = chain.join(required, "node", "left")
+    n = lambda c: F.count_if(c)
+    return rows.groupBy("root").agg(F.count("*").alias("total"), n(F.col("roles").isNotNull()).alias("resolved"), n(F.col("roles").isNull()).alias("unresolved"), F.max("depth").alias("max_depth"), n(F.size("roles") == 0).alias("public"), n(F.size("roles") > 0).alias("restricted"), F.bool_or("cycles").alias("cycles"))
+
+
+def corpus_statistics(statistics: DataFrame) -> DataFrame:
+    """Sums over the roots of `chain_statistics`, roots with cycles, and mean (two digits, half to even), least and greatest length."""
+    return statistics.agg(F.count("*").alias("roots"), *(F.sum(c).alias(c) for c in ("total", "resolved", "unresolved")), F.count_if("cycles").alias("with_cycles"), F.bround(F.avg("total"), 2).alias("mean_length"), F.min("total").alias("min_length"), F.max("total").alias("max_length"))
+
+
+def simple_paths(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
+    """pairs(src, dst) -> every path between them without a repeated node, of at most max_depth edges: src, dst, nodes."""
+    edges = edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
+    paths = checkpointed(pairs.select("src", "dst", F.col("src").alias("at"), F.array("src").alias("nodes")).distinct())
+    found = paths.where("at = dst").select("src", "dst", "nodes")
+    for _ in range(max_depth):
+        paths = checkpointed(paths.where("at != dst").join(edges, "at").where("not array_contains(nodes, next)").select("src", "dst", F.col("next").alias("at"), F.array_append("nodes", F.col("next")).alias("nodes")))
         if paths.isEmpty():
             break
-        found = found.union(paths.join(leaves, "at", "left_semi").select("id", F.lit(depth)).distinct())
-    return found.groupBy("id").agg(F.max("length").alias("length"))
+        found = found.union(paths.where("at = dst").select("src", "dst", "nodes"))
+    return found
+
+
+def subgraph(edges: DataFrame, start: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(root, src, dst): edges on paths of at most max_depth edges from each start(id); none for a start without edges."""
+    near = reachable(edges, start, max_depth - 1).select(F.col("src").alias("root"), F.col("dst").alias("src")).union(start.select(F.col("id").alias("root"), F.col("id").alias("src"))).distinct()
+    return near.join(edges.select("src", "dst").distinct(), "src").select("root", "src", "dst")
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(id, other, direction): what every node is linked to, both ways, repetitions kept."""
+    return edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit("out").alias("direction")).union(edges.select("dst", "src", F.lit("in")))
+
+
+def smell_counts(nodes: DataFrame, edges: DataFrame, threshold: int) -> DataFrame:
+    """Counts at a threshold: cyclic components, bottlenecks and megaservices (degree above it), highly coupled nodes (links of both directions above it)."""
+    d = degrees(nodes, edges, threshold, threshold)
+    high = F.count_if(F.col("in_degree") + F.col("out_degree") > threshold)
+    cyclic = components(nodes, edges).where("cyclic").agg(F.countDistinct("scc").alias("cyclic"))
+    return d.agg(F.count_if("bottleneck").alias("bottlenecks"), F.count_if("megaservice").alias("megaservices"), high.alias("coupled")).crossJoin(cyclic)  # one row each
 
 
 def diff(old: DataFrame, new: DataFrame, key: list[str], detail: str) -> DataFrame:

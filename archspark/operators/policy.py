@@ -49,11 +49,20 @@ def allowed_throughout(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("root", "role").agg(F.min("v").alias("least")).where("least = 1").select("root", "role")
 
 
-def category(findings: DataFrame) -> DataFrame:
-    """One label per root: the finding that matters most, and how many roles it meets."""
-    rank = F.when(F.col("finding") == "UnderPermissiveDownstream", 1).when(F.col("finding") == "OverPermissiveDownstream", 2).otherwise(3)
-    top = findings.groupBy("root").agg(F.min_by("finding", rank).alias("finding"), F.countDistinct("role").alias("n_roles"))
-    return top.select("root", F.concat_ws("_", F.lit("DOWNSTREAM"), F.upper("finding")).alias("category"), "n_roles")
+def category(scenarios: DataFrame, findings: DataFrame) -> DataFrame:
+    """scenarios(root, max_depth, sensitivity, is_public), findings(root, finding) -> root, category: BASE_INCONSISTENCY_SENSITIVITY_EXPOSURE.
+
+    The inconsistency is that of the finding that matters most: an exposure of a public endpoint, then too much allowed
+    downstream, then too little, then an undefined policy, then any other.
+    """
+    has = lambda name: F.bool_or(F.col("finding") == name).alias(name)
+    kinds = ("PolicyExposure", "OverPermissiveDownstream", "UnderPermissiveDownstream", "UndefinedPolicy")
+    found = findings.groupBy("root").agg(*map(has, kinds), F.count("finding").alias("n"))
+    base = F.when(F.col("max_depth") > 0, "DOWNSTREAM").otherwise("ENTRYPOINT")
+    exposed, over, under, undefined = (F.col(k) for k in kinds)
+    part = F.when(F.coalesce("n", F.lit(0)) == 0, "CONSISTENT").when(exposed & F.col("is_public"), "POLICY_EXPOSURE").when(over, "OVER_PERMISSIVE").when(under, "UNDER_PERMISSIVE").when(undefined, "UNDEFINED_POLICY").otherwise("ROLE_MISMATCH")
+    exposure = F.when(F.col("is_public"), "PUBLIC").otherwise("RESTRICTED")
+    return scenarios.join(found, "root", "left").select("root", F.concat_ws("_", base, part, F.coalesce("sensitivity", F.lit("UNKNOWN")), exposure).alias("category"))
 
 
 def violations(endpoints: DataFrame, links: DataFrame) -> DataFrame:
@@ -64,6 +73,32 @@ def violations(endpoints: DataFrame, links: DataFrame) -> DataFrame:
     return empty.unionByName(wider.select("a", "b", F.lit("caller_not_in_callee").alias("rule")))
 
 
+# Labels of role masks; bits are 1 unauthenticated, 2 user, 4 admin.
+ROLE_LABELS = {0: "None", 1: "Unauthenticated", 2: "User Only", 4: "Admin Only", 6: "User + Admin Only", 7: "Any Authenticated User"}
+
+
 def role_label(mask: Column) -> Column:
-    """Bits: 1 unauthenticated, 2 user, 4 admin."""
-    return F.when(mask == 0, "None").otherwise(F.concat_ws("+", F.when(mask.bitwiseAND(1) > 0, "Unauthenticated"), F.when(mask.bitwiseAND(2) > 0, "User"), F.when(mask.bitwiseAND(4) > 0, "Admin")))
+    """Label of a role mask; a mask without one is its number."""
+    label = F.coalesce(*(F.when(mask == m, F.lit(x)) for m, x in ROLE_LABELS.items()))
+    return F.coalesce(label, mask.cast("string"))
+
+
+def inconsistent_touches(endpoints: DataFrame, touches: DataFrame, links: DataFrame, roles: list[int]) -> DataFrame:
+    """Rows (role, repo, e1, e2) that break the data consistency rule.
+
+    endpoints(name, mask), touches(endpoint, repo, ops), links(caller, callee). A role that may call e1, which does to a
+    repository all that e2 does to it, should be allowed to call e2; unless an endpoint that e2 calls denies the role, or e1
+    doesn't do to another repository of both all that e2 does. Only pairs on one repository with ops that hold each other
+    meet, grouped by their masks first.
+    """
+    t = touches.groupBy("endpoint", "repo").agg(F.bit_or("ops").alias("ops")).join(endpoints.withColumnRenamed("name", "endpoint"), "endpoint")
+    each = t.select("*", F.explode(F.array(*map(F.lit, roles))).alias("role")).withColumn("may", F.col("mask").bitwiseAND(F.col("role")) > 0)
+    deeper = links.select("caller", "callee").distinct().join(endpoints.select(F.col("name").alias("callee"), F.col("mask").alias("m")), "callee")
+    denied = deeper.select(F.col("caller").alias("e2"), F.explode(F.array(*map(F.lit, roles))).alias("role"), "m").where(F.col("m").bitwiseAND(F.col("role")) == 0).select("e2", "role").distinct()
+    a = each.where("may").select("role", "repo", F.col("endpoint").alias("e1"), F.col("ops").alias("ops1"))
+    b = each.where("not may").select("role", "repo", F.col("endpoint").alias("e2"), F.col("ops").alias("ops2")).join(denied, ["e2", "role"], "left_anti")
+    broken = a.join(b, ["role", "repo"]).where(F.col("ops1").bitwiseAND(F.col("ops2")) == F.col("ops2"))
+    o = t.select("endpoint", "repo", "ops")
+    other = broken.join(o.select(F.col("endpoint").alias("e1"), F.col("repo").alias("r"), F.col("ops").alias("o1")), "e1").join(o.select(F.col("endpoint").alias("e2"), F.col("repo").alias("r"), F.col("ops").alias("o2")), ["e2", "r"])
+    excused = other.where((F.col("r") != F.col("repo")) & (F.col("o1").bitwiseAND(F.col("o2")) != F.col("o2"))).select("role", "repo", "e1", "e2").distinct()
+    return broken.select("role", "repo", "e1", "e2").join(excused, ["role", "repo", "e1", "e2"], "left_anti")

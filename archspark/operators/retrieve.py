@@ -14,19 +14,44 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SEPARATORS), lambda t: t != "")
 
 
+# Words that make a question one about risks, and texts evidence of an anti-pattern; ranks of artifact types.
+RISK_TERMS = "risk|smell|anti-pattern|antipattern|bottleneck|cycle|coupled|architecture issue"
+ANTI_PATTERN = "anti-pattern|antipattern|bottleneck|cyclic|megaservice|coupling"
+ARTIFACT_RANK = {"ENDPOINT": 6, "SERVICE": 5, "DEPENDENCY": 4, "ARCHITECTURE": 3, "GRAPH": 2, "IR": 1}
+#: Distinct (query, token) rows that may be broadcast; beyond it they meet the evidence by token.
+BROADCAST_TOKENS = 500_000
+
+
+def artifact_rank(kind: Column) -> Column:
+    return F.coalesce(*(F.when(kind == k, r) for k, r in ARTIFACT_RANK.items()), F.lit(0))
+
+
 def ranked(queries: DataFrame, evidence: DataFrame, k: int = 20) -> DataFrame:
-    """queries(query, text), evidence(id, text, entity, type_rank) -> the k best rows of each query.
+    """queries(query, text), evidence(id, kind, text, entity_type, entity, service, path, ts, version, location) -> the k best rows of each query.
 
-    Score = 1.2 for each query token (repeats count) in the text, 1.8 for each in the entity, 0.3 times the rank of the type;
-    ties by id. Query tokens meet an index of evidence tokens, so rows that share none never meet.
+    Score = 1.2 for each query token (repeats count) in the text, 1.8 for each in entity, service or path, 0.3 times the rank of
+    the kind, recency (milliseconds since 1970 over 1e12; 0.15 for a version without a time) and 3 for evidence of an
+    anti-pattern if the question is about risks. Ties: rank, id, location. Rows that share no token with a query compete too:
+    of those only the k best by the rest of the score can matter, and there is one such list for questions about risks and one
+    for others. Query tokens are sent to the evidence where they are few.
     """
     asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query", "token").agg(F.count("*").alias("n"))
+    risky = queries.select("query", F.lower("text").rlike(RISK_TERMS).alias("risky"))
+    rank = artifact_rank(F.col("kind"))
+    recency = F.when(F.col("ts").isNotNull(), F.unix_millis(F.col("ts").cast("timestamp")) / 1e12).when(F.coalesce(F.trim("version"), F.lit("")) != "", 0.15).otherwise(0.0)
+    pattern = (F.upper("entity_type") == "ANTI_PATTERN") | F.lower(F.concat_ws(" ", "text", "entity")).rlike(ANTI_PATTERN)
+    rest = evidence.select("id", "location", rank.alias("rank"), (0.3 * rank + recency).alias("base"), F.coalesce(pattern, F.lit(False)).alias("pattern"))
     in_text = evidence.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"), F.lit(1.2).alias("w"))
-    in_entity = evidence.select("id", F.explode(F.array_distinct(tokens(F.col("entity")))).alias("token"), F.lit(1.8).alias("w"))
-    met = in_text.union(in_entity).join(asked, "token").groupBy("query", "id").agg(F.sum(F.col("n") * F.col("w")).alias("s"))
-    score = met.join(evidence.select("id", "type_rank"), "id").select("query", "id", F.round(F.col("s") + 0.3 * F.col("type_rank"), 4).alias("score"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return score.select("query", "id", "score", place.alias("place")).where(F.col("place") <= k)
+    in_entity = evidence.select("id", F.explode(F.array_distinct(tokens(F.concat_ws(" ", "entity", "service", "path")))).alias("token"), F.lit(1.8).alias("w"))
+    few = asked.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    met = in_text.union(in_entity).join(F.broadcast(asked) if few else asked, "token").groupBy("query", "id").agg(F.sum(F.col("n") * F.col("w")).alias("s"))
+    boosted = rest.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("risky")).withColumn("base", F.col("base") + F.when(F.col("risky") & F.col("pattern"), 3.0).otherwise(0.0)).drop("pattern")
+    order = [F.desc("score"), F.desc("rank"), F.col("id"), F.col("location")]
+    best = lambda df, by: df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= k)
+    without = best(boosted.withColumn("score", F.round("base", 4)), "risky").drop("place").join(F.broadcast(risky), "risky").select("query", "id", "location", "rank", "score")  # 2 * k rows
+    with_ = met.join(risky, "query").join(boosted, ["id", "risky"]).select("query", "id", "location", "rank", F.round(F.col("s") + F.col("base"), 4).alias("score"))
+    each = with_.unionByName(without).groupBy("query", "id").agg(F.max(F.struct("score", "rank", "location")).alias("x")).select("query", "id", "x.score", "x.rank", "x.location")
+    return best(each, "query").select("query", "id", "score", "place")
 
 
 def budgeted(rows: DataFrame, max_items: int = 20, max_chars: int = 12_000) -> DataFrame:
@@ -42,19 +67,53 @@ def budgeted(rows: DataFrame, max_items: int = 20, max_chars: int = 12_000) -> D
     return folded.select("query", F.explode("r.kept").alias("x"), (F.col("r.items") < F.col("n")).alias("truncated")).select("query", "x.place", "x.id", "x.n_chars", "truncated")
 
 
+# Patterns of a question's words for services, paths, methods with paths, and counts of services.
+SERVICE = r"(?i)\b([a-zA-Z0-9_-]*service[a-zA-Z0-9_-]*)\b"
+PATH = r"(/[a-zA-Z0-9_\-/{}]+)"
+METHOD_PATH = r"(?i)\b(GET|POST|PUT|PATCH|DELETE)\s+(/[a-zA-Z0-9_\-/{}]+)"
+HOW_MANY = r"(?i)\b(how many|count|number of|list|show)\s+(micro\s*services?|microservices?|services?)\b"
+GENERIC = ("service", "services", "microservice", "microservices", "system", "architecture", "component", "components", "endpoint", "endpoints")
+
+
 def intent(question: Column) -> Column:
     """Intent of a question, by the first rule that applies."""
     q = F.lower(question)
-    return F.when(q.rlike("how many"), "COUNT").when(q.rlike("depend|call|connect"), "TOPOLOGY").when(q.rlike("risk|anti-?pattern|smell|vulnerab"), "RISK").when(q.rlike("endpoint|route|url"), "ENDPOINT").when(q.rlike("change|diff|version"), "CHANGE").otherwise("GENERAL")
+    topology = q.rlike("topology|system architecture|system design|component diagram") | question.rlike(HOW_MANY)
+    rules = [(F.coalesce(F.trim(q), F.lit("")) == "", "UNSUPPORTED_SPECULATIVE"), (topology, "ARCHITECTURE_TOPOLOGY"), (q.rlike("depends on|what depends|transitive|call"), "DEPENDENCY")]
+    rules += [(question.rlike(METHOD_PATH) | q.rlike("endpoint|url|route"), "ENDPOINT_LOOKUP"), (q.contains("service"), "SERVICE_LOOKUP"), (q.rlike("architecture|system|component"), "ARCHITECTURE_TOPOLOGY")]
+    return F.coalesce(*(F.when(c, F.lit(x)) for c, x in rules), F.lit("UNSUPPORTED_SPECULATIVE"))
+
+
+def entities(question: Column) -> Column:
+    """Services, paths and methods with paths that a question names, sorted; generic words are none."""
+    named = F.filter(F.regexp_extract_all(question, F.lit(SERVICE), 1), lambda s: ~F.lower(s).isin(*GENERIC))
+    paths = F.regexp_extract_all(question, F.lit(PATH), 1)
+    methods = F.transform(F.regexp_extract_all(question, F.lit(METHOD_PATH), 0), lambda m: F.concat_ws(" ", F.upper(F.regexp_extract(m, METHOD_PATH, 1)), F.regexp_extract(m, METHOD_PATH, 2)))
+    return F.array_sort(F.array_distinct(F.concat(named, paths, methods)))
+
+
+def structured(queries: DataFrame, evidence: DataFrame) -> DataFrame:
+    """queries(query, text), evidence(id, kind, entity, service, path, method) -> rows whose service, path, `METHOD path` or entity a question names, case aside: query, id, place.
+
+    Order: rank of the kind, service, path, id. Names meet by equality, so nothing else is compared.
+    """
+    asked = queries.select("query", F.explode(entities(F.col("text"))).alias("name")).select("query", F.lower(F.trim("name")).alias("name")).distinct()
+    names = F.array_distinct(F.array_compact(F.array(*(F.lower(F.trim(c)) for c in ("service", "path", "entity")), F.lower(F.concat(F.upper("method"), F.lit(" "), F.col("path"))))))
+    rows = evidence.select("id", artifact_rank(F.col("kind")).alias("rank"), F.coalesce("service", F.lit("")).alias("service"), F.coalesce("path", F.lit("")).alias("path"), F.explode(names).alias("name")).where("name != ''")
+    met = rows.join(asked, "name").select("query", "id", "rank", "service", "path").distinct()
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rank"), F.lower("service"), F.lower("path"), "id"))
+    return met.select("query", "id", place.alias("place"))
 
 
 def match_templates(paths: DataFrame, templates: DataFrame) -> DataFrame:
-    """paths(path), templates(template): each path's template of as many segments whose fixed segments equal (case aside) and whose {?} take [A-Za-z0-9._-]; most fixed segments first. An equi join on segment count and first segment, or any first segment for templates that begin with a variable."""
-    p = paths.select("path", F.split("path", "/").alias("ps"))
+    """paths(path), templates(template): each path's template of as many segments whose fixed segments equal (case aside) and whose {?} take [A-Za-z0-9._-]; most fixed segments first. An equi join on segment count and the first segment, which is `{?}` for templates that begin with a variable: each path stands for both."""
+    p = paths.select("path", F.split("path", "/").alias("ps")).distinct()
     t = templates.select("template", F.split("template", "/").alias("ts"))
+    head = lambda s: F.lower(F.coalesce(F.get(s, F.lit(1)), F.lit("")))
     t = t.select("*", F.size(F.filter("ts", lambda s: s != "{?}")).alias("fixed"))
     ok = F.forall(F.zip_with("ps", "ts", lambda a, b: F.when(b == "{?}", a.rlike("^[A-Za-z0-9._-]{1,200}$")).otherwise(F.lower(a) == F.lower(b))), lambda x: x)
-    met = p.join(t, F.size("ps") == F.size("ts")).where(ok)
+    by = p.select("*", F.size("ps").alias("n"), F.explode(F.array_distinct(F.array(head(F.col("ps")), F.lit("{?}")))).alias("head"))
+    met = by.join(t.select("*", F.size("ts").alias("n"), head(F.col("ts")).alias("head")), ["n", "head"]).where(ok)
     best = met.groupBy("path").agg(F.min_by("template", F.struct(-F.col("fixed"), "template")).alias("template"))
     return p.select("path").distinct().join(best, "path", "left")
 

@@ -66,9 +66,9 @@ def g1_reachable(spark, sf):
     return graph.reachable(graph.checkpointed(flows(spark, sf).select("src", "dst"))).select("src", "dst")
 
 
-@query(f"WITH RECURSIVE e AS ({E}), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, depth + 1 FROM r JOIN e ON r.dst = e.src WHERE depth < 3) SELECT src, dst, min(depth) AS depth FROM r GROUP BY src, dst")
+@query(f"WITH RECURSIVE e AS ({E}), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, depth + 1 FROM r JOIN e ON r.dst = e.src WHERE depth < 15) SELECT src, dst, min(depth) AS depth FROM r GROUP BY src, dst")
 def g1_bounded_flow(spark, sf):
-    return graph.reachable(graph.checkpointed(flows(spark, sf).select("src", "dst")), max_depth=3)
+    return graph.reachable(graph.checkpointed(flows(spark, sf).select("src", "dst")), max_depth=15)
 
 
 @query(f"""WITH RECURSIVE e AS ({E}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
@@ -88,6 +88,78 @@ def g2_longest_chain(spark, sf):
     return graph.longest_chain(edges, part.select(F.col("p_partkey").alias("id")))
 
 
+_PART_CALLS = """SELECT p_partkey AS src, 0 AS pos, p_partkey // 10 AS dst FROM part WHERE p_partkey >= 10 UNION ALL SELECT p_partkey, 1, p_partkey // 3 FROM part WHERE p_partkey >= 10"""
+_PART_PATHS = f"""RECURSIVE c AS ({_PART_CALLS}), w AS (SELECT p_partkey AS root, p_partkey AS node, CAST([] AS INTEGER[]) AS path FROM part UNION ALL SELECT root, dst, list_append(path, pos) FROM w JOIN c ON node = src),
+  v AS (SELECT root, node, min(path) AS path FROM w GROUP BY root, node),
+  chain AS (SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS position, CAST(len(path) AS INTEGER) AS depth FROM v),
+  cyc AS (SELECT root, count(src) > count(DISTINCT node) - 1 AS cycles FROM v LEFT JOIN c ON node = src GROUP BY root)"""
+
+
+def _part_chain(spark, sf):
+    p = _t(spark, sf, "part").select("p_partkey")
+    calls = p.where("p_partkey >= 10").select(F.col("p_partkey").alias("src"), F.posexplode(F.array(F.expr("p_partkey div 10"), F.expr("p_partkey div 3"))).alias("pos", "dst"))
+    return graph.call_chain(calls, p.select(F.col("p_partkey").alias("id")))
+
+
+@query(f"WITH {_PART_PATHS} SELECT chain.*, cycles FROM chain JOIN cyc USING (root)")
+def g2_call_chain(spark, sf):
+    """Every part calls the parts of a tenth and of a third of its number."""
+    return _part_chain(spark, sf)
+
+
+_REQUIRED = "SELECT p_partkey AS node, CASE p_size % 3 WHEN 0 THEN 0 ELSE 1 END AS n FROM part WHERE p_size % 7 <> 0"
+_CHAIN_STATS = f"""SELECT root, count(*) AS total, CAST(count(n) AS BIGINT) AS resolved, count(*) - count(n) AS unresolved, max(depth) AS max_depth, CAST(count_if(n = 0) AS BIGINT) AS public, CAST(count_if(n > 0) AS BIGINT) AS restricted, bool_or(cycles) AS cycles
+  FROM chain JOIN cyc USING (root) LEFT JOIN ({_REQUIRED}) USING (node) GROUP BY root"""
+
+
+@query(f"WITH {_PART_PATHS} {_CHAIN_STATS}")
+def g2_chain_statistics(spark, sf):
+    roles = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("USER")))
+    return graph.chain_statistics(_part_chain(spark, sf), _t(spark, sf, "part").where("p_size % 7 <> 0").select(F.col("p_partkey").alias("node"), roles.alias("roles")))
+
+
+@query(f"""WITH {_PART_PATHS}, s AS ({_CHAIN_STATS}) SELECT count(*) AS roots, CAST(sum(total) AS BIGINT) AS total, CAST(sum(resolved) AS BIGINT) AS resolved, CAST(sum(unresolved) AS BIGINT) AS unresolved, CAST(count_if(cycles) AS BIGINT) AS with_cycles,
+  round_even(avg(total), 2) AS mean_length, min(total) AS min_length, max(total) AS max_length FROM s""")
+def g2_corpus_statistics(spark, sf):
+    return graph.corpus_statistics(g2_chain_statistics(spark, sf))
+
+
+@query(f"""WITH RECURSIVE e AS ({E}), r AS (SELECT src AS root, src AS here FROM e UNION SELECT root, e.dst FROM r JOIN e ON here = e.src) SELECT root, src, dst FROM r JOIN e ON here = src""")
+def g1_subgraph(spark, sf):
+    """All links that a service leads to within 10 steps (which the 25 services don't exceed)."""
+    e = graph.checkpointed(flows(spark, sf).select("src", "dst"))
+    return graph.subgraph(e, e.select(F.col("src").alias("id")).distinct())
+
+
+@query(f"""WITH RECURSIVE e AS ({E}), w AS (SELECT DISTINCT src AS src, src AS here, [src] AS nodes FROM e UNION ALL SELECT w.src, e.dst, list_append(nodes, e.dst) FROM w JOIN e ON here = e.src WHERE NOT list_contains(nodes, e.dst) AND len(nodes) <= 4)
+  SELECT w.src, here AS dst, array_to_string(nodes, '>') AS nodes FROM w JOIN nation ON here = n_nationkey WHERE n_nationkey % 5 = 0 AND w.src <> here""")
+def g1_simple_paths(spark, sf):
+    """Paths of at most 4 links to the services whose number five divides."""
+    e = graph.checkpointed(flows(spark, sf).select("src", "dst"))
+    goals = _nodes(spark, sf).where("id % 5 = 0").select(F.col("id").alias("dst"))
+    pairs = e.select("src").distinct().join(F.broadcast(goals), F.col("src") != F.col("dst"))
+    return graph.simple_paths(e, pairs, 4).select("src", "dst", F.array_join("nodes", ">").alias("nodes"))
+
+
+@query(f"WITH e AS ({E}) SELECT src AS id, dst AS other, 'out' AS direction FROM e UNION ALL SELECT dst, src, 'in' FROM e")
+def g1_neighbours(spark, sf):
+    return graph.neighbours(flows(spark, sf))
+
+
+@query(f"""WITH RECURSIVE e AS ({E}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), m AS (SELECT DISTINCT a.src, min(least(a.src, a.dst)) OVER (PARTITION BY a.src) AS scc FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src AND a.src <> a.dst),
+  d AS (SELECT n_nationkey, (SELECT count(*) FROM e WHERE dst = n_nationkey) AS i, (SELECT count(*) FROM e WHERE src = n_nationkey) AS o FROM nation)
+  SELECT CAST(count_if(i > 3) AS BIGINT) AS bottlenecks, CAST(count_if(o > 3) AS BIGINT) AS megaservices, CAST(count_if(i + o > 3) AS BIGINT) AS coupled, (SELECT count(DISTINCT scc) FROM m) AS cyclic FROM d""")
+def v1_smell_counts(spark, sf):
+    return graph.smell_counts(_nodes(spark, sf), graph.checkpointed(flows(spark, sf).select("src", "dst")), 3)
+
+
+@query(f"WITH s AS (SELECT * FROM ({_flows_sql()})) SELECT src, dst, CASE WHEN nth = 1 THEN 'removed' ELSE 'added' END AS state, CAST(CASE WHEN nth = 1 THEN 0.75 ELSE 0.9 END AS DOUBLE) AS score FROM s")
+def c4_critical_impacts(spark, sf):
+    """Scores by the rank of the link, those above 0.7."""
+    f = flows(spark, sf).select("src", "dst", F.when(F.col("nth") == 1, "removed").otherwise("added").alias("state"), F.when(F.col("nth") == 1, 0.75).otherwise(0.9).alias("score"))
+    return change.critical(f)
+
+
 @query(f"""WITH a AS ({_flows_sql(OLD)}), b AS ({_flows_sql(NEW)}) SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, a.nth AS before, b.nth AS after,
   CASE WHEN a.src IS NULL THEN 'added' WHEN b.src IS NULL THEN 'removed' WHEN a.nth = b.nth THEN 'unmodified' ELSE 'modified' END AS state FROM a FULL JOIN b ON a.src = b.src AND a.dst = b.dst""")
 def g4_graph_diff(spark, sf):
@@ -106,7 +178,7 @@ def g4_impact(spark, sf):
 
 
 YEARLY = """SELECT DISTINCT year(o_orderdate) AS snapshot, c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey AND l_quantity > 45"""
+  JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey"""
 PROFILE = f"""WITH e AS ({YEARLY}), d AS (SELECT snapshot, id, count(*) AS d FROM (SELECT snapshot, src AS id FROM e UNION ALL SELECT snapshot, dst FROM e) GROUP BY ALL),
   m AS (SELECT *, avg(d) OVER (PARTITION BY snapshot) AS mean FROM d),
   p AS (SELECT snapshot, count(*) AS nodes, CAST(sum(d) / 2 AS BIGINT) AS edges, CAST(count_if(d > 1.5 * mean) AS BIGINT) AS hubs, CAST(count_if(d <= 1) AS BIGINT) AS leaves FROM m GROUP BY snapshot)
@@ -116,7 +188,7 @@ PROFILE = f"""WITH e AS ({YEARLY}), d AS (SELECT snapshot, id, count(*) AS d FRO
 @query(PROFILE)
 def g1_degree_profile(spark, sf):
     li, o, c, s = (_t(spark, sf, n) for n in ("lineitem", "orders", "customer", "supplier"))
-    big = li.where("l_quantity > 45").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    big = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     return graph.profile(big.select(F.year("o_orderdate").alias("snapshot"), F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")))
 
 
@@ -138,16 +210,30 @@ def s3_snapshot_deltas(spark, sf):
     return change.deltas(_years(spark, sf).select("key", "idx", F.round(F.col("n") / 7, 4).alias("coupling"), (F.col("n") % 5).alias("affected")))
 
 
-@query("""SELECT service, CAST(sum(k * f) AS BIGINT) AS raw, round(least(1.0, sum(k * f) / 20), 4) AS volatility,
-  concat_ws(',', max(CASE WHEN p LIKE '%controller%' OR p LIKE '%endpoint%' THEN 'API' END), max(CASE WHEN k = 5 THEN 'Config' END), max(CASE WHEN f = 3 THEN 'Deletion' END)) AS risks FROM (
-  SELECT service, p, CASE WHEN regexp_matches(p, '\\.(xml|ya?ml|properties|gradle)$|dockerfile') THEN 5 WHEN regexp_matches(p, 'controller|endpoint') THEN 4 WHEN regexp_matches(p, 'service|impl') THEN 3 WHEN regexp_matches(p, 'entity|repository') THEN 2 ELSE 1 END AS k,
-    CASE change WHEN 'DELETE' THEN 3 WHEN 'MODIFY' THEN 2 ELSE 1 END AS f FROM (
-    SELECT p_brand AS service, lower(p_type || CASE p_size % 5 WHEN 0 THEN '/Controller.java' WHEN 1 THEN '/pom.xml' WHEN 2 THEN '/OrderServiceImpl.java' WHEN 3 THEN '/OrderRepository.java' ELSE '/README' END) AS p,
-      CASE p_partkey % 3 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'MODIFY' ELSE 'ADD' END AS change FROM part)) GROUP BY service""".replace("\\\\", "\\"))
-def c4_volatility(spark, sf):
+_CHANGED = """SELECT lower(replace(p_brand, '#', '-')) || '/' || p_type || CASE p_size % 5 WHEN 0 THEN '/Controller.java' WHEN 1 THEN '/pom.xml' WHEN 2 THEN '/OrderServiceImpl.java' WHEN 3 THEN '/OrderRepository.java' ELSE '/README' END AS path,
+  CASE p_partkey % 3 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'MODIFY' ELSE 'ADD' END AS change, CASE p_partkey % 4 WHEN 0 THEN ['DELETE', 'ADD'] WHEN 1 THEN ['MODIFY'] ELSE [] END AS components FROM part"""
+
+
+def _changed(spark, sf):
     name = F.when(F.col("p_size") % 5 == 0, "/Controller.java").when(F.col("p_size") % 5 == 1, "/pom.xml").when(F.col("p_size") % 5 == 2, "/OrderServiceImpl.java").when(F.col("p_size") % 5 == 3, "/OrderRepository.java").otherwise("/README")
     kind = F.when(F.col("p_partkey") % 3 == 0, "DELETE").when(F.col("p_partkey") % 3 == 1, "MODIFY").otherwise("ADD")
-    return change.volatility(_t(spark, sf, "part").select(F.col("p_brand").alias("service"), F.concat("p_type", name).alias("path"), kind.alias("change")))
+    parts = F.when(F.col("p_partkey") % 4 == 0, F.array(F.lit("DELETE"), F.lit("ADD"))).when(F.col("p_partkey") % 4 == 1, F.array(F.lit("MODIFY"))).otherwise(F.array().cast("array<string>"))
+    return _t(spark, sf, "part").select(F.concat(F.lower(F.regexp_replace("p_brand", "#", "-")), F.lit("/"), F.col("p_type"), name).alias("path"), kind.alias("change"), parts.alias("components"))
+
+
+@query(f"""WITH c AS ({_CHANGED}), k AS (SELECT regexp_extract(path, '^/?([^/]+)/', 1) AS service, change, components, CASE WHEN regexp_matches(lower(path), 'pom\\.xml|\\.yml|\\.properties') THEN 5 WHEN regexp_matches(lower(path), 'controller|endpoint') THEN 4
+    WHEN regexp_matches(lower(path), 'service|impl') THEN 3 WHEN regexp_matches(lower(path), 'entity|repository') THEN 2 ELSE 1 END AS k FROM c),
+  w AS (SELECT service, k * CASE change WHEN 'DELETE' THEN 3.0 WHEN 'MODIFY' THEN 2.0 ELSE 1.0 END + coalesce(list_sum(list_transform(components, lambda x: CASE x WHEN 'DELETE' THEN 1.5 WHEN 'MODIFY' THEN 1.0 ELSE 0.5 END)), 0) AS w,
+    unnest([CASE k WHEN 5 THEN 'Config/Infra Changes' WHEN 4 THEN 'API/Contract Changes' WHEN 3 THEN 'Core Logic Overhaul' WHEN 2 THEN 'Data Model Shifts' END, CASE change WHEN 'DELETE' THEN 'Severe Deletions' END]) AS risk FROM k)
+  SELECT service, CAST(round(sum(w) / 2, 2) AS DOUBLE) AS raw, CAST(round(least(1.0, sum(w) / 2 / 20), 4) AS DOUBLE) AS volatility, coalesce(string_agg(DISTINCT risk, ',' ORDER BY risk), '') AS risks FROM w GROUP BY service""")
+def c4_volatility(spark, sf):
+    return change.volatility(_changed(spark, sf))
+
+
+@query(f"""SELECT CAST(count_if(change = 'ADD') + sum(len(list_filter(components, lambda x: x = 'ADD'))) AS BIGINT) AS added, CAST(count_if(change = 'MODIFY') + sum(len(list_filter(components, lambda x: x = 'MODIFY'))) AS BIGINT) AS modified,
+  CAST(count_if(change = 'DELETE') + sum(len(list_filter(components, lambda x: x = 'DELETE'))) AS BIGINT) AS deleted FROM ({_CHANGED})""")
+def c4_change_counters(spark, sf):
+    return change.counters(_changed(spark, sf))
 
 
 # --- calls: events of a user are the calls of a method, event types the services
@@ -215,9 +301,23 @@ def p1_pair_findings(spark, sf):
     return policy.pair_findings(p1_permission_matrix(spark, sf))
 
 
-@query(f"""SELECT root, 'DOWNSTREAM_' || upper(arg_min(finding, CASE finding WHEN 'UnderPermissiveDownstream' THEN 1 WHEN 'OverPermissiveDownstream' THEN 2 ELSE 3 END)) AS category, count(DISTINCT role) AS n_roles FROM ({_PAIRS}) GROUP BY root""")
+_SCENARIOS = """SELECT n_nationkey AS root, n_nationkey % 3 AS max_depth, CASE WHEN regexp_matches(lower(n_name), 'pay|refund|payment') THEN 'FINANCIAL' WHEN regexp_matches(lower(n_name), 'user|profile|personal|account') THEN 'PII'
+  WHEN regexp_matches(lower(n_name), 'admin|config|manage|report') THEN 'INTERNAL' ELSE 'PUBLIC' END AS sensitivity, n_nationkey % 4 = 0 AS is_public FROM nation"""
+
+
+@query(f"""WITH f AS (SELECT root, bool_or(finding = 'OverPermissiveDownstream') AS o, bool_or(finding = 'UnderPermissiveDownstream') AS u FROM ({_PAIRS}) WHERE position <= 3 GROUP BY root)
+  SELECT root, concat_ws('_', CASE WHEN max_depth > 0 THEN 'DOWNSTREAM' ELSE 'ENTRYPOINT' END, CASE WHEN o IS NULL THEN 'CONSISTENT' WHEN o THEN 'OVER_PERMISSIVE' WHEN u THEN 'UNDER_PERMISSIVE' ELSE 'UNDEFINED_POLICY' END,
+    sensitivity, CASE WHEN is_public THEN 'PUBLIC' ELSE 'RESTRICTED' END) AS category FROM ({_SCENARIOS}) LEFT JOIN f USING (root)""")
 def p1_scenario_category(spark, sf):
-    return policy.category(p1_pair_findings(spark, sf))
+    """Scenarios are nations; what counts against them are the findings of the first four endpoints of their chain."""
+    n = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("root"), (F.col("n_nationkey") % 3).alias("max_depth"), X.sensitivity(F.col("n_name"), transactions=False).alias("sensitivity"), (F.col("n_nationkey") % 4 == 0).alias("is_public"))
+    return policy.category(n, p1_pair_findings(spark, sf).where("position <= 3"))
+
+
+@query(f"SELECT root, role FROM ({_MATRIX}) WHERE position <= 1 GROUP BY root, role HAVING min(v) = 1")
+def p1_allowed_throughout(spark, sf):
+    """Roles that may call the first two endpoints of a chain."""
+    return policy.allowed_throughout(p1_permission_matrix(spark, sf).where("position <= 1"))
 
 
 @query(f"""SELECT DISTINCT root, role, downstream FROM (SELECT d.root, d.endpoint AS downstream, unnest(list_filter(d.required, lambda r: NOT list_contains(e.required, r))) AS role
@@ -244,13 +344,31 @@ def p2_role_violations(spark, sf):
     return policy.violations(masks, o.select(F.col("o_custkey").alias("caller"), F.expr("o_custkey div 2").alias("callee")))
 
 
-@query(f"SELECT role, count(*) AS n FROM (SELECT concat_ws('+', CASE WHEN mask & 1 > 0 THEN 'Unauthenticated' END, CASE WHEN mask & 2 > 0 THEN 'User' END, CASE WHEN mask & 4 > 0 THEN 'Admin' END) AS role FROM ({_MASKED})) GROUP BY role")
+@query(f"SELECT CASE mask WHEN 0 THEN 'None' WHEN 1 THEN 'Unauthenticated' WHEN 2 THEN 'User Only' WHEN 4 THEN 'Admin Only' WHEN 6 THEN 'User + Admin Only' WHEN 7 THEN 'Any Authenticated User' ELSE CAST(mask AS VARCHAR) END AS role, count(*) AS n FROM ({_MASKED}) GROUP BY 1")
 def p2_role_labels(spark, sf):
     bit = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(4)
     masks = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.bit_or(bit).alias("mask"))
     return masks.groupBy(policy.role_label(F.col("mask")).alias("role")).agg(F.count("*").alias("n"))
 
 
+_TOUCHES = "SELECT o_custkey AS endpoint, l_partkey AS repo, CAST(bit_or(CASE l_returnflag WHEN 'A' THEN 8 WHEN 'N' THEN 4 ELSE 2 END) AS INTEGER) AS ops FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2"
+
+
+@query(f"""WITH e AS ({_MASKED}), t AS ({_TOUCHES}), l AS (SELECT DISTINCT o_custkey AS caller, o_custkey // 2 AS callee FROM orders), r AS (SELECT unnest([1, 2, 4]) AS role),
+  d AS (SELECT DISTINCT caller AS e2, role FROM l JOIN e ON name = callee, r WHERE mask & role = 0),
+  b AS (SELECT role, x.repo, x.endpoint AS e1, y.endpoint AS e2 FROM r, t x JOIN t y ON x.repo = y.repo JOIN e a ON a.name = x.endpoint JOIN e c ON c.name = y.endpoint
+    WHERE a.mask & role > 0 AND c.mask & role = 0 AND x.ops & y.ops = y.ops AND (y.endpoint, role) NOT IN (SELECT e2, role FROM d))
+  SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM t x JOIN t y ON x.repo = y.repo WHERE x.endpoint = b.e1 AND y.endpoint = b.e2 AND x.repo <> b.repo AND x.ops & y.ops <> y.ops)""")
+def p2_data_consistency(spark, sf):
+    """Endpoints are customers, repositories parts."""
+    o = _t(spark, sf, "orders")
+    bit = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(4)
+    op = F.when(F.col("l_returnflag") == "A", 8).when(F.col("l_returnflag") == "N", 4).otherwise(2)
+    touches = o.join(_t(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("endpoint"), F.col("l_partkey").alias("repo"), op.alias("ops"))
+    links = o.select(F.col("o_custkey").alias("caller"), F.expr("o_custkey div 2").alias("callee"))
+    return policy.inconsistent_touches(o.groupBy(F.col("o_custkey").alias("name")).agg(F.bit_or(bit).alias("mask")), touches, links, [1, 2, 4])
+
+
 # --- risk: each event is a finding about its user
 _OPINIONS = """SELECT user_id AS endpoint, event_id AS pos, CASE event_type WHEN 'purchase' THEN c WHEN 'click' THEN 0 ELSE (1 - c) / 2 END AS b, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN c ELSE (1 - c) / 2 END AS d,
   CASE WHEN event_type IN ('purchase', 'click') THEN 1 - c ELSE c END AS u FROM (SELECT *, 0.1 + 0.8 * (event_id % 9) / 10 AS c FROM events)"""
@@ -285,7 +403,7 @@ def r2_ahp_weights(spark, sf):
 # --- URLs
 @query(r"""WITH p AS (SELECT page_id, CASE WHEN length(q) > 1 THEN regexp_replace(q, '/$', '') ELSE q END AS path, regexp_extract(url, '//([^/?#]+)', 1) AS host FROM (
     SELECT page_id, url, regexp_replace('/' || regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/+', '/', 'g') AS q FROM pages))
-  SELECT page_id, path, array_to_string(list_transform(string_split(path, '/'), lambda s: CASE WHEN regexp_matches(s, '^([0-9]+|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{24})$') THEN '{id}' ELSE s END), '/') AS template,
+  SELECT page_id, path, array_to_string(list_transform(string_split(path, '/'), lambda s: CASE WHEN regexp_matches(s, '^([0-9]+|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|[a-zA-Z0-9]{8,}(-[a-zA-Z0-9]+)*)$') THEN '{id}' ELSE s END), '/') AS template,
     substr(sha256(regexp_replace(regexp_replace(lower(host), '[-_]', '', 'g'), '^(ts|ms|svc)', '') || ':' || path || ':GET'), 1, 32) AS endpoint_id FROM p""")
 def t2_endpoint_ids(spark, sf):
     p = _t(spark, sf, "pages").select("page_id", "url", X.url_path(F.col("url")).alias("path"), F.regexp_extract("url", "//([^/?#]+)", 1).alias("host"))
@@ -308,7 +426,7 @@ RULES = [("web", "/en/**", None, "user", 0), ("web", "/en/*", "GET", "guest", 1)
 
 @query(rf"""WITH e AS (SELECT DISTINCT 'web' AS service, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, {_PATH} AS uri FROM pages),
   r AS (SELECT unnest(['/en/**', '/en/*', '/**', '/de/{{id}}', '/fr/8?']) AS pattern, unnest(['^/en(/.*)?$', '^/en/[^/]*$', '^(/.*)?$', '^/de/[^/]+$', '^/fr/8[^/]$']) AS re, unnest([NULL, 'GET', NULL, NULL, NULL]) AS m,
-    unnest(['user', 'guest', 'deny', 'admin', 'fr']) AS decision, unnest([720, 800, 710, 900, 800]) AS spec, unnest([0, 1, 2, 3, 4]) AS pos)
+    unnest(['user', 'guest', 'deny', 'admin', 'fr']) AS decision, unnest([720, 800, 700, 900, 800]) AS spec, unnest([0, 1, 2, 3, 4]) AS pos)
   SELECT service, method, uri, coalesce(arg_min(decision, -spec * 10 + pos), 'none') AS decision, arg_min(pattern, -spec * 10 + pos) AS pattern FROM e LEFT JOIN r ON regexp_matches(uri, re) AND (m IS NULL OR m = method) GROUP BY ALL""")
 def t2_security_rules(spark, sf):
     rules = spark.createDataFrame(RULES, "service string, pattern string, http_method string, decision string, pos int")
@@ -317,8 +435,8 @@ def t2_security_rules(spark, sf):
 
 
 # --- text
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'payment|price|amount|account|order|transaction') THEN 'FINANCIAL' WHEN regexp_matches(lower(text), 'user|email|phone|address|passenger|contact') THEN 'PII'
-    WHEN regexp_matches(lower(text), 'admin|config|internal') THEN 'INTERNAL' ELSE 'PUBLIC' END AS sensitivity,
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'pay|refund|payment|transaction') THEN 'FINANCIAL' WHEN regexp_matches(lower(text), 'user|profile|personal|account') THEN 'PII'
+    WHEN regexp_matches(lower(text), 'admin|config|manage|report') THEN 'INTERNAL' ELSE 'PUBLIC' END AS sensitivity,
   len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+')) AS n_emails, len(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')) AS n_keys,
   CASE WHEN n_chars = 0 THEN 'none' WHEN least(1.0, n_chars / 10000) < 0.3 THEN 'low' WHEN least(1.0, n_chars / 10000) < 0.6 THEN 'medium' WHEN least(1.0, n_chars / 10000) < 0.8 THEN 'high' ELSE 'critical' END AS band FROM documents""")
 def t1_sensitivity(spark, sf):
@@ -328,18 +446,27 @@ def t1_sensitivity(spark, sf):
 
 # --- retrieval
 _TOK = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9_/{{}}-]+'), lambda t: t <> '')"
-_RANKED = f"""WITH q AS (SELECT item_id AS query, token, count(*) AS n FROM (SELECT item_id, unnest({_TOK.format('text')}) AS token FROM benchmark) GROUP BY ALL),
-  e AS (SELECT doc_id AS id, unnest(list_distinct({_TOK.format('text')})) AS token, 1.2 AS w FROM documents UNION ALL SELECT doc_id, unnest(list_distinct({_TOK.format('source')})), 1.8 FROM documents),
-  m AS (SELECT query, id, round(CAST(sum(n * w) + 0.3 * any_value(CASE lang WHEN 'en' THEN 3 WHEN 'de' THEN 2 ELSE 1 END) AS DOUBLE), 4) AS score FROM q JOIN e USING (token) JOIN documents ON doc_id = id GROUP BY query, id)
-  SELECT query, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM m) WHERE place <= 20"""
+_EVIDENCE = """SELECT doc_id AS id, text, source AS entity, lang AS service, CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 5 WHEN 'fr' THEN 3 ELSE 0 END AS rank, CASE WHEN doc_id % 2 = 0 THEN 0.9 + (doc_id % 100) / 1000 WHEN doc_id % 3 = 0 THEN 0.15 ELSE 0 END AS recency FROM documents"""
+_RANKED = f"""WITH e0 AS ({_EVIDENCE}), q AS (SELECT item_id AS query, token, count(*) AS n FROM (SELECT item_id, unnest({_TOK.format('text')}) AS token FROM benchmark) GROUP BY ALL),
+  risky AS (SELECT item_id AS query, regexp_matches(lower(text), 'risk|smell|anti-pattern|antipattern|bottleneck|cycle|coupled|architecture issue') AS risky FROM benchmark),
+  e AS (SELECT id, unnest(list_distinct({_TOK.format('text')})) AS token, 1.2 AS w FROM e0 UNION ALL SELECT id, unnest(list_distinct({_TOK.format("entity || ' ' || service")})), 1.8 FROM e0),
+  m AS (SELECT query, id, CAST(sum(n * w) AS DOUBLE) AS s FROM q JOIN e USING (token) GROUP BY query, id),
+  a AS (SELECT query, id, rank, round(coalesce(s, 0) + CAST(0.3 * rank + recency AS DOUBLE) + CASE WHEN risky AND regexp_matches(lower(text || ' ' || entity), 'anti-pattern|antipattern|bottleneck|cyclic|megaservice|coupling') THEN 3.0 ELSE 0.0 END, 4) AS score
+    FROM (SELECT * FROM risky, e0) LEFT JOIN m USING (query, id))
+  SELECT query, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank DESC, id) AS place FROM a) WHERE place <= 20"""
+
+
+def _evidence(spark, sf):
+    d, k = _t(spark, sf, "documents"), F.col("doc_id")
+    kind = F.when(F.col("lang") == "en", "ENDPOINT").when(F.col("lang") == "de", "SERVICE").when(F.col("lang") == "fr", "ARCHITECTURE").otherwise("OTHER")
+    ts = F.when(k % 2 == 0, F.timestamp_millis((900_000_000_000 + (k % 100) * 1_000_000_000).cast("long")))
+    return d.select(k.alias("id"), kind.alias("kind"), "text", F.lit("DOC").alias("entity_type"), F.col("source").alias("entity"), F.col("lang").alias("service"), F.lit(None).cast("string").alias("path"), ts.alias("ts"), F.when(k % 3 == 0, "1.0.0").alias("version"), F.lit("").alias("location"))
 
 
 @query(_RANKED)
 def q1_ranked_evidence(spark, sf):
     """The 20 best documents for every benchmark item."""
-    rank = F.when(F.col("lang") == "en", 3).when(F.col("lang") == "de", 2).otherwise(1)
-    evidence = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("entity"), rank.alias("type_rank"))
-    return retrieve.ranked(_t(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text"), evidence)
+    return retrieve.ranked(_t(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text"), _evidence(spark, sf))
 
 
 @query()
@@ -349,8 +476,9 @@ def q1_budgeted_evidence(spark, sf):
     return retrieve.budgeted(q1_ranked_evidence(spark, sf).join(sizes, "id"))
 
 
-@query("""SELECT CASE WHEN regexp_matches(q, 'how many') THEN 'COUNT' WHEN regexp_matches(q, 'depend|call|connect') THEN 'TOPOLOGY' WHEN regexp_matches(q, 'risk|anti-?pattern|smell|vulnerab') THEN 'RISK'
-  WHEN regexp_matches(q, 'endpoint|route|url') THEN 'ENDPOINT' WHEN regexp_matches(q, 'change|diff|version') THEN 'CHANGE' ELSE 'GENERAL' END AS intent, count(*) AS n, count(DISTINCT conv_id) AS n_conversations FROM (SELECT conv_id, lower(text) AS q FROM conversations WHERE role = 'user') GROUP BY 1""")
+@query(r"""SELECT CASE WHEN trim(q) = '' THEN 'UNSUPPORTED_SPECULATIVE' WHEN regexp_matches(q, 'topology|system architecture|system design|component diagram') OR regexp_matches(q, '\b(how many|count|number of|list|show)\s+(micro\s*services?|microservices?|services?)\b') THEN 'ARCHITECTURE_TOPOLOGY'
+  WHEN regexp_matches(q, 'depends on|what depends|transitive|call') THEN 'DEPENDENCY' WHEN regexp_matches(q, '\b(get|post|put|patch|delete)\s+(/[a-z0-9_\-/{}]+)') OR regexp_matches(q, 'endpoint|url|route') THEN 'ENDPOINT_LOOKUP'
+  WHEN q LIKE '%service%' THEN 'SERVICE_LOOKUP' WHEN regexp_matches(q, 'architecture|system|component') THEN 'ARCHITECTURE_TOPOLOGY' ELSE 'UNSUPPORTED_SPECULATIVE' END AS intent, count(*) AS n, count(DISTINCT conv_id) AS n_conversations FROM (SELECT conv_id, lower(text) AS q FROM conversations WHERE role = 'user') GROUP BY 1""")
 def c1_question_intents(spark, sf):
     asked = _t(spark, sf, "conversations").where("role = 'user'")
     return asked.groupBy(retrieve.intent(F.col("text")).alias("intent")).agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("n_conversations"))

@@ -15,6 +15,42 @@ def test_cyclic_and_bottleneck_graphs(spark):
     assert {r.dst for r in graph.reachable(e, spark.createDataFrame([("A",)], "id string")).collect()} == {"B", "C"}
 
 
+def test_components_and_chains_of_random_graphs(spark):
+    """Against plain closures and an enumeration of all paths that take no edge twice."""
+    import random
+
+    random.seed(5)
+    for n, m in ((12, 9), (14, 16), (30, 45)):
+        edges = sorted({(random.randrange(n), random.randrange(n)) for _ in range(m)})
+        df = spark.createDataFrame(edges, "src int, dst int")
+        reach = {v: set() for v in range(n)}
+        for v in range(n):
+            todo = [v]
+            while todo:
+                x = todo.pop()
+                for a, b in edges:
+                    if a == x and b not in reach[v]:
+                        reach[v].add(b)
+                        todo.append(b)
+        ids = spark.createDataFrame([(v,) for v in range(n)], "id int")
+        got = {r.id: (r.scc, r.size, r.cyclic) for r in graph.components(ids, df).collect()}
+        scc = {v: min([v, *(w for w in reach[v] if v in reach[w])]) for v in range(n)}
+        assert got == {v: (c, list(scc.values()).count(c), list(scc.values()).count(c) > 1) for v, c in scc.items()}
+        if n > 14:
+            continue
+        leaves = {b for _, b in edges} - {a for a, _ in edges}
+
+        def longest(v, used):
+            return max([0 if v in leaves else -(10**6), *(1 + longest(b, used | {(a, b)}) for a, b in edges if a == v and (a, b) not in used)])
+
+        assert {r.id: r.length for r in graph.longest_chain(df, ids).collect()} == {v: max(0, longest(v, frozenset())) for v in range(n)}
+
+
+def test_longest_chain_of_a_long_line_is_whole(spark):
+    df = spark.range(30).selectExpr("id as src", "id + 1 as dst")
+    assert {r.id: r.length for r in graph.longest_chain(df, spark.range(31)).collect()} == {i: 30 - i for i in range(31)}
+
+
 def test_longest_chain_takes_no_edge_twice(spark):
     e = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "c"), ("b", "c"), ("x", "x")], "src string, dst string")
     n = spark.createDataFrame([("r",), ("x",), ("q",)], "id string")
@@ -49,8 +85,9 @@ def test_forecast_and_volatility(spark):
     for r in change.forecast(s).orderBy("key", "idx").collect():
         got.setdefault(r.key, []).append(r.y)
     assert got == {"up": [8.0, 10.0, 12.0], "down": [0.0, 0.0, 0.0]}
-    c = spark.createDataFrame([("x", "x/src/OrderController.java", "MODIFY"), ("x", "x/pom.xml", "DELETE")], "service string, path string, change string")
-    assert tuple(change.volatility(c).first()) == ("x", 23, 1.0, "API,Config,Deletion")
+    c = spark.createDataFrame([("x/src/OrderController.java", "MODIFY", None), ("x/pom.xml", "DELETE", None), ("README", "ADD", None), ("/y/a/Impl.java", "ADD", ["DELETE", "ADD"])], "path string, change string, components array<string>")
+    got = {r.service: (r.raw, r.volatility, r.risks) for r in change.volatility(c).collect()}
+    assert got == {"x": (23.0, 1.0, "API/Contract Changes,Config/Infra Changes,Severe Deletions"), "y": (5.0, 0.25, "Core Logic Overhaul")}
 
 
 def test_text_functions(spark):
@@ -59,12 +96,17 @@ def test_text_functions(spark):
     ids = [one(X.endpoint_id(F.lit("ts-order-service"), F.lit(u), F.lit("get"))) for u in ("/orders/{?}", "/orders/{?}/items")]
     assert ids[0] != ids[1]
     assert len({one(X.endpoint_id(F.lit("s"), F.lit(u), F.lit("get"), compat=True)) for u in ("/orders/{?}", "/orders/{?}/items")}) == 1  # what compat reproduces
-    for pattern, score in (("/api/x", 1000), ("/api/{id}", 900), ("/api/*", 800), ("/api/**", 720)):
+    for pattern, score in (("/api/x", 1000), ("/api/{id}", 900), ("/api/*", 800), ("/api/**", 720), ("/**", 700), ("/api/{id}/**", 900), ("/a/b/**", 730), ("/a?", 800)):
         assert one(X.ant_specificity(F.lit(pattern))) == score
     hit = lambda p, u: one(F.lit(u).rlike(one(X.ant_regex(F.lit(p)))))
     assert hit("/api/**", "/api") and hit("/api/**", "/api/x/y") and not hit("/api/**", "/apix") and hit("/a/*/c", "/a/b/c") and not hit("/a/*/c", "/a/b/b/c")
     assert one(X.cyclomatic(F.lit('if (a && b) { /* if */ for(;;) s = "while"; } // if'))) == 4
-    assert one(X.secrets(F.lit("${DB_PASSWORD:s3cretvalue} ${HOST:localhost} ${X:short}"))) == ["s3cretvalue"]
+    assert one(X.secrets(F.lit("${DB_PASSWORD:s3cretvalue} ${HOST:localhost} ${X:short}"))) == ["s3cretvalue", "localhost"]
+    assert one(X.secrets(F.lit("${DB_9:s3cretvalue} ${A:password} ${B:adminadmin}"))) == ["s3cretvalue", "adminadmin"]
+    assert one(X.secrets(F.lit("'longsecret$x'"), F.lit("api.key"))) == ["longsecret"] and one(X.secrets(F.lit("longsecret"), F.lit("name"))) == []
+    assert one(X.templated(F.lit("/a/12/5f2b8c1d-aaaa-bbbb-cccc-0123456789ab/abc123def456/users"))) == "/a/{id}/{id}/{id}/users"
+    assert [one(policy.role_label(F.lit(m))) for m in (0, 1, 2, 3, 4, 6, 7)] == ["None", "Unauthenticated", "User Only", "3", "Admin Only", "User + Admin Only", "Any Authenticated User"]
+    assert one(X.cyclomatic(F.lit("do { x = a ? b : c; } while (y);"))) == 3 and one(X.sensitivity(F.lit("/refund"))) == "FINANCIAL"
     assert one(X.injectable(F.lit("findByAAndB"))) and one(X.injectable(F.lit("deleteByName"))) and not one(X.injectable(F.lit("deleteById")))
     assert one(X.service_of_url(F.lit("http://ts-order-service:80/x"))) == "ts-order-service"
     assert one(X.display_name(F.lit("ts-order-service"))) == "order" and one(X.operation_type(F.lit("findAll"))) == "SELECT"
