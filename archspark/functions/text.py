@@ -114,3 +114,65 @@ def service_of_url(url: Column) -> Column:
     named = F.regexp_extract(url, r"([a-z0-9]+(?:-[a-z0-9]+)*-service)", 1)
     first = F.regexp_extract(url, r"/api/(?:v[0-9]+/)?([a-z0-9-]+)", 1)
     return F.when(named != "", named).when(first != "", F.concat(F.regexp_replace(first, "s$", ""), F.lit("-service")))
+
+
+def flexible_name(name: str) -> str:
+    """Regular expression for a name whose dashes, underscores and spaces may be any number of any of them."""
+    import re
+
+    return "[-_\\s]*".join(re.escape(part) for part in re.split(r"[-_\s]+", name))
+
+
+def without_fence(text: Column) -> Column:
+    """Text without the code fence around it."""
+    return F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z0-9]*\s*", ""), r"\s*```$", "")
+
+
+def github(url: Column) -> Column:
+    """Owner and repository of a GitHub URL, `.git` left off; null where it is none."""
+    pattern = r"github\.com[:/]([^/]+)/([^/?#]+?)(?:\.git)?/?(?:[?#].*)?$"
+    owner, repo = (F.nullif(F.regexp_extract(url, pattern, i), F.lit("")) for i in (1, 2))
+    return F.struct(owner.alias("owner"), repo.alias("repo"))
+
+
+def subject(message: Column) -> Column:
+    """First line of a commit message, 200 characters at most."""
+    return F.substring(F.substring_index(message, "\n", 1), 1, 200)
+
+
+def first_hop(forwarded: Column) -> Column:
+    """First address of a forwarding header."""
+    return F.trim(F.element_at(F.split(forwarded, ","), 1))
+
+
+def public_address(ip: Column) -> Column:
+    """Whether an IPv4 address is none of the private, loopback, link-local, shared or reserved ranges; false for what is no address."""
+    part = lambda i: F.try_element_at(F.split(ip, r"\."), F.lit(i)).try_cast("int")
+    a, b = part(1), part(2)
+    valid = ip.rlike(r"^(\d{1,3}\.){3}\d{1,3}$") & F.forall(F.transform(F.split(ip, r"\."), lambda x: x.try_cast("int")), lambda x: x <= 255)
+    inner = a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127))
+    return F.coalesce(valid & ~inner, F.lit(False))
+
+
+def squeezed(text: Column) -> Column:
+    """Text with all white space as single spaces."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def spel_roles(expression: Column) -> Column:
+    """Roles that hasRole, hasAnyRole and hasAuthority expressions name, without ROLE_, sorted."""
+    calls = F.regexp_extract_all(expression, F.lit(r"has(?:Any)?(?:Role|Authority)\(([^)]*)\)"), 1)
+    names = F.flatten(F.transform(calls, lambda c: F.regexp_extract_all(c, F.lit("['\"]([^'\"]+)['\"]"), 1)))
+    return F.array_sort(F.array_distinct(F.transform(names, lambda r: F.regexp_replace(r, "^ROLE_", ""))))
+
+
+# Entities of repositories that aren't named for them are found by cutting off `Repository`.
+def entity_of_repository(name: Column) -> Column:
+    """Entity of a repository by its name; the name itself where it has none."""
+    cut = F.regexp_extract(name, "(?i)^(.+?)Repository$", 1)
+    return F.when(cut != "", cut).otherwise(name)
+
+
+def tokens_per_minute(n: Column) -> Column:
+    """A number with K or M, as long as it is whole."""
+    return F.when((n >= 1_000_000) & (n % 1_000_000 == 0), F.concat((n / 1_000_000).cast("long").cast("string"), F.lit("M"))).when((n >= 1000) & (n % 1000 == 0), F.concat((n / 1000).cast("long").cast("string"), F.lit("K"))).otherwise(n.cast("string"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archspark.functions.text import flexible_name
+
 
 def latest(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """The row of the largest `order` per key, by an aggregate that combines before the shuffle."""
@@ -70,3 +74,43 @@ def budget_step(spend: DataFrame, steps: DataFrame, budget: float, ceiling: int)
 def append_new(kept: DataFrame, fetched: DataFrame, key: list[str]) -> DataFrame:
     """The kept rows and those fetched ones whose key is not among them."""
     return kept.unionByName(fetched.join(kept.select(*key).distinct(), key, "left_anti"))
+
+
+def by_name(systems: DataFrame, name: str, newest: int | None = None) -> DataFrame:
+    """systems(id, name, version, ...): released rows whose name holds a pattern (case, dashes, underscores and spaces aside), newest version first by its numbers."""
+    found = systems.where(F.col("name").rlike("(?i)" + flexible_name(name)) & F.col("version").isNotNull()).orderBy(F.desc(version_order(F.col("version"))), "id")
+    return found.limit(newest) if newest else found
+
+
+def exists(systems: DataFrame, name: str) -> bool:
+    return not by_name(systems, name).isEmpty()
+
+
+def versions(systems: DataFrame, name: str) -> DataFrame:
+    """Version, id, creation and description of a system's released rows, newest version first."""
+    return systems.where((F.col("name") == name) & F.col("version").isNotNull()).select("version", "id", "created", "description").orderBy(F.desc(version_order(F.col("version"))), "id")
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among ids(key), each once."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def listing(df: DataFrame, order: list[Column], number: int, size: int, without: list[str]) -> DataFrame:
+    """A page without some columns; updated falls back to created; every row has the number of rows and pages in all."""
+    total = df.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))
+    rows = page(df.withColumn("updated", F.coalesce("updated", "created")).drop(*without), order, number, size)
+    return rows.crossJoin(F.broadcast(total))  # one row
+
+
+def with_version(systems: DataFrame, key: Column, version: str) -> DataFrame:
+    """systems(version, payload as JSON, ...) with a version set where key holds, in the row and in the payload."""
+    if not re.fullmatch(r"\d+\.\d+\.\d+", version):
+        raise ValueError(f"no version: {version}")
+    payload = F.when(F.col("payload").rlike(r'"version"\s*:'), F.regexp_replace("payload", r'"version"\s*:\s*("[^"]*"|null)', f'"version":"{version}"')).otherwise(F.regexp_replace("payload", r"^\s*\{", f'{{"version":"{version}",'))
+    return systems.withColumns({"version": F.when(key, version).otherwise(F.col("version")), "payload": F.when(key, payload).otherwise(F.col("payload"))})
+
+
+def cached(wanted: DataFrame, results: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Stored results of the keys wanted, and the keys that have none yet."""
+    return by_ids(results, wanted, key), wanted.join(results.select(key).distinct(), key, "left_anti")

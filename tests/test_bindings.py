@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF, same
 
-from archspark.plans import bindings
+from archspark.plans import catalogue as bindings
 
 
 @pytest.mark.parametrize("name", sorted(bindings.ORACLES))

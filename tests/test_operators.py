@@ -121,3 +121,108 @@ def test_violations_against_brute_force(spark):
 def test_visits_keep_answers(spark):
     e = spark.createDataFrame([("v", 1, 1, False, "DE"), ("v", 2, 2, True, "FR"), ("v", 3, 3, False, None)], "visitor string, ts int, seq int, skipped boolean, country string")
     assert tuple(store.visits(e).first()) == ("v", 1, 3, 3, "DE")
+
+
+def test_ir_documents_files_and_payloads(spark, tmp_path):
+    """Two services, one controller of one endpoint and one helper: three rows of evidence; files plain and gzipped, payloads as bytes, base64 and $binary."""
+    import base64
+    import gzip
+    import json
+
+    from archspark.sources import ir as IR
+
+    methods = [{"id": "1", "name": "create", "httpMethod": "POST", "url": "/api/v1/seatservice/seats", "annotations": [{"name": "PreAuthorize"}]}, {"id": "2", "name": "help", "httpMethod": None}, {"name": "no id"}]
+    doc = {"name": "sys", "commitID": "c", "more": 1, "microservices": [{"name": "seat", "path": "p", "controllers": [{"name": "SeatController", "methods": methods}]}, {"name": "other"}, {"path": "no name"}]}
+    text = json.dumps(doc)
+    (tmp_path / "a.json").write_text(text)
+    (tmp_path / "b.json.gz").write_bytes(gzip.compress(text.encode()))
+    for name in ("a.json", "b.json.gz"):
+        rows = IR.evidence_rows(IR.read_ir(spark, str(tmp_path / name)), "v1").orderBy("place").collect()
+        assert [(r.service, r.entity) for r in rows] == [("seat", "seat"), ("seat", "SeatController.create"), ("other", "other")]
+        assert "1 controller(s) exposing 1 HTTP" in rows[0].content and "0 controller(s)" in rows[2].content and (rows[1].http_method, rows[1].url) == ("POST", "/api/v1/seatservice/seats")
+    ir = IR.read_ir(spark, str(tmp_path / "a.json"))
+    assert [(r.method_id, r.name) for r in IR.annotations(ir).collect()] == [("1", "PreAuthorize")] and IR.methods(ir).count() == 2
+    assert IR.evidence_rows(ir, "v1", 2).count() == 2 and IR.evidence_rows(ir, "v1", endpoints=False).count() == 2
+    zipped = gzip.compress(text.encode())
+    blobs = [zipped, base64.b64encode(zipped), json.dumps({"$binary": {"base64": base64.b64encode(zipped).decode()}}).encode(), text.encode(), b"junk", None]
+    got = IR.decoded(spark.createDataFrame(list(enumerate(blobs)), "id int, payload binary")).orderBy("id").collect()
+    assert [r.name for r in got] == ["sys"] * 4 + [None] * 2
+    IR.write_json(ir, str(tmp_path / "out"))
+    assert IR.services(spark.read.schema(IR.IR).json(str(tmp_path / "out"))).count() == 2
+
+
+def test_three_layouts_of_service_graphs(spark, tmp_path):
+    import json
+
+    from archspark.sources import ir as IR
+
+    layouts = [
+        {"nodes": [{"nodeName": "A", "nodeType": "s"}, {"nodeName": "B"}], "links": [{"source": "A", "target": "B", "requests": []}]},
+        {"systemName": "x", "nodes": [{"nodeName": "A", "nodeType": "s", "dependencies": [], "targets": [{"nodeName": "B"}]}, {"nodeName": "B", "dependencies": [{"nodeName": "A"}], "targets": []}]},
+        {"nodes": [{"id": "A", "nodeType": "s"}, {"id": "B"}], "links": [{"source": "A", "target": "B", "functions": []}]},
+    ]
+    for i, layout in enumerate(layouts):
+        (tmp_path / f"{i}.json").write_text(json.dumps(layout))
+        nodes, links = IR.read_graph(spark, str(tmp_path / f"{i}.json"))
+        assert {r.id: r.type for r in nodes.collect()} == {"A": "s", "B": None} and [tuple(r) for r in links.collect()] == [("A", "B")]
+
+
+def test_lookups_and_names(spark):
+    from archspark.operators import answers, census, enrich, scenario
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    score = lambda u, t: one(enrich.confidence(F.lit(u), F.lit(t)))
+    assert score("/api/users/{id}", "/api/users/{?}") == 100 and score("/api/user/{id}", "/api/users/{?}") == 50 and score("/{a}/{b}", "/{x}/{y}") == 100
+    assert score("/api/users/7", "/api/users/{?}") == 0 and score("/api", "/api/users") == 0
+    classes = spark.createDataFrame([("s", "services", 0, "OrderService", "JInterface"), ("s", "unknowns", 1, "OrderServiceImpl", "JClass"), ("s", "repositories", 2, "Repo", "JInterface")], "service string, bucket string, pos int, name string, kind string")
+    wanted = spark.createDataFrame([("s", "a.b.OrderService"), ("s", "Repo"), ("s", "Gone")], "service string, name string")
+    assert {r.wanted: r.name for r in enrich.looked_up(wanted, classes).collect()} == {"a.b.OrderService": "OrderServiceImpl", "Repo": "Repo"}
+    rows = spark.createDataFrame([("Orders",), ("users",)], "n string")
+    assert [r.n for r in enrich.searched(rows, F.col("n"), ["ORD", ""]).collect()] == ["Orders"] and enrich.searched(rows, F.col("n"), []).count() == 2
+    ends = spark.createDataFrame([(1, "a", "C", "m"), (2, "b", "C", "m"), (3, "a", "C", "x")], "id int, service string, controller string, method string")
+    names, services = spark.createDataFrame([("a.C.m",), ("b.C.m",)], "name string"), spark.createDataFrame([("a",)], "service string")
+    assert [r.scenario for r in enrich.wanted(ends, names, services).collect()] == ["scn_1"] and enrich.wanted(ends, names).count() == 2
+    assert one(scenario.higher(F.lit("A"), F.lit("B"), F.array(F.lit("A"), F.lit("B")))) is True and one(scenario.roles_or_default(F.array().cast("array<string>"))) == ["ADMIN", "USER"]
+    pick = lambda kind, label, level: one(scenario.template(F.lit(kind), F.lit(label), F.lit(level)))
+    assert pick("EntryPointAuthorization", "ENTRYPOINT_POLICY_EXPOSURE_PII_PUBLIC", "LOW") == "entrypoint_public_sensitive" and pick("x", "UNSET", "LOW") == "generic_authorization" and pick("x", "DOWNSTREAM_OVER_PERMISSIVE_PII_PUBLIC", "LOW") == "downstream_inconsistency_simple"
+    assert one(answers.known_citations(F.lit("see [E1], [E7] and [E0]"), F.lit(2))) == "see [E1], [E?] and [E?]"
+    block = answers.evidence_block(spark.createDataFrame([("q", 2, "IR", " ", "b"), ("q", 1, "GRAPH", "e", "a")], "query string, place int, kind string, entity string, content string"))
+    assert block.first().block == "EVIDENCE (2)\n[E1] GRAPH | e | a\n[E2] IR | n/a | b"
+    assert [r.n_anti_patterns for r in census.anti_patterns(spark.createDataFrame([('{"antiPattern": {"type": "x"}, "a": [{"antiPattern":"y"}, {"antiPattern": null}]}',)], "data string")).collect()] == [2]
+
+
+def test_more_text_functions(spark):
+    import re
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert re.fullmatch(X.flexible_name("train-ticket x"), "train_ticketx")
+    assert one(X.without_fence(F.lit("```json\n{}\n```"))) == "{}" and one(X.without_fence(F.lit("{}"))) == "{}"
+    assert tuple(one(X.github(F.lit("https://github.com/own/re.po.git")))) == ("own", "re.po") and tuple(one(X.github(F.lit("http://x/y")))) == (None, None)
+    assert one(X.subject(F.lit("a" * 300 + "\nb"))) == "a" * 200 and one(X.first_hop(F.lit(" 1.2.3.4 , 5.6.7.8"))) == "1.2.3.4"
+    assert [one(X.public_address(F.lit(i))) for i in ("8.8.8.8", "10.1.1.1", "172.20.0.1", "192.168.0.1", "127.0.0.1", "300.1.1.1", "x")] == [True] + [False] * 6
+    assert one(X.spel_roles(F.lit("hasRole('ADMIN') or hasAnyRole('ROLE_USER', \"X\")"))) == ["ADMIN", "USER", "X"]
+    assert one(X.entity_of_repository(F.lit("OrderRepository"))) == "Order" and one(X.entity_of_repository(F.lit("Order"))) == "Order"
+    assert [one(X.tokens_per_minute(F.lit(n))) for n in (50_000, 2_000_000, 1500)] == ["50K", "2M", "1500"]
+
+
+def test_structured_retrieval_and_entities(spark):
+    from archspark.operators import retrieve
+
+    q = spark.createDataFrame([(1, "What does order-service do?"), (2, "Who calls GET /api/x/{id}?"), (3, "Tell me about the services")], "query int, text string")
+    assert {r.query: r.e for r in q.select("query", retrieve.entities(F.col("text")).alias("e")).collect()} == {1: ["order-service"], 2: ["/api/x/{id}", "GET /api/x/{id}"], 3: []}
+    e = spark.createDataFrame([("a", "SERVICE", "n", "Order-Service", None, None), ("b", "ENDPOINT", "n", "order-service", "/api/x/{id}", "get"), ("c", "IR", "m", "other", None, None)], "id string, kind string, entity string, service string, path string, method string")
+    got = [(r.query, r.id, r.place) for r in retrieve.structured(q, e).orderBy("query", "place").collect()]
+    assert got == [(1, "b", 1), (1, "a", 2), (2, "b", 1)]
+
+
+def test_store_of_versions(spark):
+    rows = [(1, "Train Ticket", "1.2.0"), (2, "train-ticket", "1.10.0"), (3, "train_ticket", None), (4, "other", "9.0.0")]
+    s = spark.createDataFrame([(*r, "2020", "d", '{"name":"x","version":null}') for r in rows], "id int, name string, version string, created string, description string, payload string")
+    assert [r.id for r in store.by_name(s, "TRAIN TICKET").collect()] == [2, 1] and store.by_name(s, "train", 1).count() == 1 and not store.exists(s, "gone")
+    assert [r.version for r in store.versions(s, "other").collect()] == ["9.0.0"] and {r.id for r in store.by_ids(s, spark.createDataFrame([(1,), (1,), (7,)], "id int"), "id").collect()} == {1}
+    set_ = {r.id: (r.version, r.payload) for r in store.with_version(s, F.col("id") == 3, "2.0.1").collect()}
+    assert set_[3] == ("2.0.1", '{"name":"x","version":"2.0.1"}') and set_[4][0] == "9.0.0"
+    with pytest.raises(ValueError):
+        store.with_version(s, F.col("id") == 3, "2.0")
+    hit, miss = store.cached(spark.createDataFrame([(1,), (9,)], "id int"), s, "id")
+    assert [r.id for r in hit.collect()] == [1] and [r.id for r in miss.collect()] == [9]
