@@ -108,7 +108,7 @@ def g2_call_chain(spark, sf):
 
 
 _REQUIRED = "SELECT p_partkey AS node, CASE p_size % 3 WHEN 0 THEN 0 ELSE 1 END AS n FROM part WHERE p_size % 7 <> 0"
-_CHAIN_STATS = f"""SELECT root, count(*) AS total, CAST(count(n) AS BIGINT) AS resolved, count(*) - count(n) AS unresolved, max(depth) AS max_depth, CAST(count_if(n = 0) AS BIGINT) AS public, CAST(count_if(n > 0) AS BIGINT) AS restricted, bool_or(cycles) AS cycles
+_CHAIN_STATS = f"""SELECT root, count(*) AS total, CAST(count(n) AS BIGINT) AS resolved, count(*) - count(n) AS unresolved, max(depth) AS max_depth, count(*) FILTER (n = 0) AS public, count(*) FILTER (n > 0) AS restricted, bool_or(cycles) AS cycles
   FROM chain JOIN cyc USING (root) LEFT JOIN ({_REQUIRED}) USING (node) GROUP BY root"""
 
 
