@@ -148,6 +148,28 @@ def call_chain(calls: DataFrame, roots: DataFrame) -> DataFrame:
     return best.select("root", "node", place.alias("position"), F.size("path").alias("depth")).join(cycles, "root")
 
 
+def local_descent(local: DataFrame, remote: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls to other services from inside a method and the methods it calls locally: local(src, pos, dst), remote(method, pos, target), roots(id) -> rows (root, place, method, pos, depth, target) in depth-first order, and by root n_remote, local_methods, max_local_depth and nested.
+
+    Every method is entered once, the root itself again where a call leads back to it; nested counts a call once for each
+    level that it lies below the root. Remote calls are leaves of the call chain, so that they keep their place between local ones.
+    """
+    node = lambda kind, c, pos=None: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("id"), (F.lit(-1) if pos is None else F.col(pos)).cast("int").alias("pos"))
+    tops = roots.select(F.col("id").cast("string").alias("id")).distinct()
+    steps = local.where("dst is not null").select(node("method", "src").alias("src"), "pos", node("method", "dst").alias("dst"))
+    leaves = remote.select(node("method", "method").alias("src"), "pos", node("remote", "method", "pos").alias("dst"))
+    first = local.where("dst is not null").join(tops, F.col("src").cast("string") == tops["id"], "left_semi").select(node("root", "src").alias("src"), "pos", node("method", "dst").alias("dst"))
+    own = remote.join(tops, F.col("method").cast("string") == tops["id"], "left_semi").select(node("root", "method").alias("src"), "pos", node("own", "method", "pos").alias("dst"))
+    chain = checkpointed(call_chain(steps.union(leaves).union(first).union(own), tops.select(node("root", "id").alias("id"))).select(F.col("root.id").alias("root"), F.col("node.kind").alias("kind"), F.col("node.id").alias("method"), F.col("node.pos").alias("pos"), "position", "depth"))
+    called = F.col("kind").isin("own", "remote")
+    targets = remote.select(F.col("method").cast("string").alias("method"), F.col("pos").cast("int").alias("pos"), "target")
+    rows = chain.where(called).join(targets, ["method", "pos"]).select("root", (F.row_number().over(Window.partitionBy("root").orderBy("position")) - 1).alias("place"), "method", "pos", (F.col("depth") - 1).alias("depth"), "target")
+    inside = F.col("kind") == "method"
+    counts = chain.groupBy("root").agg(F.count_if(called).alias("n_remote"), F.count_if(inside).alias("local_methods"), F.coalesce(F.max(F.when(inside, F.col("depth"))), F.lit(0)).alias("max_local_depth"), F.coalesce(F.sum(F.when(called, F.col("depth") - 1)), F.lit(0)).alias("nested"))
+    kind = roots.schema["id"].dataType
+    return rows.withColumn("root", F.col("root").cast(kind)), counts.withColumn("root", F.col("root").cast(kind))
+
+
 def chain_statistics(chain: DataFrame, required: DataFrame) -> DataFrame:
     """chain of `call_chain`, required(node, roles: array; no row where unresolved) -> by root: calls in all, resolved and not, greatest depth, public (no roles) and restricted ones, cycles."""
     rows = chain.join(required, "node", "left")

@@ -55,3 +55,14 @@ def ahp(cells: DataFrame, n: int) -> DataFrame:
     ci = (F.col("lambda_max") - n) / max(1, n - 1)
     ratio = ci / RANDOM_INDEX[n] if RANDOM_INDEX[n] else F.lit(0.0)
     return weights.join(F.broadcast(top)).select("i", F.round("w", 6).alias("w"), F.round("lambda_max", 6).alias("lambda_max"), F.round(ci, 6).alias("ci"), F.round(ratio, 6).alias("cr"))
+
+
+def calibrated(opinions: DataFrame) -> DataFrame:
+    """Opinions (key, b, d, u) with valid: whether they sum to 1, by less than 0.001."""
+    total = F.col("b") + F.col("d") + F.col("u")
+    return opinions.withColumn("valid", F.coalesce((total > 0.999) & (total < 1.001), F.lit(False)))
+
+
+def metric_thresholds(thresholds: DataFrame, weights: DataFrame) -> DataFrame:
+    """thresholds(key, low, high) with the weight of each key in weights(key, w) as the most disbelief that the metric can give."""
+    return thresholds.join(weights.select("key", F.col("w").alias("max_disbelief")), "key")

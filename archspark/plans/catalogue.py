@@ -1,6 +1,6 @@
 """All bound queries and their SQL."""
 
-from archspark.plans import more
+from archspark.plans import details, more
 from archspark.plans.bindings import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "more"]
+__all__ = ["ORACLES", "QUERIES", "details", "more"]

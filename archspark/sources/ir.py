@@ -16,7 +16,7 @@ from archspark.functions.text import clean_url
 _ANNOTATION = "struct<name: string, attributes: map<string, string>>"
 _CALL = "struct<id: string, name: string, objectName: string, objectType: string, calledFrom: string, type: string, url: string, httpMethod: string, parameterContents: string>"
 _METHOD = f"struct<id: string, name: string, httpMethod: string, url: string, protection: string, returnType: string, className: string, annotations: array<{_ANNOTATION}>, methodCalls: array<{_CALL}>>"
-_CLASS = f"struct<id: string, name: string, type: string, classRole: string, packageName: string, path: string, implementedTypes: array<string>, imports: array<struct<name: string, importObject: string>>, annotations: array<{_ANNOTATION}>, methods: array<{_METHOD}>>"
+_CLASS = f"struct<id: string, name: string, type: string, classRole: string, packageName: string, path: string, implementedTypes: array<string>, imports: array<struct<name: string, importObject: string>>, annotations: array<{_ANNOTATION}>, methods: array<{_METHOD}>, methodCalls: array<{_CALL}>>"
 _SERVICE = f"struct<name: string, path: string, antiPattern: string, controllers: array<{_CLASS}>, services: array<{_CLASS}>, repositories: array<{_CLASS}>, entities: array<{_CLASS}>, files: array<struct<id: string, name: string, type: string, path: string, data: string>>>"
 IR = f"name string, commitID string, version string, microservices array<{_SERVICE}>"
 #: Arrays of classes, by role.
@@ -110,6 +110,43 @@ def view_names(ir: DataFrame) -> DataFrame:
     return m.select("system", "method_id", F.when(F.col("role") == "Controller", controller).otherwise(service).alias("unique"))
 
 
+def structural_edges(ir: DataFrame) -> DataFrame:
+    """(system, src, dst, kind): hierarchy from services to their controllers and service classes and from these to their methods, and uses from classes to the entities they import (packages with `.entity.`), each once. Entities go by their name alone; every controller against every service class of a service, which says nothing of calls, is left out."""
+    held = classes(ir).where("role in ('Controller', 'Service')").withColumn("node", F.concat_ws(".", "service", "class"))
+    of_service = held.select("system", F.col("service").alias("src"), F.col("node").alias("dst"), F.lit("hierarchy").alias("kind"))
+    of_class = held.select("system", "node", F.explode("methods").alias("m")).where("m.name is not null").select("system", "node", F.concat_ws(".", "node", "m.name"), F.lit("hierarchy"))
+    uses = held.select("system", "node", F.explode("imports").alias("i")).where(F.contains("i.name", F.lit(".entity.")) & F.col("i.importObject").isNotNull()).select("system", "node", "i.importObject", F.lit("uses"))
+    return of_service.union(of_class).union(uses).distinct()
+
+
+def component_links(ir: DataFrame, selected: DataFrame) -> DataFrame:
+    """Calls between the classes of selected(service): system, src, dst, service, pos, source_method, function, argument, returns.
+
+    A class goes by the first type that it implements, else by its name; a controller or service class is linked where a
+    call of its own (of the class, not of a method) names the type of another known class. The return type is that of the
+    last method of the name in the last class so called, `void` where it has none.
+    """
+
+    def ranked(column: str, rank: int) -> Column:
+        return F.transform(F.coalesce(F.col(f"s.{column}"), F.array()), lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("at"), x.alias("c")))
+
+    arrays = F.concat(*(ranked(c, rank) for rank, c in enumerate(("services", "controllers", "entities", "repositories"))))
+    each = services(ir).join(selected.select("service").distinct(), "service", "left_semi").select("system", "service", "pos", F.explode(arrays).alias("x"))
+    rows = each.select("system", "service", "pos", "x.rank", "x.at", F.coalesce(F.try_element_at("x.c.implementedTypes", F.lit(1)), "x.c.name").alias("node"), F.col("x.c.methods").alias("methods"), F.col("x.c.methodCalls").alias("calls")).where("node is not null")
+    last = rows.groupBy("system", "node").agg(F.max_by("methods", F.struct("pos", "rank", "at")).alias("methods")).withColumnRenamed("node", "dst")
+    made = rows.where("rank < 2").select("system", "service", F.col("node").alias("src"), F.col("rank"), "at", F.posexplode("calls").alias("pos", "k")).select("system", "service", "src", "rank", "at", "pos", F.col("k.objectType").alias("dst"), F.col("k.name").alias("function"), F.col("k.calledFrom").alias("source_method"), F.col("k.parameterContents").alias("argument"))
+    named = F.filter("methods", lambda m: m["name"] == F.col("function"))
+    met = made.where("dst != src").join(last, ["system", "dst"])
+    return met.select("system", "src", "dst", "service", "pos", "source_method", "function", "argument", F.coalesce(F.try_element_at(named, F.lit(-1))["returnType"], F.lit("void")).alias("returns"))
+
+
+def entity_dependents(ir: DataFrame) -> DataFrame:
+    """(system, entity, service, n): classes of each service that use an entity."""
+    uses = structural_edges(ir).where("kind = 'uses'")
+    owner = classes(ir).where("role in ('Controller', 'Service')").select("system", F.concat_ws(".", "service", "class").alias("src"), "service").distinct()
+    return uses.join(owner, ["system", "src"]).groupBy("system", F.col("dst").alias("entity"), "service").agg(F.count("*").alias("n"))
+
+
 def _known(c: str) -> Column:
     return F.when(F.trim(c) != "", F.trim(c))
 
