@@ -105,7 +105,7 @@ def n1_found_by(spark, sf):
 
 
 @query("""WITH RECURSIVE r AS (SELECT p_partkey AS root, p_partkey AS method, 0 AS depth FROM part UNION ALL SELECT root, p_partkey, depth + 1 FROM r JOIN part ON p_partkey = method // 10 WHERE method >= 10)
-  SELECT root, count_if(p_size % 5 = 0) AS n_remote, CAST(max(depth) AS BIGINT) AS local_methods, max(depth) AS max_local_depth, CAST(coalesce(sum(depth) FILTER (p_size % 5 = 0), 0) AS BIGINT) AS nested FROM r JOIN part ON method = p_partkey GROUP BY root""")
+  SELECT root, CAST(count_if(p_size % 5 = 0) AS BIGINT) AS n_remote, CAST(max(depth) AS BIGINT) AS local_methods, max(depth) AS max_local_depth, CAST(coalesce(sum(depth) FILTER (p_size % 5 = 0), 0) AS BIGINT) AS nested FROM r JOIN part ON method = p_partkey GROUP BY root""")
 def g3_local_descent(spark, sf):
     """Parts call the part of a tenth of their number; those of a size that five divides call another service."""
     p = _t(spark, sf, "part")
