@@ -76,6 +76,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranges(table: DataFrame, mb: int = 32) -> int:
+    """How many tasks a stored table is dealt to: one for each `mb` of its files, spark.sql.shuffle.partitions at least."""
+    spark, size = table.sparkSession, 0
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(partitions(spark), -(-size // (mb << 20)))
+
+
 def crc_mod(key, mod: int):
     """crc32 of the id as text, modulo `mod`."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % mod

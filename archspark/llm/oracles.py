@@ -105,4 +105,55 @@ WITH line AS (
 SELECT doc_id, CAST(start AS BIGINT) AS start, length, n_words, first_doc_id, CAST(first_start AS BIGINT) AS first_start FROM ranked WHERE k > 1
 """
 
-ORACLES = {"op6_decontamination": OP6, "op8_katz": OP8, "op9_near_duplicates": OP9, "repeated_lines": OP10}
+_CRC = """bytes AS (
+  SELECT DISTINCT CAST(doc_id AS VARCHAR) AS k FROM documents WHERE doc_id IS NOT NULL
+), crc_step AS (
+  SELECT k, 0 AS i, CAST(4294967295 AS UBIGINT) AS c FROM bytes
+  UNION ALL
+  SELECT k, i + 1, CASE WHEN i % 9 = 0 THEN xor(c, CAST(ascii(substr(k, i // 9 + 1, 1)) AS UBIGINT))
+                        WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END
+  FROM crc_step WHERE i < 9 * len(k)
+), crc AS (SELECT k, xor(c, CAST(4294967295 AS UBIGINT)) AS crc32_of FROM crc_step WHERE i = 9 * len(k)
+)"""
+
+
+def _leaf(text: str) -> str:
+    parts = (f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({' || '.join(parts)})"
+
+
+_TREE = """{name} AS (
+  SELECT tree, 0 AS lvl, i, digest, count(*) OVER (PARTITION BY tree) AS m FROM {start}
+  UNION ALL
+  SELECT tree, lvl + 1, i // 16, digest, count(*) OVER (PARTITION BY tree)
+  FROM (SELECT tree, lvl, i // 16 * 16 AS i, sha256(string_agg(digest, '' ORDER BY i)) AS digest FROM {name} WHERE m > 1 GROUP BY tree, lvl, i // 16 * 16)
+)"""
+
+OP12 = f"""
+WITH RECURSIVE {_CRC}, doc AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf('text')} AS digest,
+    CASE WHEN crc32_of % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+  FROM (SELECT *, CAST(doc_id AS VARCHAR) AS k FROM documents) LEFT JOIN crc USING (k)
+), leaf AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS i FROM doc
+), {_TREE.format(name='node', start='leaf')}, subroot AS (
+  SELECT '' AS tree, tree AS source, row_number() OVER (ORDER BY tree) - 1 AS i, digest FROM node WHERE m = 1
+), {_TREE.format(name='top', start='subroot')}, step AS (
+  SELECT l.doc_id, l.tree, l.i, n.lvl, string_agg(n.digest, '' ORDER BY n.i) FILTER (n.i < l.i >> (4 * n.lvl)) AS before, string_agg(n.digest, '' ORDER BY n.i) FILTER (n.i > l.i >> (4 * n.lvl)) AS after
+  FROM leaf l JOIN node n ON l.tree = n.tree AND n.m > 1 AND n.i >> 4 = l.i >> (4 * n.lvl + 4) GROUP BY ALL
+  UNION ALL
+  SELECT l.doc_id, l.tree, l.i, 100 + n.lvl, string_agg(n.digest, '' ORDER BY n.i) FILTER (n.i < s.i >> (4 * n.lvl)), string_agg(n.digest, '' ORDER BY n.i) FILTER (n.i > s.i >> (4 * n.lvl))
+  FROM leaf l JOIN subroot s ON l.tree = s.source JOIN top n ON n.m > 1 AND n.i >> 4 = s.i >> (4 * n.lvl + 4) GROUP BY ALL
+), ordered AS (
+  SELECT tree, i, coalesce(before, '') AS before, coalesce(after, '') AS after, lvl, row_number() OVER (PARTITION BY tree, i ORDER BY lvl) AS k FROM step
+), proof AS (SELECT tree, i, sha256(string_agg(before || after, '' ORDER BY k)) AS proof_sha256, max(k) AS steps FROM ordered GROUP BY tree, i
+), fold AS (
+  SELECT tree, i, 0 AS k, coalesce(changed, digest) AS digest FROM leaf
+  UNION ALL
+  SELECT f.tree, f.i, f.k + 1, sha256(o.before || f.digest || o.after) FROM fold f JOIN ordered o ON f.tree = o.tree AND f.i = o.i AND o.k = f.k + 1
+), root AS (SELECT digest AS root FROM top WHERE m = 1
+)
+SELECT l.doc_id, l.digest AS leaf, s.digest AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.digest AS folded_root, f.digest = root AS verified
+FROM leaf l JOIN subroot s ON l.tree = s.source LEFT JOIN proof p ON p.tree = l.tree AND p.i = l.i JOIN fold f ON f.tree = l.tree AND f.i = l.i AND f.k = coalesce(steps, 0), root
+"""
+
+ORACLES = {"op6_decontamination": OP6, "op8_katz": OP8, "op9_near_duplicates": OP9, "op12_manifest": OP12, "repeated_lines": OP10}
