@@ -156,4 +156,29 @@ SELECT l.doc_id, l.digest AS leaf, s.digest AS subroot, root, coalesce(proof_sha
 FROM leaf l JOIN subroot s ON l.tree = s.source LEFT JOIN proof p ON p.tree = l.tree AND p.i = l.i JOIN fold f ON f.tree = l.tree AND f.i = l.i AND f.k = coalesce(steps, 0), root
 """
 
-ORACLES = {"op6_decontamination": OP6, "op8_katz": OP8, "op9_near_duplicates": OP9, "op12_manifest": OP12, "repeated_lines": OP10}
+
+def _rounds(n: int) -> str:
+    """Centroids c0, c1, ... and the assignments a0, a1, ... to them."""
+    one = """a{k} AS MATERIALIZED (
+  SELECT r, arg_min(k, d * 16 + k) AS k, min(d) AS d
+  FROM (SELECT r, k, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM vec, c{k}) GROUP BY r
+), c{next} AS MATERIALIZED (
+  SELECT o.k, coalesce(n.c, o.c) AS c FROM c{k} o LEFT JOIN (
+    SELECT k, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM (
+      SELECT k, j, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, unnest(range(64)) AS j FROM a{k} JOIN vec USING (r)) GROUP BY k, j) GROUP BY k) n ON o.k = n.k
+)"""
+    return ", ".join(one.format(k=k, next=k + 1) for k in range(n + 1))
+
+
+OP13 = f"""
+WITH vec AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, v AS c FROM vec ORDER BY sha256('3:' || vec_id) LIMIT 8
+), {_rounds(10)}
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a10 JOIN vec USING (r) JOIN c10 USING (k)
+"""
+
+ORACLES = {"op6_decontamination": OP6, "op8_katz": OP8, "op9_near_duplicates": OP9, "op12_manifest": OP12, "op13_clusters": OP13, "repeated_lines": OP10}

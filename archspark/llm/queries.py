@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.llm import decontaminate, fingerprint, html_text, katz, language, licenses, line_dedup, manifest, near_dedup, packing, toxicity
+from archspark.llm import clusters, decontaminate, disclosure, fingerprint, html_text, katz, language, licenses, line_dedup, manifest, near_dedup, packing, toxicity
 from archspark.llm.common import crc_mod, table
 
 
@@ -57,13 +57,21 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op10_repeated_passages that SQL can express: units of whole lines."""
     return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_html_text, op4_language, op5_packing, op6_decontamination, op7_licences, op8_katz, op9_near_duplicates, op10_repeated_passages, op12_manifest, repeated_lines)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_html_text, op4_language, op5_packing, op6_decontamination, op7_licences, op8_katz, op9_near_duplicates, op10_repeated_passages, op11_personal_data, op12_manifest, op13_clusters, repeated_lines)}
