@@ -271,12 +271,13 @@ def sanitised(documents: DataFrame, found: DataFrame | None = None) -> DataFrame
     """documents with identifiers and disclosing terms replaced in text; all other columns as they were, clean texts too."""
     found = disclosing(documents) if found is None else found
     spans = _spans(lambda x: F.when(x["removed"], F.lit("removed")).otherwise(F.lit("general")))
-    of_text = located(documents, found).select(F.col("key").alias("_key"), spans.alias("_spans")).where("_spans != ''").groupBy("_key").agg(F.first("_spans").alias("_spans"))
+    key, put_at = (f"{max(documents.columns, key=len)}_{x}" for x in ("key", "spans"))  # names that documents lack
+    of_text = located(documents, found).select(F.col("key").alias(key), spans.alias(put_at)).where(F.col(put_at) != "").groupBy(key).agg(F.first(put_at).alias(put_at))
 
     @F.pandas_udf("string")
     def put(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([replaced(t, s) if s else t for t, s in zip(text, spans)], dtype=object)
 
     text = F.col("text").cast("string")
-    joined_ = documents.join(of_text, F.sha2(text, 256) == F.col("_key"), "left")
-    return joined_.select(*(F.when(F.col("_spans").isNull(), text).otherwise(put(text, F.col("_spans"))).alias("text") if c == "text" else documents[c] for c in documents.columns))
+    met = documents.join(of_text, F.sha2(text, 256) == F.col(key), "left")
+    return met.select(*(F.when(F.col(put_at).isNull(), text).otherwise(put(text, F.col(put_at))).alias("text") if c == "text" else documents[c] for c in documents.columns))
