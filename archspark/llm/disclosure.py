@@ -7,8 +7,9 @@ entity and 0 where it says nothing of it. Terms of a ratio of REMOVED or more ar
 replaced by a general word, wherever they occur in the corpus. A pair counts if it occurs in SUPPORT different surroundings,
 so that a text that mentions an entity once discloses nothing but the entity.
 
-Counts cover all texts: a term's occurrences, an entity's, and those of the term within WINDOW words of the entity (a copied
-text counts as often as it occurs, on both sides of the ratio; as surroundings it counts once). In the last pass, a bit
+Counts cover all texts: a term's occurrences, an entity's surroundings, and those of them that have the term within WINDOW
+words. Surroundings that occur again (copies) count once, and so do the term's occurrences in them: p(e|t) is the number of
+different surroundings of both over that number and the term's other occurrences. In the last pass, a bit
 table of fixed size, made on Spark from the disclosing terms, tells each task which words to look up; the join that
 follows is exact.
 """
@@ -127,7 +128,7 @@ def _hash(text: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(text)).astype(np.int64))
 
 
-#: entity 0 and surroundings 0: a term's occurrences in all; term 0: an entity's.
+#: entity 0 and surroundings 0: a term's occurrences in all; term 0: an entity's surroundings.
 _COUNTS = pa.schema([("entity", pa.int64()), ("term", pa.int64()), ("surroundings", pa.int64()), ("n", pa.int64())])
 
 
@@ -155,7 +156,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int,
                 here = int(np.searchsorted(starts, span[1]))
                 window = [w for w, _, _ in words[max(0, here - WINDOW) : here + WINDOW]]
                 about = _hash(" ".join(w for w, _, _ in words[max(0, here - NEAR) : here + NEAR])) or 1
-                near[e, 0, 0] += 1
+                near[e, 0, about] += 1
                 for w in set(window):
                     near[e, hashes[w], about] += 1
             if len(seen) + len(near) >= CACHE_WORDS:
@@ -169,9 +170,10 @@ def disclosing(documents: DataFrame, removed: float = REMOVED, generalised: floa
     counts = stored(counts.groupBy("entity", "term", "surroundings").agg(F.sum("n").alias("n")), "disclosure-counts")
     in_all = counts.where("entity = 0").select("term", F.col("n").alias("of_term"))
     total = in_all.agg(F.sum("of_term")).first()[0] or 0
-    of_entity = counts.where("term = 0").select("entity", F.col("n").alias("of_entity"))
+    of_entity = counts.where("term = 0").groupBy("entity").agg(F.count("*").alias("of_entity"))
     pairs = counts.where("entity != 0 and term != 0").groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("different")).where(F.col("different") >= SUPPORT)
-    share = F.least(F.col("both") / F.col("of_term"), F.lit(1.0))
+    elsewhere = F.greatest(F.col("of_term") - F.col("both"), F.lit(0))
+    share = F.col("different") / (elsewhere + F.col("different"))
     ratio = 1 + F.log(share) / F.log(F.lit(float(total)) / F.col("of_entity"))
     found = pairs.join(in_all, "term").join(of_entity, "entity").where(F.col("of_entity") < total).select("term", ratio.alias("ratio"))
     return stored(found.groupBy("term").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= generalised).withColumn("removed", F.col("ratio") >= removed), "disclosure-terms")

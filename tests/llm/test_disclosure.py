@@ -27,7 +27,7 @@ def base(text):
 
 def plain_terms(texts):
     """term -> largest ratio, as the module's docstring defines it."""
-    of_term, of_entity, both, about, total = Counter(), Counter(), Counter(), defaultdict(set), 0
+    of_term, of_entity, both, about, total = Counter(), defaultdict(set), Counter(), defaultdict(set), 0
     for text in filter(None, texts):
         spans = base(text)
         hidden = {i for _, a, b in spans for i in range(a, b)}
@@ -37,14 +37,15 @@ def plain_terms(texts):
         for kind, a, b in spans:
             e = kind, text[a:b].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", text[a:b])
             here = sum(s < a for _, s in words)
-            of_entity[e] += 1
+            near = tuple(w for w, _ in words[max(0, here - 3) : here + 3])
+            of_entity[e].add(near)
             for w in {w for w, _ in words[max(0, here - 16) : here + 16]}:
                 both[e, w] += 1
-                about[e, w].add(tuple(w for w, _ in words[max(0, here - 3) : here + 3]))
+                about[e, w].add(near)
     out = {}
     for (e, w), n in both.items():
-        if len(about[e, w]) >= 3 and of_entity[e] < total:
-            ratio = 1 + math.log(min(1, n / of_term[w])) / math.log(total / of_entity[e])
+        if len(about[e, w]) >= 3 and len(of_entity[e]) < total:
+            ratio = 1 + math.log(len(about[e, w]) / (max(0, of_term[w] - n) + len(about[e, w]))) / math.log(total / len(of_entity[e]))
             if ratio >= disclosure.GENERALISED:
                 out[w] = max(ratio, out.get(w, 0))
     return out
@@ -99,7 +100,7 @@ def test_equals_a_plain_version(spark):
     rows = corpus()
     given = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, term string, row int").repartition(5)
     want, found = expected(rows)
-    assert "quillon" in found and "w1x" not in found
+    assert set(found) == {"quillon", "writes", "from", "daily", "halfway"}
     assert sorted(map(str, map(tuple, disclosure.personal_data(given).collect()))) == sorted(map(str, want))
 
 
