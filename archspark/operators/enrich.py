@@ -13,7 +13,7 @@ def first_of(df: DataFrame, key: list[str], *order) -> DataFrame:
 
 def suffixes(path: Column) -> Column:
     """Every end of a path: itself and what begins behind its first, second .. character; a match by suffix is then an equality."""
-    return F.transform(F.sequence(F.lit(1), F.length(path)), lambda i: F.substring(path, i, 100_000))
+    return F.transform(F.sequence(F.lit(1), F.length(path)), lambda i: F.substring(path, i, F.length(path)))
 
 
 def enriched(scenarios: DataFrame, endpoints: DataFrame) -> DataFrame:
@@ -45,12 +45,21 @@ def confidence(url: Column, template: Column) -> Column:
 def fuzzy(urls: DataFrame, templates: DataFrame, least: int = 90, by_service: bool = True) -> DataFrame:
     """urls(id, service, method, url), templates(pos, service, method, template) -> id, pos, template, score: the first template of the highest confidence, if that reaches `least`.
 
-    Only those of one method, number of segments and pattern of variables meet, and of one service unless by_service is false (then any service may be found).
+    Only those of one method, number of segments and pattern of variables may agree, and of one service unless by_service is false (then any service may be found).
+    With at most d of the fixed segments different, one of d + 1 groups of them is equal, so that pairs meet by equality on such a group.
     """
-    shape = lambda c: F.array_join(F.transform(F.split(c, "/"), lambda s: F.when(s.rlike(r"^\{.*\}$"), "v").otherwise("s")), "")
-    u = urls.select("id", *(["service"] if by_service else []), "method", "url", shape(F.col("url")).alias("shape"))
-    t = templates.select("pos", *(["service"] if by_service else [F.col("service").alias("found_service")]), "method", "template", shape(F.col("template")).alias("shape"))
-    met = u.join(t, ["method", "shape", *(["service"] if by_service else [])]).withColumn("score", confidence(F.col("url"), F.col("template"))).where(F.col("score") >= least)
+    own = ["service"] if by_service else []
+    variable = lambda s: s.rlike(r"^\{.*\}$")
+    shape = lambda c: F.array_join(F.transform(F.split(c, "/"), lambda s: F.when(variable(s), "v").otherwise("s")), "")
+
+    def keyed(df: DataFrame, path: str) -> DataFrame:
+        fixed = df.withColumns({"shape": shape(F.col(path)), "_f": F.transform(F.filter(F.split(path, "/"), lambda s: ~variable(s) & (s != "")), F.lower)})
+        groups = fixed.withColumn("_n", F.floor(F.size("_f") * (100 - least) / 100).cast("int") + 1)
+        return groups.withColumn("group", F.explode(F.expr("transform(sequence(0, _n - 1), g -> named_struct('g', g, 'n', _n, 'h', xxhash64(array_join(filter(_f, (s, i) -> i % _n = g), '/'))))"))).drop("_f", "_n")
+
+    t = first_of(templates.select("pos", "service", "method", "template", F.lower("template").alias("_same")), ["service", "method", "_same"], "pos").drop("_same")
+    u, t = keyed(urls.select("id", *own, "method", "url"), "url"), keyed(t.withColumnRenamed("service", "service" if by_service else "found_service"), "template")
+    met = u.join(t, ["method", "shape", "group", *own]).drop("group").distinct().withColumn("score", confidence(F.col("url"), F.col("template"))).where(F.col("score") >= least)
     return first_of(met, ["id"], F.desc("score"), "pos").select("id", "pos", "template", "score", *([] if by_service else ["found_service"]))
 
 
