@@ -1,15 +1,16 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax and calibrated rejection.
 
 The model is trained by stochastic gradient descent in numpy on a bounded sample: WINDOWS windows of 2 to 60 words from
-anywhere in each of SAMPLE texts per language (LANGUAGES languages at most), cut in the tasks that read them. Every text is then
-scored whole. As the model is linear in the mean embedding, a word's contribution
-is one row of logits, which a task caches.
+anywhere in each of SAMPLE texts per language (fewer of each where that is over BUDGET texts in all), cut in the tasks that
+read them. Every label is learned. Every text is then scored whole. As the model is linear in the mean embedding, a word's
+contribution is one row of logits, which a task caches; a text's words are counted first and looked up CHUNK at a time.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from archspark.llm.common import CACHE_WORDS, nothing_kept, row_batches
 
-SAMPLE, LANGUAGES, WINDOWS = 1200, 200, 4
+SAMPLE, BUDGET, WINDOWS = 1200, 240_000, 4
 BUCKETS, DIM, EPOCHS = 1 << 15, 16, 3
 SUBWORDS = (2, 3, 4)
 #: Share of validation texts, plain ones and mixtures of two languages, that calibration lets each rejection rule reject.
@@ -32,9 +33,20 @@ MOST_SUBWORDS = 400
 #: A sampled text with a word of more letters than this gives no window with it.
 MOST_LETTERS = 100
 
+#: Distinct words of a text that are looked up at once.
+CHUNK = 20_000
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case. Signs that count as numbers, such as a half or a Roman ten, are no letters."""
+    found = _WORD.findall(text.lower())
+    if not text.isascii() and not all(map(str.isalpha, found)):
+        found = [w for run in found for w in (run if run.isalpha() else "".join(c if c.isalpha() else " " for c in run)).split()]
+    return found
+
+
 def subwords(word: str) -> list[int]:
     """Hashes of the word and of its character n-grams, with word marks."""
     marked = f"<{word}>"
@@ -71,7 +83,7 @@ def _short(share: float, usual: float, n: float) -> float:
 def windows(text: str, seed: int) -> list[str]:
     """WINDOWS windows of 2 to 60 words of a text, so that short texts are calibrated too; none without a word."""
     rng = np.random.default_rng(seed)
-    words = [w for w in _WORD.findall(text.lower()) if len(w) <= MOST_LETTERS]
+    words = [w for w in words_of(text) if len(w) <= MOST_LETTERS]
     out = []
     for _ in range(WINDOWS):
         n = int(rng.integers(2, 60))
@@ -119,7 +131,10 @@ def train(examples: list[tuple[str, str, bool]], seed: int = 1) -> LanguageModel
             back = (p @ W.T).astype(np.float32)
             W -= rate * (mean.T @ p).astype(np.float32)
             b -= rate * p.sum(axis=0).astype(np.float32) / 4
-            np.add.at(E, idx, -rate * np.repeat(back / sizes[:, None], sizes, axis=0) * 8)
+            order = np.argsort(idx, kind="stable")
+            first = np.flatnonzero(np.diff(idx[order], prepend=-1))  # where each subword's run begins
+            steps_back = (back * (8 * rate / sizes[:, None]).astype(np.float32))[np.repeat(np.arange(len(batch)), sizes)[order]]
+            E[idx[order][first]] -= np.add.reduceat(steps_back, first, axis=0)
     by_language = [np.unique(np.concatenate([np.empty(0, np.uint32), *(whole[i] for i in train_rows if labels[i] == y)])) for y in range(len(languages))]
     seen, languages_of = np.unique(np.concatenate(by_language), return_counts=True)
     table = (E @ W).astype(np.float64)
@@ -168,29 +183,33 @@ class _Rows(dict):
         nothing_kept()
         self.model, self.table = model, np.zeros((1024, len(model.languages) + 2))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= len(self.table):
-            self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        whole = np.array(subwords(word), np.uint32)
-        sub = whole % BUCKETS
-        at = len(self)
-        self.table[at, :-2], self.table[at, -2:] = self.model.logits[sub].sum(axis=0), (len(sub), self.model.known(whole).sum())
-        self[word] = at
-        return at
-
-    def start(self) -> None:
-        """Before a text: empty a full cache (not within one, whose rows are in use)."""
-        if len(self) >= CACHE_WORDS:
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The rows of at most CHUNK distinct words; those that are new are looked up together."""
+        if len(self) + len(words) > CACHE_WORDS:
             self.clear()
+        new = [w for w in words if w not in self]
+        while len(self) + len(new) > len(self.table):
+            self.table = np.vstack([self.table, np.zeros_like(self.table)])
+        if new:
+            each = [subwords(w) for w in new]
+            sizes = np.array([len(x) for x in each])
+            whole = np.array([h for x in each for h in x], np.uint32)
+            known, starts, first = self.model.known(whole), np.r_[0, sizes.cumsum()[:-1]], len(self)
+            for at in range(0, len(new), 512):  # so that long words don't need a large table of logits at once
+                here = slice(starts[at], starts[at + 512] if at + 512 < len(new) else len(whole))
+                own = starts[at : at + 512] - starts[at]
+                self.table[first + at : first + at + len(own), :-2] = np.add.reduceat(self.model.logits[whole[here] % BUCKETS], own, axis=0)
+            self.table[first : first + len(new), -2], self.table[first : first + len(new), -1] = sizes, np.add.reduceat(known, starts, dtype=np.int64)
+            self.update(zip(new, range(first, first + len(new))))
+        return self.table[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
 
 
 def _judged(text: str | None, model: LanguageModel | None, cache: _Rows | None) -> tuple[str, float, bool]:
-    words = _WORD.findall(text.lower()) if text and model else []
-    if not words:
+    counts = Counter(words_of(text)) if text and model else None
+    if not counts:
         return "und", 0.0, False
-    cache.start()
-    idx = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-    total = cache.table[idx].sum(axis=0)
+    words, n = list(counts), np.fromiter(counts.values(), float, len(counts))
+    total = sum(n[at : at + CHUNK] @ cache.rows(words[at : at + CHUNK]) for at in range(0, len(words), CHUNK))
     p = np.exp(_log_softmax((total[:-2] / total[-2] + model.bias) / model.temperature))
     best = int(p.argmax())
     return model.languages[best], float(p[best]), bool(p[best] >= model.least_score and _short(total[-1] / total[-2], model.usual_seen, total[-2]) <= model.most_short)
@@ -238,17 +257,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def fit(labelled: DataFrame) -> LanguageModel | None:
-    """labelled(doc_id, text, lang) -> model, from about SAMPLE rows of each of the LANGUAGES most frequent languages, by the hash of id and text.
+    """labelled(doc_id, text, lang) -> model, from about SAMPLE rows of each language (BUDGET in all), by the hash of id and text.
 
-    Only windows reach the driver, WINDOWS * SAMPLE for each language. Repeated rows count once. A row in eight is held out to
+    Only windows reach the driver, WINDOWS for each row of the sample. Repeated rows count once. A row in eight is held out to
     calibrate the temperature and the rejection.
     """
     known = labelled.where("lang is not null and text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.col("text"), F.col("lang"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return None
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], SAMPLE / r["count"])))
+    sample = min(SAMPLE, max(1, BUDGET // len(counts)))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], sample / r["count"])))
     drawn = (F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < F.element_at(share, F.col("lang"))
     cut = known.where(drawn).select("lang", "h", "text").mapInArrow(lambda b: row_batches(_cut(b), _WINDOWS), "lang string, h long, k int, text string").distinct()
-    rows = cut.orderBy(F.shiftrightunsigned("h", 20), "h", "k", "lang").limit(WINDOWS * SAMPLE * len(counts)).collect()
+    rows = cut.orderBy(F.shiftrightunsigned("h", 20), "h", "k", "lang").limit(WINDOWS * sample * len(counts)).collect()
     return train([(r["text"], r["lang"], (r["h"] >> 40) % 8 == 7) for r in rows])
