@@ -1,7 +1,9 @@
 """Licence scans: a paragraph classifier over word n-grams, with a calibrated unknown class and confirmation by templates.
 
 A paragraph is a run of lines that aren't blank, so a notice wrapped over lines is read as one. The classifier is a multinomial
-logistic regression on hashed word 1- to 3-grams of windows of a paragraph. It is trained on the notices of TEMPLATES, varied by
+logistic regression on hashed word 1- to 3-grams of windows of a paragraph, of several sizes (SIZES), so that a short notice
+within a long line fills one. A bound by the largest weight of each n-gram leaves out windows that no family can win, without
+changing the result. It is trained on the notices of TEMPLATES, varied by
 dropping, exchanging and adding words, against windows of a bounded sample of the corpus (SAMPLE documents) and sentences about
 licences that grant none, which make up the unknown class. Temperature and threshold are calibrated with whole templates held
 out (one in three of each family), then the model is trained on all. Every stretch of a paragraph whose windows are accepted is
@@ -25,8 +27,11 @@ from archspark.llm.common import CACHE_WORDS, row_batches
 #: Documents of the sample, and windows drawn from each.
 SAMPLE, DRAWN = 400, 10
 FEATURES = 1 << 16
-#: Windows of a paragraph, in words: a notice inside a long paragraph fills one of them.
-WINDOW, STEP = 24, 8
+#: Windows of a paragraph, in words, and the steps between them; the largest is what training sees of a notice.
+SIZES = ((24, 8), (12, 4), (6, 2), (4, 1))
+WINDOW, STEP = SIZES[0]
+#: Windows whose probabilities are worked out at once.
+CHUNK = 512
 #: Share of a template's word pairs that a paragraph must have.
 CONFIRMED = 0.6
 UNKNOWN = "unknown"
@@ -95,36 +100,48 @@ class LicenceModel:
     temperature: float
     threshold: float
 
-    def scored(self, h: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word of each window of a paragraph, word after its last, and calibrated probabilities by class. Windows slide over the paragraph, and each line shorter than a window is one too; lines has their first words."""
-        n = len(h)
-        starts = np.arange(0, max(1, n - WINDOW + STEP), STEP)
-        stops = np.minimum(starts + WINDOW, n)
+    def __post_init__(self):
+        self.most = (self.weights[:, :-1] - self.weights[:, -1:]).max(axis=1)  # what a feature can speak for any family, at most
+        self.least = self.temperature * float(np.log(self.threshold / (1 - self.threshold))) - float((self.bias[:-1] - self.bias[-1]).max())
+
+    def scored(self, h: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First word of each window of a paragraph that a family may win, word after its last, that family's number and calibrated probability. Windows of all SIZES slide over the paragraph, and each line shorter than a window is one too; lines has their first words."""
+        n, features = len(h), np.stack(grams(h))
         ends = np.append(lines[1:], n)
         short = ends - lines < WINDOW
-        starts, stops = np.append(starts, lines[short]), np.append(stops, ends[short])
-        sums = np.vstack([np.zeros(self.weights.shape[1]), sum(self.weights[g] for g in grams(h)).cumsum(axis=0)])
-        z = ((sums[stops] - sums[starts]) / np.sqrt(3 * (stops - starts))[:, None] + self.bias) / self.temperature
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        return starts, stops, p
+        slid = [np.arange(0, max(1, n - size + step), step) for size, step in SIZES]
+        starts = np.concatenate([*slid, lines[short]])
+        stops = np.minimum(np.concatenate([*(x + size for x, (size, _) in zip(slid, SIZES)), ends[short]]), n)
+        upto = np.r_[0, self.most[features].sum(axis=0).cumsum()]
+        may = np.flatnonzero((upto[stops] - upto[starts]) / np.sqrt(3 * (stops - starts)) >= self.least - 1e-6)
+        starts, stops = starts[may], stops[may]
+        family, score = np.zeros(len(may), np.int64), np.zeros(len(may))
+        for at in range(0, len(may), CHUNK):
+            here = slice(at, at + CHUNK)
+            size = stops[here] - starts[here]
+            word = np.repeat(starts[here] - np.r_[0, size.cumsum()[:-1]], size) + np.arange(size.sum())
+            z = np.add.reduceat(self.weights[features[0][word]] + self.weights[features[1][word]] + self.weights[features[2][word]], np.r_[0, size.cumsum()[:-1]], axis=0)
+            z = (z / np.sqrt(3 * size)[:, None] + self.bias) / self.temperature
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            family[here], score[here] = p[:, :-1].argmax(axis=1), p[:, :-1].max(axis=1)
+        won = score >= self.threshold
+        return starts[won], stops[won], family[won], score[won]
 
     def notices(self, h: np.ndarray, lines: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """Family index, probability, first word and word after the last of every accepted stretch: of windows that overlap the likeliest counts, and neighbours of one family are one stretch."""
-        starts, stops, p = self.scored(h, lines)
-        best = p[:, :-1].argmax(axis=1)
-        top = p[np.arange(len(p)), best]
-        taken: list[tuple[int, int, int, float]] = []
-        for i in sorted(np.flatnonzero(top >= self.threshold), key=lambda i: (-top[i], starts[i])):
-            if all(stops[i] <= a or b <= starts[i] for a, b, _, _ in taken):
-                taken.append((int(starts[i]), int(stops[i]), int(best[i]), float(top[i])))
+        """Family index, probability, first word and word after the last of every accepted stretch: of windows that overlap the likeliest counts (by tenths, then the longest, which sees more of a notice), and neighbours of one family are one stretch."""
+        starts, stops, family, score = self.scored(h, lines)
+        used, taken = np.zeros(len(h), bool), []
+        for i in np.lexsort((starts, starts - stops, -np.floor(score * 10))).tolist():
+            if not used[starts[i] : stops[i]].any():
+                used[starts[i] : stops[i]] = True
+                taken.append((int(starts[i]), int(stops[i]), int(family[i]), float(score[i])))
         out: list[tuple[int, float, int, int]] = []
-        for a, b, family, x in sorted(taken):
-            if out and out[-1][0] == family and a - out[-1][3] <= STEP:
-                out[-1] = (family, max(x, out[-1][1]), out[-1][2], b)
+        for a, b, own, x in sorted(taken):
+            if out and out[-1][0] == own and a - out[-1][3] <= STEP:
+                out[-1] = (own, max(x, out[-1][1]), out[-1][2], b)
             else:
-                out.append((family, x, a, b))
+                out.append((own, x, a, b))
         return out
 
 
@@ -150,7 +167,8 @@ def _examples(windows: list[str], rng: np.random.Generator) -> list[tuple[np.nda
             for i in range(60):
                 add(words(template) if i < 6 else _varied(words(template), rng, fill), y, j % 3 == 1)
     for i, p in enumerate([*OTHER * 30, *windows]):
-        add(_varied(words(p), rng, fill) if i < len(OTHER) * 10 else words(p), len(families), i % 3 == 1)
+        ws = _varied(words(p), rng, fill) if i < len(OTHER) * 10 else words(p)
+        add(ws[: SIZES[i // 3 % len(SIZES)][0]], len(families), i % 3 == 1)
     return rows
 
 
@@ -210,6 +228,14 @@ def likeness(family: str, ws: list[str]) -> float:
     return max(len(p & have) / len(p) for p, _ in _PAIRS[family])
 
 
+def compared(family: str, ws: list[str]) -> tuple[str, float]:
+    """The family that the words are of by its templates, and its likeness: the predicted one, unless another's template has more of its word pairs there (notices that differ in a version's number)."""
+    own = likeness(family, ws)
+    best = max(_PAIRS, key=lambda f: likeness(f, ws)) if own >= CONFIRMED / 2 else family
+    other = likeness(best, ws)
+    return (best, other) if other > own else (family, own)
+
+
 _SURE = re.compile(r"(?i)licen[sc]e|copyright|rights reserved|spdx|public domain")
 _WINDOWS = pa.schema([("h", pa.int64()), ("k", pa.int32()), ("text", pa.string())])
 
@@ -262,8 +288,8 @@ def scan(documents: DataFrame, model: LicenceModel) -> DataFrame:
                 for lines, found in paragraphs(text or ""):
                     ws = [w for _, _, w in found]
                     for family, p, a, b in model.notices(hashes(ws, cache), lines):
-                        like = likeness(model.families[family], ws[max(0, a - STEP) : b + STEP])
-                        yield doc, found[a][0], found[b - 1][1] - found[a][0], model.families[family], p, like, like >= CONFIRMED
+                        name, like = compared(model.families[family], ws[max(0, a - STEP) : b + STEP])
+                        yield doc, found[a][0], found[b - 1][1] - found[a][0], name, p, like, like >= CONFIRMED
 
     source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(lambda b: row_batches(rows(b), _OUT), "doc_id long, start long, length long, family string, score double, likeness double, confirmed boolean")

@@ -1,6 +1,7 @@
 """The training-data operators: against SQL, brute force, round trips and held-out labels, and on odd tables."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -316,6 +317,30 @@ UNSEEN = [
 ]
 
 
+def test_licences_inside_long_lines(spark, duck):
+    """Every template amid one long line of the corpus; many notices in one paragraph take linear time."""
+    texts = [t for (t,) in duck.sql("select text from documents where len(text) > 400 order by doc_id").fetchall()]
+    model, rng = licenses.fit(spark.read.parquet(f"{SF}/documents.parquet")), np.random.default_rng(3)
+    corpus = [w for t in texts for w in t.split() if not re.search(r"(?i)licen[sc]e|copyright|rights reserved|public domain|CC", t)]
+    rows, wanted = [], {}
+    for family, ts in licenses.TEMPLATES.items():
+        for t in ts:
+            for _ in range(4):
+                a, b = rng.integers(20, 200, 2)
+                at = int(rng.integers(0, len(corpus) - 500))
+                wanted[len(rows)] = family
+                rows.append((len(rows), " ".join([*corpus[at : at + a], t, *corpus[at + 200 : at + 200 + b]])))
+    found = {(r.doc_id, r.family) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).where("confirmed").collect()}
+    by = {f: [(d, f) in found for d, g in wanted.items() if g == f] for f in licenses.TEMPLATES}
+    assert all(np.mean(x) >= 0.9 for x in by.values()), {f: np.mean(x) for f, x in by.items()}
+    words = (corpus * (300_000 // len(corpus) + 1))[:300_000]
+    for k in range(12_000):
+        words[k * 25 : k * 25 + 5] = ["released", "under", "the", "isc", "license"]
+    began = time.perf_counter()
+    assert len(model.notices(licenses.hashes(words, {}), np.array([0]))) >= 12_000
+    assert time.perf_counter() - began < 20
+
+
 def test_licences_wrapped_unseen_and_several_in_one_paragraph(spark, duck):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = licenses.fit(docs)
