@@ -99,9 +99,18 @@ def after_generation(answered: DataFrame, strict: bool = False) -> DataFrame:
     return answered.select("id", F.when(g, text).otherwise(F.col("answer")).alias("answer"), F.when(g & ~none, kept).otherwise(F.col("citations")).alias("citations"), F.when(g, flags).otherwise(empty).alias("flags"), F.when(g, level).alias("confidence"))
 
 
-def evidence_block(rows: DataFrame) -> DataFrame:
-    """rows(query, place, kind, entity, content), ranked and bounded per query -> query, block: a header, then a line per row labelled [E<place>]; blank values are n/a."""
-    known = lambda c: F.coalesce(F.when(F.trim(c) != "", F.trim(c)), F.lit("n/a"))
-    line = F.concat(F.lit("[E"), F.col("place").cast("string"), F.lit("] "), F.concat_ws(" | ", known("kind"), known("entity"), known("content")))
-    by = rows.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("l"))
-    return by.select("query", F.concat_ws("\n", F.concat(F.lit("EVIDENCE ("), F.size("l").cast("string"), F.lit(")")), F.transform("l", lambda x: x["line"])).alias("block"))
+# Labels of the context and of a record, in order, and the columns they show.
+SUMMARY = {"system": "system", "commit": "commit", "service": "service", "endpoint": "endpoint"}
+RECORD = {"id": "id", "artifactType": "kind", "artifactId": "artifact", "artifactVersion": "version", "locationHint": "location", "entity": "entity", "service": "service", "endpoint": "path", "antiPatterns": "markers", "content": "content"}
+
+
+def evidence_block(contexts: DataFrame, rows: DataFrame, title: str = "EvidenceRecords") -> DataFrame:
+    """contexts(query, truncated, stale, has_context, system, commit, service, endpoint), rows(query, place and the RECORD's columns), ranked and bounded per query -> query, block: title, context, state, number of records, and a record for each row in order; blank values are n/a."""
+    known = lambda c: F.coalesce(F.when(F.trim(F.col(c).cast("string")) != "", F.col(c).cast("string")), F.lit("n/a"))
+    shown = lambda labels, sep: F.concat_ws(sep, *(F.concat(F.lit(f"{label}="), known(c)) for label, c in labels.items()))
+    record = F.concat(F.lit("- EvidenceRecord { "), shown(RECORD, "; "), F.lit(" }\n"))
+    by = rows.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", record.alias("line")))).alias("l"))
+    head = F.concat(F.lit(f"{title}:\n"), F.when(F.col("has_context"), F.concat(F.lit("ContextSummary: "), shown(SUMMARY, ", "), F.lit("\n"))).otherwise(""))
+    state = F.concat(F.lit("EvidenceState: truncated="), F.col("truncated").cast("string"), F.lit(", staleContext="), F.col("stale").cast("string"), F.lit("\n"))
+    listed = F.concat(F.lit("EvidenceCount: "), F.size("l").cast("string"), F.lit("\nEvidenceList:\n"), F.array_join(F.transform("l", lambda x: x["line"]), ""))
+    return contexts.join(by, "query", "left").select("query", F.concat(head, state, F.when(F.col("l").isNull(), "EvidenceCount: 0\nEvidenceList: none\n").otherwise(listed)).alias("block"))

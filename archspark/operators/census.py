@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archspark.operators.graph import checkpointed
+
 
 def endpoint_statistics(endpoints: DataFrame) -> DataFrame:
     """endpoints(service, method, controller, is_public) -> counts by service, by method and of all in one pass: service, method (null: all), n, controllers, public."""
@@ -34,9 +39,26 @@ def issue_files(issues: DataFrame, top: int = 10) -> DataFrame:
     return issues.groupBy(name.alias("file")).agg(F.count("*").alias("n"), F.min("pos").alias("first")).orderBy(F.desc("n"), "first").limit(top).select("file", "n")
 
 
+def walked(documents: DataFrame, text: str = "data") -> DataFrame:
+    """documents(id, JSON text) -> id, key, inside, kind, text: every value at any depth, with its key in an object (null in a list), whether what holds it is an object, its type, and itself: a text as it is, all else as JSON. One pass over what is nested for each level."""
+    here = documents.select("id", F.lit(None).cast("string").alias("key"), F.try_parse_json(F.col(text)).alias("value"), F.lit(False).alias("inside")).where("value is not null")
+    kind, levels = F.schema_of_variant("value"), []
+    while True:
+        levels.append(here.select("id", "key", "inside", kind.alias("kind"), F.when(kind == "STRING", F.try_variant_get("value", "$", "string")).otherwise(F.to_json("value")).alias("text")))
+        nested = here.where(kind.rlike("^(OBJECT|ARRAY)")).select("id", F.col("value").alias("v"), kind.startswith("OBJECT").alias("inside"))
+        nested.createOrReplaceTempView(view := f"walked_{uuid.uuid4().hex}")
+        here = checkpointed(nested.sparkSession.sql(f"SELECT id, x.key, x.value, inside FROM {view}, LATERAL variant_explode(v) AS x"))
+        nested.sparkSession.catalog.dropTempView(view)
+        if here.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+
+
 def anti_patterns(documents: DataFrame, text: str = "data") -> DataFrame:
-    """Adds n_anti_patterns: keys `antiPattern` and elements of `antiPatterns` lists with a `type` anywhere in a JSON text."""
-    return documents.withColumn("n_anti_patterns", F.regexp_count(F.col(text), F.lit(r'"antiPattern"\s*:\s*[^n\s]')).cast("long"))
+    """documents(id, JSON text) -> id, name, n: how often an anti-pattern is named anywhere in the document: as the text of a key `antiPattern`, or in a list under `antiPatterns` (elements that are no texts by their JSON)."""
+    values = walked(documents, text).where("inside")
+    one = values.where("key = 'antiPattern' and kind = 'STRING' and text != ''").select("id", F.col("text").alias("name"))
+    many = values.where("key = 'antiPatterns' and kind like 'ARRAY%'").select("id", F.explode(F.from_json("text", "array<string>")).alias("name"))
+    return one.unionByName(many).groupBy("id", "name").agg(F.count("*").alias("n"))
 
 
 def spending(costs: DataFrame) -> DataFrame:

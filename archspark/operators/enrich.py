@@ -64,9 +64,11 @@ def fuzzy(urls: DataFrame, templates: DataFrame, least: int = 90, by_service: bo
 
 
 def merged_rules(rules: DataFrame) -> DataFrame:
-    """rules(service, pattern, http_method, source, priority, ...): one per pattern and method, of YAML before Java, else of the highest priority; with its place, by priority, a rule for a method before one for all."""
-    best = first_of(rules, ["service", "pattern", "http_method"], F.desc(F.col("source") == "yaml"), F.desc("priority"))
-    place = F.row_number().over(Window.partitionBy("service").orderBy(F.desc("priority"), F.col("http_method").isNull(), "pattern"))
+    """rules(service, pos, pattern, http_method, source, priority, ...): one per pattern and method (none is ALL): the first of YAML, else the first of the highest priority; with its place, by priority, a rule for a method before one for all."""
+    yaml = F.coalesce(F.col("source") == "yaml", F.lit(False))
+    keyed = rules.withColumn("_m", F.coalesce("http_method", F.lit("ALL")))
+    best = first_of(keyed, ["service", "pattern", "_m"], F.desc(yaml), F.when(~yaml, -F.col("priority")), "pos").drop("_m")
+    place = F.row_number().over(Window.partitionBy("service").orderBy(F.desc("priority"), F.col("http_method").isNull(), "pattern", "pos"))
     return best.withColumn("place", place)
 
 
@@ -104,13 +106,18 @@ def looked_up(wanted: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def injected(fields: DataFrame, beans: DataFrame) -> DataFrame:
-    """fields(field, type, qualifier), beans(type, bean, primary, name) -> field, how, bean: EXACT for the only bean of the type, else QUALIFIER by name, else PRIMARY, else AMBIGUOUS; UNRESOLVED without a bean."""
-    met = fields.join(beans, "type", "left")
-    named = F.when(F.col("name") == F.col("qualifier"), F.col("bean"))
-    by = met.groupBy("field").agg(F.count("bean").alias("n"), F.min("bean").alias("one"), F.min(named).alias("named"), F.min(F.when(F.col("primary"), F.col("bean"))).alias("first"))
-    how = F.when(F.col("n") == 0, "UNRESOLVED").when(F.col("n") == 1, "EXACT").when(F.col("named").isNotNull(), "QUALIFIER").when(F.col("first").isNotNull(), "PRIMARY").otherwise("AMBIGUOUS")
-    bean = F.when(F.col("n") == 1, F.col("one")).otherwise(F.coalesce("named", "first"))
-    return by.select("field", how.alias("how"), bean.alias("bean"))
+    """fields(field, type, qualifier), beans(type, pos, bean, primary, name) -> field, how, bean.
+
+    A field with a qualifier gets the first bean of its type and that name (QUALIFIER) or none (UNRESOLVED). Without one it
+    gets the only bean of its type (EXACT), else the first primary one (PRIMARY), else none (AMBIGUOUS; UNRESOLVED without beans).
+    What a type has to offer is worked out once for each type, so that a type of many fields or beans is no pair of many rows.
+    """
+    of_type = beans.groupBy("type").agg(F.count("*").alias("n"), F.min_by("bean", "pos").alias("one"), F.min_by("bean", F.when(F.col("primary"), F.col("pos"))).alias("first"))
+    named = beans.where("name is not null").groupBy("type", F.col("name").alias("qualifier")).agg(F.min_by("bean", "pos").alias("named"))
+    met = fields.select("field", "type", "qualifier").join(of_type, "type", "left").join(named, ["type", "qualifier"], "left")
+    asked, n = F.col("qualifier").isNotNull(), F.coalesce("n", F.lit(0))
+    how = F.when(asked & F.col("named").isNotNull(), "QUALIFIER").when(asked | (n == 0), "UNRESOLVED").when(n == 1, "EXACT").when(F.col("first").isNotNull(), "PRIMARY").otherwise("AMBIGUOUS")
+    return met.select("field", how.alias("how"), F.when(asked, F.col("named")).when(n == 1, F.col("one")).otherwise(F.col("first")).alias("bean"))
 
 
 # Words in a repository method's name, by precedence.

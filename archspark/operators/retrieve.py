@@ -54,17 +54,62 @@ def ranked(queries: DataFrame, evidence: DataFrame, k: int = 20) -> DataFrame:
     return best(each, "query").select("query", "id", "score", "place")
 
 
+# Priority of a kind of evidence by the question's intent, of other kinds (1), and under other intents.
+_STRUCTURE = {"IR": 10, "GRAPH": 9, "DEPENDENCY": 8, "ARCHITECTURE": 7, "SERVICE": 6, "ENDPOINT": 5}
+PRIORITY = {
+    "ARCHITECTURE_TOPOLOGY": _STRUCTURE,
+    "DEPENDENCY": _STRUCTURE,
+    "SERVICE_LOOKUP": {"SERVICE": 10, "IR": 8, "GRAPH": 7, "DEPENDENCY": 6, "ENDPOINT": 5},
+    "ENDPOINT_LOOKUP": {"ENDPOINT": 10, "IR": 8, "GRAPH": 7, "DEPENDENCY": 6, "SERVICE": 5},
+}
+OTHER_PRIORITY = {"IR": 8, "GRAPH": 7, "SERVICE": 6, "ENDPOINT": 5, "DEPENDENCY": 4}
+
+
+def priority(intent: Column, kind: Column) -> Column:
+    """What a kind of evidence counts for a question of that intent; 0 without a kind."""
+    of = lambda table: F.coalesce(*(F.when(kind == k, v) for k, v in table.items()), F.lit(1))
+    return F.when(kind.isNull(), 0).otherwise(F.coalesce(*(F.when(intent == i, of(t)) for i, t in PRIORITY.items()), of(OTHER_PRIORITY)))
+
+
+def direct(named: Column, service: Column, entity: Column, path: Column, method: Column) -> Column:
+    """Whether evidence has one of the names (not blank) as its service, entity, path, or method and path, case aside."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    full = F.when((F.trim(method) != "") & (F.trim(path) != ""), F.lower(F.concat_ws(" ", method, path)))
+    own = F.array_compact(F.array(low(service), low(entity), low(path), full))
+    return F.coalesce(F.exists(named, lambda n: (F.trim(n) != "") & F.array_contains(own, F.lower(n))), F.lit(False))
+
+
+def estimated_chars(*texts: Column) -> Column:
+    """Characters that a row's texts take in a prompt."""
+    return sum((F.coalesce(F.length(t), F.lit(0)) for t in texts), F.lit(0)).cast("long")
+
+
 def budgeted(rows: DataFrame, max_items: int = 20, max_chars: int = 12_000) -> DataFrame:
-    """rows(query, place, id, n_chars), a ranked list of bounded length per query -> rows kept greedily: one that doesn't fit is skipped, the first is always kept."""
-    listed = rows.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "id", F.col("n_chars").cast("long").alias("n_chars")))).alias("l"))
-    zero = F.struct(F.lit(0).alias("items"), F.lit(0).cast("long").alias("chars"), F.filter("l", lambda x: F.lit(False)).alias("kept"))
+    """rows(query, place, id, kind, location, intent, inferred, direct, n_chars), a ranked list (from place 0) of bounded length per query -> its rows with their new order and whether they are kept.
+
+    Order: 10000 less the place, 100 more for what is said and less for what is inferred, 10 for each point of `priority`; then
+    priority, id, location, place. The first direct match is kept even if it is too long (unless max_items is 0). Then each row
+    is kept that still fits; one that doesn't is skipped. truncated says whether any row of the query was left out.
+    """
+    p = priority(F.col("intent"), F.col("kind"))
+    score = 10_000 - F.col("place") + F.when(F.coalesce("inferred", F.lit(False)), -100).otherwise(100) + 10 * p
+    key = F.struct((-score).alias("s"), (-p).alias("p"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("i"), F.coalesce("location", F.lit("")).alias("l"), F.col("place"), F.col("id"), "kind", F.col("n_chars").cast("long").alias("n_chars"), F.coalesce("direct", F.lit(False)).alias("direct"))
+    listed = rows.groupBy("query").agg(F.array_sort(F.collect_list(key)).alias("l")).withColumn("first", F.expr(f"if({max_items} > 0, array_position(transform(l, x -> x.direct), true), 0L)"))
+    start = F.struct(F.when(F.col("first") > 0, 1).otherwise(0).alias("items"), F.when(F.col("first") > 0, F.element_at("l", F.greatest("first", F.lit(1)).cast("int"))["n_chars"]).otherwise(0).cast("long").alias("chars"), F.array().cast("array<boolean>").alias("kept"))
 
     def step(acc, x):
-        fits = (acc["items"] == 0) | ((acc["items"] < max_items) & (acc["chars"] + x["n_chars"] <= max_chars))
-        return F.when(fits, F.struct((acc["items"] + 1).alias("items"), (acc["chars"] + x["n_chars"]).alias("chars"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
+        is_first = (F.size(acc["kept"]) + 1) == F.col("first")
+        fits = ~is_first & (acc["items"] < max_items) & (acc["chars"] + x["n_chars"] <= max_chars)
+        return F.struct((acc["items"] + fits.cast("int")).alias("items"), (acc["chars"] + F.when(fits, x["n_chars"]).otherwise(0)).alias("chars"), F.array_append(acc["kept"], is_first | fits).alias("kept"))
+
+    folded = listed.withColumn("kept", F.aggregate("l", start, step)["kept"])
+    each = folded.select("query", F.exists("kept", lambda k: ~k).alias("truncated"), F.posexplode(F.arrays_zip("l", "kept")).alias("order", "x"))
+    return each.select("query", "order", "x.l.place", "x.l.id", "x.l.kind", "x.l.n_chars", "x.kept", "truncated")
+
 
-    folded = listed.select("query", F.size("l").alias("n"), F.aggregate("l", zero, step).alias("r"))
-    return folded.select("query", F.explode("r.kept").alias("x"), (F.col("r.items") < F.col("n")).alias("truncated")).select("query", "x.place", "x.id", "x.n_chars", "truncated")
+def omitted(rows: DataFrame) -> DataFrame:
+    """What `budgeted` left out, by query and kind of evidence."""
+    return rows.where("not kept").groupBy("query", "kind").agg(F.count("*").alias("n"))
 
 
 # Patterns of a question's words for services, paths, methods with paths, and counts of services.

@@ -103,12 +103,18 @@ def listing(df: DataFrame, order: list[Column], number: int, size: int, without:
     return rows.crossJoin(F.broadcast(total))  # one row
 
 
-def with_version(systems: DataFrame, key: Column, version: str) -> DataFrame:
-    """systems(version, payload as JSON, ...) with a version set where key holds, in the row and in the payload."""
+def with_version(systems: DataFrame, key: Column, version: str, description: str | None = None) -> DataFrame:
+    """systems(version, payload as JSON, ...) with a version set where key holds: in the row, and at the root of a payload that is an object (what lies deeper keeps its own). A description is set along with it where the table has one."""
     if not re.fullmatch(r"\d+\.\d+\.\d+", version):
         raise ValueError(f"no version: {version}")
-    payload = F.when(F.col("payload").rlike(r'"version"\s*:'), F.regexp_replace("payload", r'"version"\s*:\s*("[^"]*"|null)', f'"version":"{version}"')).otherwise(F.regexp_replace("payload", r"^\s*\{", f'{{"version":"{version}",'))
-    return systems.withColumns({"version": F.when(key, version).otherwise(F.col("version")), "payload": F.when(key, payload).otherwise(F.col("payload"))})
+    root = F.from_json("payload", "map<string, variant>")
+    rest = F.filter(F.map_entries(root), lambda e: e["key"] != "version")
+    entry = F.array(F.struct(F.lit("version").alias("key"), F.parse_json(F.lit(f'"{version}"')).alias("value")))
+    payload = F.coalesce(F.when(F.col("payload").rlike(r"^\s*\{"), F.to_json(F.map_from_entries(F.concat(rest, entry)))), F.col("payload"))
+    columns = {"version": F.when(key, version).otherwise(F.col("version")), "payload": F.when(key, payload).otherwise(F.col("payload"))}
+    if "description" in systems.columns:
+        columns["description"] = F.when(key, F.lit(description)).otherwise(F.col("description"))
+    return systems.withColumns(columns)
 
 
 def cached(wanted: DataFrame, results: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

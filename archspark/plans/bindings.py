@@ -469,11 +469,24 @@ def q1_ranked_evidence(spark, sf):
     return retrieve.ranked(_t(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text"), _evidence(spark, sf))
 
 
-@query()
+_BUDGETED = f"""WITH RECURSIVE b AS (SELECT query, r.place - 1 AS place, r.id, CASE lang WHEN 'en' THEN 'ENDPOINT' WHEN 'de' THEN 'SERVICE' WHEN 'fr' THEN 'ARCHITECTURE' ELSE 'OTHER' END AS kind, n_chars, r.id % 17 = 0 AS direct,
+    CASE WHEN r.id % 3 = 0 THEN -100 ELSE 100 END AS said, CASE query % 3 WHEN 0 THEN CASE lang WHEN 'en' THEN 10 WHEN 'de' THEN 5 ELSE 1 END WHEN 1 THEN CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 6 WHEN 'fr' THEN 7 ELSE 1 END ELSE CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 6 ELSE 1 END END AS p
+    FROM ({_RANKED}) r JOIN documents ON doc_id = r.id),
+  o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY 10000 - place + said + 10 * p DESC, p DESC, CAST(id AS VARCHAR), place) - 1 AS ord FROM b),
+  f AS (SELECT query, min(ord) FILTER (direct) AS first, arg_min(n_chars, ord) FILTER (direct) AS first_chars FROM o GROUP BY query),
+  g AS (SELECT query, CAST(-1 AS BIGINT) AS ord, CASE WHEN first IS NULL THEN 0 ELSE 1 END AS items, coalesce(first_chars, 0) AS chars, false AS kept FROM f UNION ALL
+    SELECT o.query, o.ord, items + CASE WHEN o.ord IS DISTINCT FROM first AND items < 20 AND chars + n_chars <= 12000 THEN 1 ELSE 0 END, chars + CASE WHEN o.ord IS DISTINCT FROM first AND items < 20 AND chars + n_chars <= 12000 THEN n_chars ELSE 0 END,
+      o.ord IS NOT DISTINCT FROM first OR (items < 20 AND chars + n_chars <= 12000) FROM g JOIN f USING (query) JOIN o ON o.query = g.query AND o.ord = g.ord + 1)
+  SELECT o.query, o.ord AS "order", place, id, kind, n_chars, kept, NOT bool_and(kept) OVER (PARTITION BY o.query) AS truncated FROM o JOIN g ON o.query = g.query AND o.ord = g.ord"""
+
+
+@query(_BUDGETED)
 def q1_budgeted_evidence(spark, sf):
-    """What of that fits into 20 items and 12,000 characters; a fold in order, tested against a plain loop."""
-    sizes = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars")
-    return retrieve.budgeted(q1_ranked_evidence(spark, sf).join(sizes, "id"))
+    """What of that fits into 20 items and 12,000 characters, with what is left out; questions of three intents, direct matches by number."""
+    d, k = _t(spark, sf, "documents"), F.col("id")
+    kinds = _evidence(spark, sf).select("id", "kind", "location").join(d.select(F.col("doc_id").alias("id"), "n_chars"), "id")
+    intent = F.when(F.col("query") % 3 == 0, "ENDPOINT_LOOKUP").when(F.col("query") % 3 == 1, "DEPENDENCY").otherwise("GENERAL")
+    return retrieve.budgeted(q1_ranked_evidence(spark, sf).withColumn("place", F.col("place") - 1).join(kinds, "id").select("*", intent.alias("intent"), (k % 3 == 0).alias("inferred"), (k % 17 == 0).alias("direct")))
 
 
 @query(r"""SELECT CASE WHEN trim(q) = '' THEN 'UNSUPPORTED_SPECULATIVE' WHEN regexp_matches(q, 'topology|system architecture|system design|component diagram') OR regexp_matches(q, '\b(how many|count|number of|list|show)\s+(micro\s*services?|microservices?|services?)\b') THEN 'ARCHITECTURE_TOPOLOGY'

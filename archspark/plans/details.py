@@ -37,13 +37,21 @@ def f1_entity_schemas(spark, sf):
     return features.entity_schemas(s, fields, a).select("id", F.size("fields").alias("n_fields"), n.alias("n_annotations"))
 
 
-@query("""SELECT c_custkey AS id, CAST(CASE WHEN c_custkey % 2 = 0 THEN 2 WHEN c_custkey % 3 = 0 THEN 4 ELSE 3 END AS INTEGER) AS n_goals, 'scenario_id,service_name,endpoint,method' || [',allowed_roles', ',sensitivity_type', ',max_depth,allowed_roles', ',max_depth', ',max_depth', ',type'][c_custkey % 6 + 1] AS parameters FROM customer""")
+_PROMPTED = """WITH s AS (SELECT *, c_custkey % 6 AS t, CASE WHEN c_custkey % 4 > 0 THEN 'PII' END AS sens FROM customer)
+  SELECT c_custkey AS id, CAST(CASE WHEN c_custkey % 2 = 0 THEN 2 WHEN c_custkey % 3 = 0 THEN 4 ELSE 3 END AS INTEGER) AS n_goals, 'SIMPLE' AS prompt_type, coalesce(sens, 'UNKNOWN') AS sensitivity, 'UNSET' AS category, ['entrypoint_status_matrix', 'entrypoint_public_sensitive', 'downstream_consistent_path', 'downstream_inconsistency_cot', 'downstream_inconsistency_simple', 'generic_authorization'][t + 1] AS template,
+    '{"scenario_id":' || c_custkey || CASE WHEN t < 2 THEN ',"endpoint":"' || c_name || '","method":null,"service_name":"s"' ELSE ',"service_name":"s","endpoint":"' || c_name || '","method":null' END ||
+    CASE t WHEN 0 THEN ',"allowed_roles":["ADMIN"],"denied_roles":[],"expected_status_by_role":{}' WHEN 1 THEN ',"sensitivity_type":' || coalesce('"' || sens || '"', 'null') || ',"authorization":{},"policy_inconsistencies":[]' WHEN 2 THEN ',"max_depth":2,"total_calls":0,"allowed_roles":["ADMIN"]'
+    WHEN 5 THEN ',"type":"' || CASE WHEN c_custkey % 2 = 0 THEN 'EntryPointAuthorization' ELSE 'DownstreamPolicyConsistency' END || '"' ELSE ',"max_depth":2,"total_calls":0,"policy_inconsistencies":[],"policy_inconsistency_roles":[]' END || '}' AS parameters FROM s"""
+
+
+@query(_PROMPTED)
 def f1_prompt_contexts(spark, sf):
-    """Customers are scenarios; some of the parameters are missing."""
+    """Customers are scenarios; some of the parameters are missing, by column or by null."""
     k = F.col("c_custkey")
-    templates = F.array(*map(F.lit, (*features.PARAMETERS, "generic_authorization")))
-    s = _t(spark, sf, "customer").select(k.alias("scenario_id"), F.lit("s").alias("service_name"), F.col("c_name").alias("endpoint"), F.lit(None).cast("string").alias("method"), F.when(k % 2 == 0, "EntryPointAuthorization").otherwise("DownstreamPolicyConsistency").alias("type"), F.when(k % 3 == 0, "HIGH").otherwise("LOW").alias("awareness"), F.get(templates, (k % 6).cast("int")).alias("template"), F.array(F.lit("ADMIN")).alias("allowed_roles"), F.lit("PII").alias("sensitivity_type"), F.lit(2).alias("max_depth"))
-    return features.prompt_contexts(s).select(F.col("scenario_id").alias("id"), F.size("goals").alias("n_goals"), F.array_join(F.json_object_keys("parameters"), ",").alias("parameters"))
+    templates = F.array(*map(F.lit, (*features.PARAMETERS, None)))
+    s = _t(spark, sf, "customer").select(k.alias("scenario_id"), F.lit("s").alias("service_name"), F.col("c_name").alias("endpoint"), F.lit(None).cast("string").alias("method"), F.when(k % 2 == 0, "EntryPointAuthorization").otherwise("DownstreamPolicyConsistency").alias("type"), F.when(k % 3 == 0, "HIGH").otherwise("LOW").alias("awareness"), F.get(templates, (k % 6).cast("int")).alias("template"), F.array(F.lit("ADMIN")).alias("allowed_roles"), F.when(k % 4 > 0, "PII").alias("sensitivity_type"), F.lit(2).alias("max_depth"))
+    c = F.col("prompt_context")
+    return features.prompt_contexts(s).select(F.col("scenario_id").alias("id"), F.size(c["goals"]).alias("n_goals"), c["prompt_type"].alias("prompt_type"), c["sensitivity"].alias("sensitivity"), c["scenario_category"].alias("category"), c["template_id"].alias("template"), c["parameters"].alias("parameters"))
 
 
 _ASKED = """SELECT conv_id * 100 + turn AS id, ['ARCHITECTURE_TOPOLOGY', 'DEPENDENCY', 'ENDPOINT_LOOKUP', 'GENERAL'][turn % 4 + 1] AS intent, CASE WHEN turn % 5 = 0 THEN [] WHEN turn % 5 < 3 THEN ['IR', 'TEST'] ELSE ['GRAPH'] END AS kinds, turn % 7 = 0 AS missed FROM conversations"""

@@ -159,12 +159,12 @@ def n1_fuzzy_templates(spark, sf):
 _RULES = "SELECT 's' || (p_partkey % 5) AS service, '/' || p_brand AS pattern, CASE WHEN p_partkey % 3 > 0 THEN 'GET' END AS http_method, CASE WHEN p_size % 4 = 0 THEN 'yaml' ELSE 'java' END AS source, p_partkey AS priority FROM part"
 
 
-@query(f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY service, pattern, http_method ORDER BY source = 'yaml' DESC, priority DESC) AS n FROM ({_RULES}))
+@query(f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY service, pattern, http_method ORDER BY source = 'yaml' DESC, CASE WHEN source <> 'yaml' THEN -priority END, priority) AS n FROM ({_RULES}))
   SELECT service, pattern, http_method, source, priority, CAST(row_number() OVER (PARTITION BY service ORDER BY priority DESC) AS INTEGER) AS place FROM b WHERE n = 1""")
 def n1_merged_rules(spark, sf):
     k = F.col("p_partkey")
-    rules = _t(spark, sf, "part").select(F.concat(F.lit("s"), k % 5).alias("service"), F.concat(F.lit("/"), "p_brand").alias("pattern"), F.when(k % 3 > 0, "GET").alias("http_method"), F.when(F.col("p_size") % 4 == 0, "yaml").otherwise("java").alias("source"), k.alias("priority"))
-    return enrich.merged_rules(rules)
+    rules = _t(spark, sf, "part").select(F.concat(F.lit("s"), k % 5).alias("service"), F.concat(F.lit("/"), "p_brand").alias("pattern"), F.when(k % 3 > 0, "GET").alias("http_method"), F.when(F.col("p_size") % 4 == 0, "yaml").otherwise("java").alias("source"), k.alias("priority"), k.alias("pos"))
+    return enrich.merged_rules(rules).drop("pos")
 
 
 @query(f"WITH s AS ({_SCEN}) SELECT count(*) AS total, count_if(e IN (SELECT method || ' ' || uri FROM s)) AS matched, round(count_if(e IN (SELECT method || ' ' || uri FROM s)) / count(*), 4) AS rate FROM (SELECT 'GET ' || {_PAGE} AS e FROM pages)")
@@ -173,16 +173,26 @@ def n1_coverage(spark, sf):
     return enrich.coverage(s.select("method", "uri"), s.select(F.concat(F.lit("GET "), "path").alias("endpoint")))
 
 
-@query("""SELECT p_brand AS field, CASE WHEN n = 0 THEN 'UNRESOLVED' WHEN n = 1 THEN 'EXACT' WHEN named IS NOT NULL THEN 'QUALIFIER' WHEN prim IS NOT NULL THEN 'PRIMARY' ELSE 'AMBIGUOUS' END AS how, CASE WHEN n = 1 THEN one ELSE coalesce(named, prim) END AS bean FROM (
-  SELECT f.p_brand, count(s_suppkey) AS n, min(s_name) AS one, min(CASE WHEN s_suppkey % 7 = q THEN s_name END) AS named, min(CASE WHEN s_suppkey % 11 = 0 THEN s_name END) AS prim
-  FROM (SELECT p_brand, min(p_partkey) % 30 AS t, max(p_partkey) % 9 AS q FROM part GROUP BY p_brand) f LEFT JOIN supplier ON s_nationkey = t GROUP BY f.p_brand)""")
+@query("""WITH f AS (SELECT p_partkey AS field, p_partkey % 30 AS type, CASE WHEN p_size % 3 > 0 THEN p_size % 9 END AS q FROM part), n AS (SELECT s_nationkey AS type, count(*) AS n, arg_min(s_name, s_suppkey) AS one, arg_min(s_name, s_suppkey) FILTER (s_suppkey % 11 = 0) AS prim FROM supplier GROUP BY 1),
+  m AS (SELECT s_nationkey AS type, s_suppkey % 7 AS q, arg_min(s_name, s_suppkey) AS named FROM supplier GROUP BY 1, 2)
+  SELECT field, CASE WHEN f.q IS NOT NULL AND named IS NOT NULL THEN 'QUALIFIER' WHEN f.q IS NOT NULL OR n IS NULL THEN 'UNRESOLVED' WHEN n = 1 THEN 'EXACT' WHEN prim IS NOT NULL THEN 'PRIMARY' ELSE 'AMBIGUOUS' END AS how, CASE WHEN f.q IS NOT NULL THEN named WHEN n = 1 THEN one ELSE prim END AS bean
+  FROM f LEFT JOIN n USING (type) LEFT JOIN m ON m.type = f.type AND m.q = f.q""")
 def n1_injected(spark, sf):
-    """Brands are fields whose type is a nation; its suppliers are the beans."""
-    f = _t(spark, sf, "part").groupBy(F.col("p_brand").alias("field")).agg((F.min("p_partkey") % 30).alias("type"), (F.max("p_partkey") % 9).alias("qualifier"))
-    beans = _t(spark, sf, "supplier").select(F.col("s_nationkey").cast("long").alias("type"), F.col("s_name").alias("bean"), (F.col("s_suppkey") % 11 == 0).alias("primary"), (F.col("s_suppkey") % 7).alias("name"))
+    """Parts are fields whose type is a nation; its suppliers are the beans."""
+    f = _t(spark, sf, "part").select(F.col("p_partkey").alias("field"), (F.col("p_partkey") % 30).alias("type"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 9).alias("qualifier"))
+    beans = _t(spark, sf, "supplier").select(F.col("s_nationkey").cast("long").alias("type"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("bean"), (F.col("s_suppkey") % 11 == 0).alias("primary"), (F.col("s_suppkey") % 7).alias("name"))
     return enrich.injected(f, beans)
 
 
+_ANTI = """'{"a": [{"antiPattern": "' || p_brand || '"}, {"x": {"antiPatterns": ["Cycle", "' || p_brand || '", {"k": 1}]}}, [["antiPattern"]]], "antiPattern": ' || CASE p_size % 3 WHEN 0 THEN 'null' WHEN 1 THEN '"Cycle"' ELSE '{"antiPattern": "Deep"}' END || '}'"""
+
+
+@query("""SELECT id, name, count(*) AS n FROM (SELECT p_partkey AS id, unnest([p_brand, p_brand, 'Cycle', '{"k":1}', CASE p_size % 3 WHEN 1 THEN 'Cycle' WHEN 2 THEN 'Deep' END]) AS name FROM part) WHERE name IS NOT NULL GROUP BY id, name""")
+def n2_anti_patterns(spark, sf):
+    """Parts are documents that name anti-patterns in nested objects and lists."""
+    return census.anti_patterns(_t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr(_ANTI).alias("data")))
+
+
 _REPO = "SELECT o_custkey AS endpoint, CASE o_orderstatus WHEN 'F' THEN 'POST' ELSE 'GET' END AS http_method, l_partkey AS repo, CASE l_returnflag WHEN 'A' THEN 'saveAll' WHEN 'N' THEN 'findById' ELSE 'deleteOld' END AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
 
 

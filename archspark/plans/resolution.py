@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from archspark.operators import routes
+from archspark.operators import containment, routes
 from archspark.plans.bindings import _t, query
 
 # Twenty services named by letter; an endpoint's URL begins with its service's path, a variable, or a version.
@@ -59,3 +59,51 @@ def _url_calls(spark, sf):
 def n3_resolved_calls(spark, sf):
     """Customers' calls and the parts that they mean."""
     return routes.resolved_calls(_url_calls(spark, sf), _templates(spark, sf))
+
+
+@query("""WITH s AS (SELECT DISTINCT 'r' || p_partkey % 300 AS service FROM part), c AS (SELECT c_custkey AS pos, 'i' || c_custkey AS id, 'Sr' || c_custkey || 'x' AS name, c_mktsegment || '-r' || c_custkey % 7 AS microservice FROM customer),
+  m AS (SELECT service, min(pos) AS pos FROM s JOIN c ON contains(name, service) OR contains(id, service) OR contains(microservice, service) GROUP BY service)
+  SELECT s.service, m.pos, 'i' || m.pos AS id FROM s LEFT JOIN m USING (service)""")
+def n3_component_of_service(spark, sf):
+    """Customers are components, remainders of part numbers services."""
+    services = _t(spark, sf, "part").select(F.concat(F.lit("r"), F.col("p_partkey") % 300).alias("service"))
+    k = F.col("c_custkey")
+    components = _t(spark, sf, "customer").select(k.alias("pos"), F.concat(F.lit("i"), k).alias("id"), F.concat(F.lit("Sr"), k, F.lit("x")).alias("name"), F.concat("c_mktsegment", F.lit("-r"), k % 7).alias("microservice"))
+    return containment.component_of(services, components)
+
+
+@query("""WITH n AS (SELECT s_nationkey AS snapshot, s_name AS name FROM supplier), c AS (SELECT c_nationkey AS snapshot, 'Supplier#' || lpad(CAST(c_custkey % 200 + 1 AS VARCHAR), 9, '0') AS src, 'get x.Supplier#' || lpad(CAST(c_custkey * 7 % 300 + 1 AS VARCHAR), 9, '0') || '(' || c_mktsegment || ')' AS signature FROM customer)
+  SELECT DISTINCT c.snapshot, src, name AS dst FROM c JOIN n ON n.snapshot = c.snapshot AND contains(signature, name) WHERE src <> name""")
+def g1_inferred_edges(spark, sf):
+    """Nations are snapshots, their suppliers nodes; customers are calls whose signatures name suppliers."""
+    k, numbered = F.col("c_custkey"), lambda x: F.concat(F.lit("Supplier#"), F.lpad(x.cast("string"), 9, "0"))
+    calls = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("snapshot"), numbered(k % 200 + 1).alias("src"), F.concat(F.lit("get x."), numbered(k * 7 % 300 + 1), F.lit("("), "c_mktsegment", F.lit(")")).alias("signature"))
+    return containment.inferred_edges(_t(spark, sf, "supplier").select(F.col("s_nationkey").alias("snapshot"), F.col("s_name").alias("name")), calls)
+
+
+_MASKS = """WITH e AS (SELECT c_nationkey AS service, c_custkey AS pos, CASE WHEN c_custkey % 2 = 0 THEN 'GET' ELSE 'POST' END || ' /n' || c_custkey % 97 || '/' || CASE WHEN c_custkey % 3 = 0 THEN '{?}' ELSE 'v' || c_custkey % 11 END AS name FROM customer),
+  r AS (SELECT p_partkey % 24 AS service, p_partkey % 24 AS file, p_partkey AS rule, CASE p_size % 3 WHEN 0 THEN 'hasRole' WHEN 1 THEN 'hasAnyRole' ELSE 'permitAll' END AS kind, CASE p_size % 3 WHEN 0 THEN ['r' || p_size % 7] WHEN 1 THEN ['r' || p_size % 7, 'q' || p_size % 5] ELSE [] END AS roles,
+    CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_size % 3 = 0 THEN 'all' ELSE 'own' END WHEN 1 THEN 'first' ELSE 'own' END AS how, CASE p_partkey % 4 WHEN 0 THEN 'GET /n' || p_partkey % 97 WHEN 1 THEN 'POST /n' || p_partkey % 97 || '/{?}' WHEN 2 THEN '/n' || p_partkey % 9 ELSE '/n' || p_partkey % 97 || '/v' || p_partkey % 13 END AS needle FROM part),
+  f AS (SELECT DISTINCT p_partkey % 24 AS file, p_partkey % 24 % 2 = 0 AS authenticated FROM part), one AS (SELECT name, min(pos) AS pos FROM e GROUP BY name),
+  hit AS (SELECT e.pos, file, rule, kind, roles FROM e JOIN r ON (how = 'own' AND e.service = r.service AND contains(name, needle)) OR (how = 'all' AND contains(name, needle)) UNION ALL SELECT one.pos, file, rule, kind, roles FROM one JOIN r ON how = 'first' AND name = needle
+    UNION ALL SELECT e.pos, file, 2147483647, CASE WHEN authenticated THEN 'authenticated' ELSE 'end' END, NULL FROM e JOIN f ON e.service = file),
+  x AS (SELECT pos, file, rule, kind, roles FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY file, rule) AS n FROM hit) WHERE n = 1),
+  named AS (SELECT file, rule, unnest(roles) AS role, unnest(range(len(roles))) AS at FROM (SELECT file, rule, roles FROM r WHERE kind = 'hasRole' UNION SELECT file, rule, roles FROM x WHERE kind = 'hasAnyRole')),
+  seen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY file, rule, at) AS n FROM named) WHERE n = 1),
+  known AS (SELECT role, file, rule, CAST(8 << (row_number() OVER (ORDER BY file, rule, at) - 1) AS BIGINT) AS bit FROM seen UNION ALL SELECT unnest(['UnauthenticatedRole', 'user', 'admin']), -1, -1, unnest([1, 2, 4]))
+  SELECT service, e.pos, CAST(coalesce((SELECT sum(bit) FROM known k WHERE CASE WHEN x.kind IN ('hasRole', 'hasAnyRole') THEN list_contains(x.roles, k.role) ELSE (k.file, k.rule) < (x.file, x.rule) AND NOT (x.kind = 'authenticated' AND k.role = 'UnauthenticatedRole') END), 0) AS BIGINT) AS mask
+  FROM e LEFT JOIN x ON x.pos = e.pos"""
+
+
+@query(_MASKS)
+def p3_role_masks(spark, sf):
+    """Nations are services with a security file each (but one), customers endpoints, parts rules."""
+    k, c, size = F.col("p_partkey"), F.col("c_custkey"), F.col("p_size")
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    endpoints = _t(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("service"), c.alias("pos"), F.when(c % 2 == 0, "GET").otherwise("POST").alias("method"), text("/n", c % 97, "/", F.when(c % 3 == 0, "{?}").otherwise(text("v", c % 11))).alias("url"))
+    pattern = F.when(k % 4 == 0, text("/n", k % 97, "/**")).when(k % 4 == 1, text("/n", k % 97, "/*")).when(k % 4 == 2, text("/n", k % 9, "/**")).otherwise(text("/n", k % 97, "/v", k % 13))
+    roles = F.when(size % 3 == 0, F.array(text("r", size % 7))).when(size % 3 == 1, F.array(text("r", size % 7), text("q", size % 5))).otherwise(F.array().cast("array<string>"))
+    kind = F.when(size % 3 == 0, "hasRole").when(size % 3 == 1, "hasAnyRole").otherwise("permitAll")
+    rules = _t(spark, sf, "part").select((k % 24).alias("service"), (k % 24).alias("file"), k.alias("pos"), kind.alias("kind"), F.when(k % 4 == 0, "GET").when(k % 4 == 1, "POST").alias("method"), F.array(pattern).alias("patterns"), roles.alias("roles"))
+    files = rules.select("service", "file", (F.col("file") % 2 == 0).alias("authenticated")).distinct()
+    return containment.role_masks(endpoints, rules, files, {1: containment.UNAUTHENTICATED, 2: "user", 4: "admin"})

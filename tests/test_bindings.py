@@ -2,6 +2,7 @@
 
 import pytest
 from conftest import SF, same
+from pyspark.sql import functions as F
 
 from archspark.plans import catalogue as bindings
 
@@ -11,20 +12,15 @@ def test_equals_sql(spark, duck, name):
     same(bindings.QUERIES[name](spark, SF), duck.sql(bindings.ORACLES[name]))
 
 
-def test_budget_equals_a_loop(spark, duck):
-    from archspark.operators.retrieve import budgeted
-
-    rows = [(q, p, 100 * q + p, (p * 37 + q * 11) % 90) for q in range(5) for p in range(1, 30)] + [(9, 1, 1, 500), (9, 2, 2, 10)]
-    got = sorted(map(tuple, budgeted(spark.createDataFrame(rows, "query int, place int, id int, n_chars int"), 7, 200).collect()))
-    want = []
-    for q in {r[0] for r in rows}:
-        kept, used, mine = [], 0, sorted(r for r in rows if r[0] == q)
-        for r in mine:
-            if not kept or (len(kept) < 7 and used + r[3] <= 200):
-                kept.append(r)
-                used += r[3]
-        want += [(*r, len(kept) < len(mine)) for r in kept]
-    assert got == sorted(want)
+def test_budget_keeps_the_direct_match_and_skips_what_is_too_long(spark):
+    from archspark.operators.retrieve import budgeted, omitted
+
+    rows = [(1, 0, "a", "IR", 99_999, False, False), (1, 1, "b", "IR", 5, False, False), (2, 0, "a", "IR", 5, False, False), (2, 1, "b", "GRAPH", 500, True, True), (3, 0, "a", "IR", 60, True, False), (3, 1, "b", "X", 60, False, False), (3, 2, "c", "IR", 40, False, False)]
+    df = spark.createDataFrame([(*r, "DEPENDENCY", "") for r in rows], "query int, place int, id string, kind string, n_chars int, inferred boolean, direct boolean, intent string, location string")
+    got = budgeted(df, 20, 100)
+    assert {r.query: r.ids for r in got.where("kept").groupBy("query").agg(F.array_sort(F.collect_list("id")).alias("ids")).collect()} == {1: ["b"], 2: ["b"], 3: ["b", "c"]}
+    assert {(r.query, r.kind, r.n) for r in omitted(got).collect()} == {(1, "IR", 1), (2, "IR", 1), (3, "IR", 1)}
+    assert budgeted(df, 0, 100).where("kept").count() == 0
 
 
 def test_entry(spark):

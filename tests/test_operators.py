@@ -1,5 +1,7 @@
 """Hand-computed cases."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,7 +110,10 @@ def test_text_functions(spark):
     assert [one(policy.role_label(F.lit(m))) for m in (0, 1, 2, 3, 4, 6, 7)] == ["None", "Unauthenticated", "User Only", "3", "Admin Only", "User + Admin Only", "Any Authenticated User"]
     assert one(X.cyclomatic(F.lit("do { x = a ? b : c; } while (y);"))) == 3 and one(X.sensitivity(F.lit("/refund"))) == "FINANCIAL"
     assert one(X.injectable(F.lit("findByAAndB"))) and one(X.injectable(F.lit("deleteByName"))) and not one(X.injectable(F.lit("deleteById")))
-    assert one(X.service_of_url(F.lit("http://ts-order-service:80/x"))) == "ts-order-service"
+    urls = {"/api/v1/orderservice/order": "ts-order-service", "/orderservice/order": "ts-order-service", "/api/v1/orderOtherService": "ts-order-other-service", "/api/v1/users/3": "ts-user-service", "/api/v1/foo/3": None, "http://ts-order-service:80/x": None, "": None}
+    assert {u: one(X.service_of_url(F.lit(u))) for u in urls} == urls
+    assert [one(X.operation_type(F.lit(n))) for n in ("findAll", "addOne", "setX", "existsBy", "modifyAll", "FindX")] == ["SELECT", "UNKNOWN", "UNKNOWN", "SELECT", "UPDATE", "UNKNOWN"]
+    assert [one(X.operation_type(F.lit("findAll"), F.lit(q))) for q in (" delete from x", "from X", "call y", None)] == ["DELETE", "SELECT", "UNKNOWN", "SELECT"]
     assert one(X.display_name(F.lit("ts-order-service"))) == "order" and one(X.operation_type(F.lit("findAll"))) == "SELECT"
 
 
@@ -186,9 +191,16 @@ def test_lookups_and_names(spark):
     pick = lambda kind, label, level: one(scenario.template(F.lit(kind), F.lit(label), F.lit(level)))
     assert pick("EntryPointAuthorization", "ENTRYPOINT_POLICY_EXPOSURE_PII_PUBLIC", "LOW") == "entrypoint_public_sensitive" and pick("x", "UNSET", "LOW") == "generic_authorization" and pick("x", "DOWNSTREAM_OVER_PERMISSIVE_PII_PUBLIC", "LOW") == "downstream_inconsistency_simple"
     assert one(answers.known_citations(F.lit("see [E1], [E7] and [E0]"), F.lit(2))) == "see [E1], [citation_removed] and [citation_removed]"
-    block = answers.evidence_block(spark.createDataFrame([("q", 2, "IR", " ", "b"), ("q", 1, "GRAPH", "e", "a")], "query string, place int, kind string, entity string, content string"))
-    assert block.first().block == "EVIDENCE (2)\n[E1] GRAPH | e | a\n[E2] IR | n/a | b"
-    assert [r.n_anti_patterns for r in census.anti_patterns(spark.createDataFrame([('{"antiPattern": {"type": "x"}, "a": [{"antiPattern":"y"}, {"antiPattern": null}]}',)], "data string")).collect()] == [2]
+    shown = "query string, place int, id string, kind string, artifact string, version string, location string, entity string, service string, path string, markers string, content string"
+    rows = spark.createDataFrame([("q", 2, "2", "IR", *[" "] * 7, "b"), ("q", 1, "1", "GRAPH", "a1", "v", "l", "e", "s", "/p", None, "a")], shown)
+    contexts = spark.createDataFrame([("q", True, False, True, "sys", None, "", "/x"), ("none", False, True, False, None, None, None, None)], "query string, truncated boolean, stale boolean, has_context boolean, system string, commit string, service string, endpoint string")
+    blocks = {r.query: r.block for r in answers.evidence_block(contexts, rows).collect()}
+    record = "- EvidenceRecord {{ id={}; artifactType={}; artifactId={}; artifactVersion={}; locationHint={}; entity={}; service={}; endpoint={}; antiPatterns={}; content={} }}\n".format
+    na = ["n/a"] * 7
+    assert blocks["q"] == "EvidenceRecords:\nContextSummary: system=sys, commit=n/a, service=n/a, endpoint=/x\nEvidenceState: truncated=true, staleContext=false\nEvidenceCount: 2\nEvidenceList:\n" + record("1", "GRAPH", "a1", "v", "l", "e", "s", "/p", "n/a", "a") + record("2", "IR", *na, "b")
+    assert blocks["none"] == "EvidenceRecords:\nEvidenceState: truncated=false, staleContext=true\nEvidenceCount: 0\nEvidenceList: none\n"
+    docs = [(1, '{"antiPattern": {"type": "x", "antiPattern": "z"}, "a": [{"antiPattern": "y"}, {"antiPattern": null}, {"antiPatterns": ["y", "w"]}]}'), (2, "no JSON"), (3, '{"antiPatterns": "y", "antiPattern": ""}')]
+    assert {(r.id, r.name, r.n) for r in census.anti_patterns(spark.createDataFrame(docs, "id int, data string")).collect()} == {(1, "z", 1), (1, "y", 2), (1, "w", 1)}
 
 
 def test_more_text_functions(spark):
@@ -201,6 +213,8 @@ def test_more_text_functions(spark):
     assert one(X.subject(F.lit("a" * 300 + "\nb"))) == "a" * 200 and one(X.first_hop(F.lit(" 1.2.3.4 , 5.6.7.8"))) == "1.2.3.4"
     assert [one(X.public_address(F.lit(i))) for i in ("8.8.8.8", "10.1.1.1", "172.20.0.1", "192.168.0.1", "127.0.0.1", "300.1.1.1", "x")] == [True] + [False] * 6
     assert one(X.spel_roles(F.lit("hasRole('ADMIN') or hasAnyRole('ROLE_USER', \"X\")"))) == ["ADMIN", "USER", "X"]
+    names = {"MoneyXRepository": "Money", "ConsignPriceConfigRepository": "ConsignPrice", "StationFoodRepository": "StationFoodStore", "ConsignRepository": "ConsignRecord", "NotifyRepository": "NotifyInfo", "orderRepository": "order", "OrderOtherRepository": "Order"}
+    assert {n: one(X.entity_of_repository(F.lit(n))) for n in names} == names
     assert one(X.entity_of_repository(F.lit("OrderRepository"))) == "Order" and one(X.entity_of_repository(F.lit("Order"))) == "Order"
     assert [one(X.tokens_per_minute(F.lit(n))) for n in (50_000, 2_000_000, 1500)] == ["50K", "2M", "1500"]
 
@@ -220,6 +234,9 @@ def test_store_of_versions(spark):
     s = spark.createDataFrame([(*r, "2020", "d", '{"name":"x","version":null}') for r in rows], "id int, name string, version string, created string, description string, payload string")
     assert [r.id for r in store.by_name(s, "TRAIN TICKET").collect()] == [2, 1] and store.by_name(s, "train", 1).count() == 1 and not store.exists(s, "gone")
     assert [r.version for r in store.versions(s, "other").collect()] == ["9.0.0"] and {r.id for r in store.by_ids(s, spark.createDataFrame([(1,), (1,), (7,)], "id int"), "id").collect()} == {1}
+    nested = store.with_version(s.withColumn("payload", F.lit('{"version": "1", "a": {"version": 9, "b": [1.5, null]}}')), F.col("id") == 3, "2.0.0", "new").where("id = 3").first()
+    assert (nested.description, json.loads(nested.payload)) == ("new", {"version": "2.0.0", "a": {"version": 9, "b": [1.5, None]}})
+    assert store.with_version(s.withColumn("payload", F.lit("[1]")), F.lit(True), "2.0.0").first().payload == "[1]"
     set_ = {r.id: (r.version, r.payload) for r in store.with_version(s, F.col("id") == 3, "2.0.1").collect()}
     assert set_[3] == ("2.0.1", '{"name":"x","version":"2.0.1"}') and set_[4][0] == "9.0.0"
     with pytest.raises(ValueError):
