@@ -88,10 +88,10 @@ _MASKS = """WITH e AS (SELECT c_nationkey AS service, c_custkey AS pos, CASE WHE
   hit AS (SELECT e.pos, file, rule, kind, roles FROM e JOIN r ON (how = 'own' AND e.service = r.service AND contains(name, needle)) OR (how = 'all' AND contains(name, needle)) UNION ALL SELECT one.pos, file, rule, kind, roles FROM one JOIN r ON how = 'first' AND name = needle
     UNION ALL SELECT e.pos, file, 2147483647, CASE WHEN authenticated THEN 'authenticated' ELSE 'end' END, NULL FROM e JOIN f ON e.service = file),
   x AS (SELECT pos, file, rule, kind, roles FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY file, rule) AS n FROM hit) WHERE n = 1),
-  named AS (SELECT file, rule, unnest(roles) AS role, unnest(range(len(roles))) AS at FROM (SELECT file, rule, roles FROM r WHERE kind = 'hasRole' UNION SELECT file, rule, roles FROM x WHERE kind = 'hasAnyRole')),
-  seen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY file, rule, at) AS n FROM named) WHERE n = 1),
-  known AS (SELECT role, file, rule, CAST(8 << (row_number() OVER (ORDER BY file, rule, at) - 1) AS BIGINT) AS bit FROM seen UNION ALL SELECT unnest(['UnauthenticatedRole', 'user', 'admin']), -1, -1, unnest([1, 2, 4]))
-  SELECT service, e.pos, CAST(coalesce((SELECT sum(bit) FROM known k WHERE CASE WHEN x.kind IN ('hasRole', 'hasAnyRole') THEN list_contains(x.roles, k.role) ELSE (k.file, k.rule) < (x.file, x.rule) AND NOT (x.kind = 'authenticated' AND k.role = 'UnauthenticatedRole') END), 0) AS BIGINT) AS mask
+  named AS (SELECT file, rule, unnest(roles) AS role, unnest(range(len(roles))) AS nth FROM (SELECT file, rule, roles FROM r WHERE kind = 'hasRole' UNION SELECT file, rule, roles FROM x WHERE kind = 'hasAnyRole')),
+  seen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY file, rule, nth) AS n FROM named) WHERE n = 1),
+  known AS (SELECT role, file, rule, CAST(8 << (row_number() OVER (ORDER BY file, rule, nth) - 1) AS BIGINT) AS bit FROM seen UNION ALL SELECT unnest(['UnauthenticatedRole', 'user', 'admin']), -1, -1, unnest([1, 2, 4]))
+  SELECT service, e.pos, CAST(coalesce((SELECT sum(bit) FROM known k WHERE CASE WHEN x.pos IS NULL THEN false WHEN x.kind IN ('hasRole', 'hasAnyRole') THEN list_contains(x.roles, k.role) ELSE (k.file, k.rule) < (x.file, x.rule) AND NOT (x.kind = 'authenticated' AND k.role = 'UnauthenticatedRole') END), 0) AS BIGINT) AS mask
   FROM e LEFT JOIN x ON x.pos = e.pos"""
 
 
