@@ -94,10 +94,18 @@ def secrets(text: Column, key: Column | None = None) -> Column:
     return F.filter(found, lambda v: (F.length(v) > 7) & ~F.lower(v).isin(*NO_SECRETS))
 
 
-def operation_type(name: Column) -> Column:
-    """Database operation by the beginning of a repository method's name."""
-    low = F.lower(name)
-    return F.when(low.rlike("^(find|get|read|query|search|count|exists)"), "SELECT").when(low.rlike("^(save|insert|add|create)"), "INSERT").when(low.rlike("^(update|set|modify)"), "UPDATE").when(low.rlike("^(delete|remove)"), "DELETE").otherwise("UNKNOWN")
+# What a query begins with, and the first word of a repository method's name, by kind of operation.
+QUERY_KINDS = {"SELECT": "SELECT|FROM", "INSERT": "INSERT", "UPDATE": "UPDATE", "DELETE": "DELETE"}
+METHOD_KINDS = {"SELECT": "find|get|read|query|search|count|exists", "INSERT": "save|insert|create", "UPDATE": "update|modify", "DELETE": "delete|remove"}
+
+
+def operation_type(name: Column, query: Column | None = None) -> Column:
+    """Database operation by the beginning of a query's text, where there is one, else of a repository method's name; UNKNOWN for others."""
+    by_name = F.coalesce(*(F.when(name.rlike(f"^({words})"), kind) for kind, words in METHOD_KINDS.items()), F.lit("UNKNOWN"))
+    if query is None:
+        return by_name
+    by_query = F.coalesce(*(F.when(F.upper(F.trim(query)).rlike(f"^({words})"), kind) for kind, words in QUERY_KINDS.items()), F.lit("UNKNOWN"))
+    return F.when(query.isNotNull(), by_query).otherwise(by_name)
 
 
 def band(score: Column) -> Column:
@@ -109,11 +117,21 @@ def display_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, "^(ts|ms|app)-", ""), "-(service|api)$", "")
 
 
+# Resources of an API whose service is named for one of them.
+RESOURCES = ("users", "orders", "routes", "travels", "stations", "prices", "contacts", "trains", "seats", "assurances", "foods", "consigns")
+
+
+def kebab_case(name: Column) -> Column:
+    """camelCase as camel-case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(name, "([a-z])([A-Z])", "$1-$2"), "([A-Z])([A-Z][a-z])", "$1-$2"))
+
+
 def service_of_url(url: Column) -> Column:
-    """Service named by a URL: a `x-service` host or segment, else the first segment after `/api/v1`."""
-    named = F.regexp_extract(url, r"([a-z0-9]+(?:-[a-z0-9]+)*-service)", 1)
-    first = F.regexp_extract(url, r"/api/(?:v[0-9]+/)?([a-z0-9-]+)", 1)
-    return F.when(named != "", named).when(first != "", F.concat(F.regexp_replace(first, "s$", ""), F.lit("-service")))
+    """Service that an endpoint's URL names: `/api/v1/xService/..` or `/xService/..` mean ts-x-service, `/api/v1/orders/..` ts-order-service for the RESOURCES; else null."""
+    named = [F.regexp_extract(url, p, 1) for p in (r"/api/v\d+/([a-zA-Z0-9]+)(?:service|Service)(?:/|$)", r"^/([a-zA-Z0-9]+)(?:service|Service)(?:/|$)")]
+    resource = F.regexp_replace(F.regexp_extract(url, rf"/api/v\d+/({'|'.join(RESOURCES)})(?:/|$)", 1), "(?<=[^s])s$", "")
+    part = F.coalesce(*(F.when(n != "", kebab_case(n)) for n in named), F.when(resource != "", resource))
+    return F.concat(F.lit("ts-"), part, F.lit("-service"))
 
 
 def flexible_name(name: str) -> str:
@@ -166,11 +184,17 @@ def spel_roles(expression: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(names, lambda r: F.regexp_replace(r, "^ROLE_", ""))))
 
 
-# Entities of repositories that aren't named for them are found by cutting off `Repository`.
+# Entities of repositories that aren't named for them, by a part of the repository's name and by all of it.
+ENTITY_BY_PART = {"Money": "Money", "ConsignPrice": "ConsignPrice", "StationFood": "StationFoodStore"}
+ENTITY_BY_NAME = {"Consign": "ConsignRecord", "Notify": "NotifyInfo", "OrderOther": "Order"}
+
+
 def entity_of_repository(name: Column) -> Column:
-    """Entity of a repository by its name; the name itself where it has none."""
+    """Entity of a repository by its name: what stands before `Repository`, or that one's alias; the name itself where it has none."""
+    name = F.trim(name)
     cut = F.regexp_extract(name, "(?i)^(.+?)Repository$", 1)
-    return F.when(cut != "", cut).otherwise(name)
+    aliases = [F.when(cut.contains(k), v) for k, v in ENTITY_BY_PART.items()] + [F.when(cut == k, v) for k, v in ENTITY_BY_NAME.items()]
+    return F.when(cut == "", name).otherwise(F.coalesce(*aliases, cut))
 
 
 def tokens_per_minute(n: Column) -> Column:

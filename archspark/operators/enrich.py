@@ -22,7 +22,7 @@ def enriched(scenarios: DataFrame, endpoints: DataFrame) -> DataFrame:
     Suffix matches meet by equality on the method and the shorter URI, once for every end of the longer one.
     """
     s = scenarios.select("id", F.col("uri").alias("s_uri"), "method")
-    e = endpoints.select("pos", F.col("uri").alias("e_uri"), "method", "endpoint")
+    e = first_of(endpoints.select("pos", F.col("uri").alias("e_uri"), "method", "endpoint"), ["method", "e_uri"], "pos")  # of equal URIs only the first can be the answer
     exact = s.join(e, (s["method"] == e["method"]) & (s["s_uri"] == e["e_uri"])).select("id", F.lit(0).alias("rank"), "pos", "endpoint")
     ends_s = s.where("s_uri != ''").select("id", "method", F.explode(F.array_distinct(suffixes(F.col("s_uri")))).alias("e_uri"))
     ends_e = e.where("e_uri != ''").select("pos", "endpoint", "method", F.explode(F.array_distinct(suffixes(F.col("e_uri")))).alias("s_uri"))

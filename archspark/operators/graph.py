@@ -77,6 +77,35 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return named.join(sizes, "scc").select("id", "scc", "size", (F.col("size") > 1).alias("cyclic"))
 
 
+def condensation(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members(id, scc) of `components` -> (src, dst): the distinct links between different components; no path of them comes back."""
+    m = members.select("id", "scc")
+    ends = edges.join(m.select(F.col("id").alias("src"), F.col("scc").alias("a")), "src").join(m.select(F.col("id").alias("dst"), F.col("scc").alias("b")), "dst")
+    return ends.where("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+def accumulated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes(id, bits: flags as a long), edges -> id, bits: a node's flags and those of all it reaches.
+
+    Flags are pushed along the condensation, level by level from the components that call none: a component has its members'
+    and its successors'. Each link is looked at in one round only, so rows are in proportion to edges, whatever is reachable.
+    """
+    edges = checkpointed(edges.select("src", "dst").distinct())
+    members = checkpointed(components(nodes.select("id"), edges).select("id", "scc"))
+    open_ = checkpointed(condensation(members, edges))
+    own = checkpointed(nodes.join(members, "id").groupBy("scc").agg(F.bit_or("bits").alias("bits")))
+    level = own.join(open_.select(F.col("src").alias("scc")).distinct(), "scc", "left_anti")
+    done = [level := checkpointed(level)]
+    waiting = checkpointed(own.join(level.select("scc"), "scc", "left_anti").join(open_.groupBy(F.col("src").alias("scc")).agg(F.count("*").alias("calls")), "scc"))
+    while not waiting.isEmpty():
+        told = open_.join(level.select(F.col("scc").alias("dst"), F.col("bits").alias("theirs")), "dst").groupBy(F.col("src").alias("scc")).agg(F.bit_or("theirs").alias("theirs"), F.count("*").alias("n"))
+        heard = waiting.join(told, "scc", "left").select("scc", F.col("bits").bitwiseOR(F.coalesce("theirs", F.lit(0))).alias("bits"), (F.col("calls") - F.coalesce("n", F.lit(0))).alias("calls"))
+        heard = checkpointed(heard)
+        done.append(level := heard.where("calls = 0").select("scc", "bits"))
+        waiting = heard.where("calls > 0")
+    return members.join(reduce(DataFrame.union, done), "scc").select("id", "bits")
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges whose start has a way in and whose end a way out, again and again."""
     n = edges.count()

@@ -305,13 +305,13 @@ _SCENARIOS = """SELECT n_nationkey AS root, n_nationkey % 3 AS max_depth, CASE W
   WHEN regexp_matches(lower(n_name), 'admin|config|manage|report') THEN 'INTERNAL' ELSE 'PUBLIC' END AS sensitivity, n_nationkey % 4 = 0 AS is_public FROM nation"""
 
 
-@query(f"""WITH f AS (SELECT root, bool_or(finding = 'OverPermissiveDownstream') AS o, bool_or(finding = 'UnderPermissiveDownstream') AS u FROM ({_PAIRS}) WHERE position <= 3 GROUP BY root)
+@query(f"""WITH f AS (SELECT root, bool_or(finding = 'OverPermissiveDownstream') AS o, bool_or(finding = 'UnderPermissiveDownstream') AS u FROM ({_PAIRS}) GROUP BY root)
   SELECT root, concat_ws('_', CASE WHEN max_depth > 0 THEN 'DOWNSTREAM' ELSE 'ENTRYPOINT' END, CASE WHEN o IS NULL THEN 'CONSISTENT' WHEN o THEN 'OVER_PERMISSIVE' WHEN u THEN 'UNDER_PERMISSIVE' ELSE 'UNDEFINED_POLICY' END,
     sensitivity, CASE WHEN is_public THEN 'PUBLIC' ELSE 'RESTRICTED' END) AS category FROM ({_SCENARIOS}) LEFT JOIN f USING (root)""")
 def p1_scenario_category(spark, sf):
-    """Scenarios are nations; what counts against them are the findings of the first four endpoints of their chain."""
+    """Scenarios are nations; what counts against them are the findings along their chain."""
     n = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("root"), (F.col("n_nationkey") % 3).alias("max_depth"), X.sensitivity(F.col("n_name"), transactions=False).alias("sensitivity"), (F.col("n_nationkey") % 4 == 0).alias("is_public"))
-    return policy.category(n, p1_pair_findings(spark, sf).where("position <= 3"))
+    return policy.category(n, p1_pair_findings(spark, sf))
 
 
 @query(f"SELECT root, role FROM ({_MATRIX}) WHERE position <= 1 GROUP BY root, role HAVING min(v) = 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from archspark.operators import containment, routes
+from archspark.operators import containment, graph, routes
 from archspark.plans.bindings import _t, query
 
 # Twenty services named by letter; an endpoint's URL begins with its service's path, a variable, or a version.
@@ -107,3 +107,30 @@ def p3_role_masks(spark, sf):
     rules = _t(spark, sf, "part").select((k % 24).alias("service"), (k % 24).alias("file"), k.alias("pos"), kind.alias("kind"), F.when(k % 4 == 0, "GET").when(k % 4 == 1, "POST").alias("method"), F.array(pattern).alias("patterns"), roles.alias("roles"))
     files = rules.select("service", "file", (F.col("file") % 2 == 0).alias("authenticated")).distinct()
     return containment.role_masks(endpoints, rules, files, {1: containment.UNAUTHENTICATED, 2: "user", 4: "admin"})
+
+
+# Parts call the part of a third of their number, and the next of their block of four, the last of which calls the first.
+_RING = "SELECT p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey >= 12 UNION SELECT p_partkey, p_partkey // 4 * 4 + (p_partkey + 1) % 4 FROM part WHERE p_partkey % 12 < 8 AND p_partkey // 4 * 4 + (p_partkey + 1) % 4 IN (SELECT p_partkey FROM part)"
+_BLOCKS = f"WITH RECURSIVE e AS ({_RING}), r AS (SELECT p_partkey AS root, p_partkey AS node FROM part UNION SELECT root, dst FROM r JOIN e ON node = src)"
+
+
+def _ring(spark, sf):
+    p, k = _t(spark, sf, "part").select("p_partkey"), F.col("p_partkey")
+    following = F.expr("p_partkey div 4 * 4 + (p_partkey + 1) % 4")
+    ring = p.where(k % 12 < 8).select(k.alias("src"), following.alias("dst")).join(p.select(k.alias("dst")), "dst", "left_semi").select("src", "dst")
+    return p.where(k >= 12).select(k.alias("src"), F.expr("p_partkey div 3").alias("dst")).union(ring).distinct()
+
+
+@query(f"""{_BLOCKS}, m AS (SELECT a.root AS id, min(a.node) AS scc FROM r a JOIN r b ON a.root = b.node AND a.node = b.root GROUP BY a.root)
+  SELECT DISTINCT a.scc AS src, b.scc AS dst FROM e JOIN m a ON a.id = src JOIN m b ON b.id = dst WHERE a.scc <> b.scc""")
+def g5_condensation(spark, sf):
+    """Links between the strong components of calling parts."""
+    edges = graph.checkpointed(_ring(spark, sf))
+    return graph.condensation(graph.components(_t(spark, sf, "part").select(F.col("p_partkey").alias("id")), edges), edges)
+
+
+@query(f"""{_BLOCKS} SELECT root AS id, CAST(bit_or(CAST(1 AS BIGINT) << (p_size % 41)) AS BIGINT) AS bits FROM r JOIN part ON p_partkey = node GROUP BY root""")
+def g5_accumulated_flags(spark, sf):
+    """Each part's flag, by its size, and those of all parts that it reaches."""
+    nodes = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr("shiftleft(1L, p_size % 41)").alias("bits"))
+    return graph.accumulated(nodes, _ring(spark, sf))
