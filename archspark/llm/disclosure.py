@@ -44,6 +44,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\W_]+")
 
 Span = tuple[str, int, int]
@@ -79,6 +80,8 @@ def _valid(kind: str, found: str) -> bool:
 def identifiers(text: str) -> list[Span]:
     """The spans of KINDS, by kind as listed and start; kinds may overlap each other."""
     spans: list[Span] = [("email", a, b) for a, b in emails(text)] if "@" in text else []
+    if not _DIGIT.search(text):
+        return spans
     for kind, pattern in (("ip", _IP), ("card", _CARD), ("phone", _PHONE)):
         spans += ((kind, *m.span()) for m in pattern.finditer(text) if _valid(kind, m.group()))
     return spans
@@ -105,6 +108,11 @@ def covered(spans: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
+def all_terms(text: str) -> Iterator[str]:
+    """The words of a text without spans, in lower case."""
+    return map(str.lower, _WORD.findall(text))
+
+
 def terms(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
     """Words in lower case, outside of the spans, with their places."""
     at = 0
@@ -114,18 +122,10 @@ def terms(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
         at = b
 
 
-class Hashes(dict):
-    """term -> signed 64-bit hash; emptied when it is full."""
-
-    def __missing__(self, term: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[term] = int(np.uint64(xxhash.xxh3_64_intdigest(term)).astype(np.int64))
-        return h
-
-
 def _hash(text: str) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(text)).astype(np.int64))
+    """Signed 64-bit hash."""
+    h = xxhash.xxh3_64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
 
 
 #: entity 0 and surroundings 0: a term's occurrences in all; term 0: an entity's surroundings.
@@ -135,10 +135,10 @@ _COUNTS = pa.schema([("entity", pa.int64()), ("term", pa.int64()), ("surrounding
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int]]:
     """A task's counts; what it holds is bounded and emitted when full."""
     nothing_kept()
-    seen, near, hashes = Counter(), Counter(), Hashes()
+    seen, near = Counter(), Counter()
 
     def emitted():
-        yield from ((0, t, 0, n) for t, n in seen.items())
+        yield from ((0, _hash(w), 0, n) for w, n in seen.items())
         yield from ((*key, n) for key, n in near.items())
         seen.clear()
         near.clear()
@@ -148,9 +148,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int,
             if not text:
                 continue
             spans = identifiers(text)
-            words = list(terms(text, spans))
-            seen.update(hashes[w] for w, _, _ in words)
-            starts = [a for _, a, _ in words] if spans else []
+            if not spans:
+                seen.update(all_terms(text))
+            else:
+                words = list(terms(text, spans))
+                seen.update(w for w, _, _ in words)
+                starts = [a for _, a, _ in words]
             for span in spans:
                 e = _hash(entity(text, span))
                 here = int(np.searchsorted(starts, span[1]))
@@ -158,7 +161,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int,
                 about = _hash(" ".join(w for w, _, _ in words[max(0, here - NEAR) : here + NEAR])) or 1
                 near[e, 0, about] += 1
                 for w in set(window):
-                    near[e, hashes[w], about] += 1
+                    near[e, _hash(w), about] += 1
             if len(seen) + len(near) >= CACHE_WORDS:
                 yield from emitted()
     yield from emitted()
@@ -196,26 +199,29 @@ _FOUND_DDL = f"row long, doc_id long, key string, {', '.join(f'n_{k} long' for k
 
 def _located(table: np.ndarray):
     """row, doc_id, key, text -> its identifiers, and the places of words that may disclose."""
-    words, some = table.view(np.uint64), bool(table.any())
+    octets, some = table.astype("<i8").tobytes(), bool(table.any())
+
+    class Listed(dict):
+        """word -> its hash if the table may have it, else None; emptied when it is full."""
 
-    def listed(h: np.ndarray) -> np.ndarray:
-        found = np.ones(len(h), bool)
-        for s in (0, 32):
-            bit = (h >> np.uint64(s)) & np.uint64(BITS - 1)
-            found &= (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-        return found
+        def __missing__(self, word: str) -> int | None:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            h = _hash(word)
+            a, b = h & (BITS - 1), (h >> 32) & (BITS - 1)
+            found = self[word] = h if octets[a >> 3] >> (a & 7) & 1 and octets[b >> 3] >> (b & 7) & 1 else None
+            return found
 
     def rows(batches):
         nothing_kept()
-        hashes = Hashes()
+        listed = Listed()
         for batch in batches:
             for row, doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                text = text or ""
+                text, maybe = text or "", []
                 spans = identifiers(text)
+                if some and (spans or any(listed[w] is not None for w in set(all_terms(text)))):
+                    maybe = [{"term": h, "start": a, "stop": b} for w, a, b in terms(text, spans) if (h := listed[w]) is not None]
                 counts = Counter(k for k, _, _ in spans)
-                places = list(terms(text, spans)) if some else []
-                h = np.array([hashes[w] for w, _, _ in places], np.int64)
-                maybe = [{"term": int(h[i]), "start": places[i][1], "stop": places[i][2]} for i in np.flatnonzero(listed(h.view(np.uint64)))]
                 yield row, doc, key, *(counts[k] for k in KINDS), joined(spans), maybe
 
     return lambda batches: row_batches(rows(batches), _FOUND, 500)
