@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from archspark.operators import containment, graph, routes
 from archspark.plans.bindings import _t, query
+from archspark.sources import graphs
+from archspark.sources.ir import decoded
 
 # Twenty services named by letter; an endpoint's URL begins with its service's path, a variable, or a version.
 _TEMPLATES = """SELECT p_partkey AS pos, 'ts-' || chr(CAST(97 + p_partkey % 20 AS INTEGER)) || 'x-service' AS service, CASE WHEN p_partkey % 3 = 0 THEN 'post' ELSE 'GET' END AS method, 'e' || p_partkey AS endpoint,
@@ -134,3 +136,10 @@ def g5_accumulated_flags(spark, sf):
     """Each part's flag, by its size, and those of all parts that it reaches."""
     nodes = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr("shiftleft(1L, p_size % 41)").alias("bits"))
     return graph.accumulated(nodes, _ring(spark, sf))
+
+
+@query("SELECT p_partkey AS id, p_name AS name, p_size AS size, p_retailprice AS price FROM part")
+def s1_gzip_payloads(spark, sf):
+    """Parts written as gzip payloads and read again."""
+    rows = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), graphs.gzip_payload(F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price")).alias("payload"))
+    return decoded(rows, "payload", "name string, size int, price double")
