@@ -102,3 +102,36 @@ def inconsistent_touches(endpoints: DataFrame, touches: DataFrame, links: DataFr
     other = broken.join(o.select(F.col("endpoint").alias("e1"), F.col("repo").alias("r"), F.col("ops").alias("o1")), "e1").join(o.select(F.col("endpoint").alias("e2"), F.col("repo").alias("r"), F.col("ops").alias("o2")), ["e2", "r"])
     excused = other.where((F.col("r") != F.col("repo")) & (F.col("o1").bitwiseAND(F.col("o2")) != F.col("o2"))).select("role", "repo", "e1", "e2").distinct()
     return broken.select("role", "repo", "e1", "e2").join(excused, ["role", "repo", "e1", "e2"], "left_anti")
+
+
+def role_order(endpoints: DataFrame, priorities: DataFrame, other: int = 999) -> DataFrame:
+    """endpoints(required: roles), priorities(role, priority) -> role, idx: the roles that any endpoint requires, by priority (`other` for roles without one), then by name. A system's roles are few: they are ordered in one task."""
+    roles = endpoints.select(F.explode("required").alias("role")).where("role is not null").distinct().join(priorities.dropDuplicates(["role"]), "role", "left")
+    return roles.select("role", (F.row_number().over(Window.orderBy(F.coalesce("priority", F.lit(other)), "role")) - 1).alias("idx"))
+
+
+# Mechanisms that work by token, and names of filters that look at one.
+TOKENS, FILTERS = ("JWT", "OAUTH2", "API_KEY"), "JWT|Token|Auth"
+
+
+def optional_authentication(endpoints: DataFrame, mechanisms: DataFrame, filters: DataFrame) -> DataFrame:
+    """endpoints(id, service, required, permit_all), mechanisms(service, type), filters(service, name) -> endpoints with optional: public ones of a service that works by token and has a filter for tokens."""
+    by_token = mechanisms.where(F.col("type").isin(*TOKENS)).select("service").distinct()
+    looked_at = filters.where(F.col("name").rlike(FILTERS)).select("service").distinct().join(by_token, "service", "left_semi").withColumn("_token", F.lit(True))
+    public = ~F.coalesce("required", F.lit(False)) | F.coalesce("permit_all", F.lit(False))
+    return endpoints.join(looked_at, "service", "left").withColumn("optional", public & F.coalesce("_token", F.lit(False))).drop("_token")
+
+
+def call_sites(methods: DataFrame, nested: DataFrame, in_class: DataFrame, endpoints_only: bool = False) -> DataFrame:
+    """methods(class, method), nested(class, method, pos, called_from, type), in_class(class, pos, called_from, type) -> class, method, level, pos: the calls made from a method: those listed with it (`method`), or where none of them is its own, its class's (`class`).
+
+    A call is made from a method whose name it gives, alone or after `&`, `#` or `.`: what it gives is looked up by equality, once for each end that begins behind such a sign.
+    """
+    ends = F.filter(F.transform(F.sequence(F.lit(1), F.length("called_from")), lambda i: F.when(F.substring("called_from", i, F.lit(1)).isin("&", "#", "."), F.substring("called_from", i + 1, F.length("called_from")))), lambda s: s.isNotNull())
+    name = F.explode(F.array_distinct(F.concat(F.array("called_from"), ends)))
+    kept = lambda df: df.where("called_from != ''" + (" and type = 'Endpoint'" if endpoints_only else ""))
+    own = kept(nested).select("class", F.col("method").alias("listed"), "pos", name.alias("method")).where("method = listed").drop("listed")
+    own = own.join(methods.select("class", "method").distinct(), ["class", "method"], "left_semi").withColumn("level", F.lit("method"))
+    rest = methods.select("class", "method").distinct().join(own, ["class", "method"], "left_anti")
+    shared = kept(in_class).select("class", "pos", name.alias("method")).join(rest, ["class", "method"]).withColumn("level", F.lit("class"))
+    return own.unionByName(shared).select("class", "method", "level", "pos")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from archspark.operators import containment, graph, routes
+from archspark.operators import containment, graph, policy, routes
 from archspark.plans.bindings import _t, query
 from archspark.sources import graphs
 from archspark.sources.ir import decoded
@@ -143,3 +143,38 @@ def s1_gzip_payloads(spark, sf):
     """Parts written as gzip payloads and read again."""
     rows = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), graphs.gzip_payload(F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price")).alias("payload"))
     return decoded(rows, "payload", "name string, size int, price double")
+
+
+@query("""SELECT role, row_number() OVER (ORDER BY CASE WHEN r % 3 = 0 THEN r ELSE 999 END, role) - 1 AS idx FROM (SELECT DISTINCT 'R' || p_partkey % 200 AS role, p_partkey % 200 AS r FROM part)""")
+def p3_role_order(spark, sf):
+    """Remainders of part numbers are roles, a third of them with a priority."""
+    r = F.col("p_partkey") % 200
+    parts = _t(spark, sf, "part").select(F.concat(F.lit("R"), r).alias("role"), r.alias("priority"))
+    return policy.role_order(parts.select(F.array("role").alias("required")), parts.where("priority % 3 = 0"))
+
+
+@query("""WITH m AS (SELECT DISTINCT s_nationkey AS service FROM supplier WHERE s_nationkey % 5 < 3), f AS (SELECT DISTINCT s_nationkey AS service FROM supplier WHERE s_suppkey % 6 < 2)
+  SELECT c_custkey AS id, (c_custkey % 2 = 0 OR c_custkey % 7 = 0) AND c_nationkey IN (SELECT service FROM m) AND c_nationkey IN (SELECT service FROM f) AS optional FROM customer""")
+def p3_optional_authentication(spark, sf):
+    """Customers are endpoints of nations, whose suppliers name mechanisms and filters."""
+    c, s, n = F.col("c_custkey"), F.col("s_suppkey"), F.col("s_nationkey")
+    endpoints = _t(spark, sf, "customer").select(c.alias("id"), F.col("c_nationkey").alias("service"), (c % 2 == 1).alias("required"), (c % 7 == 0).alias("permit_all"))
+    kinds = F.when(n % 5 == 0, "JWT").when(n % 5 == 1, "OAUTH2").when(n % 5 == 2, "API_KEY").when(n % 5 == 3, "SESSION")
+    names = F.when(s % 6 == 0, "JWTFilter").when(s % 6 == 1, "MyTokenCheck").otherwise("Cors")
+    supplier = _t(spark, sf, "supplier")
+    return policy.optional_authentication(endpoints, supplier.select(n.alias("service"), kinds.alias("type")), supplier.select(n.alias("service"), names.alias("name"))).select("id", "optional")
+
+
+_SITES = """WITH p AS (SELECT p_brand AS class, 'm' || p_size AS method, p_partkey AS pos, CASE p_partkey % 5 WHEN 0 THEN 'x.Y#m' || p_size WHEN 1 THEN 'm' || p_size WHEN 2 THEN 'zm' || p_size WHEN 3 THEN 'a&b.m' || p_size END AS called_from FROM part),
+  own AS (SELECT * FROM p WHERE pos % 3 = 0 AND (called_from = method OR suffix(called_from, '&' || method) OR suffix(called_from, '#' || method) OR suffix(called_from, '.' || method))),
+  rest AS (SELECT DISTINCT class, method FROM p WHERE (class, method) NOT IN (SELECT (class, method) FROM own))
+  SELECT class, method, 'method' AS level, pos FROM own UNION ALL SELECT rest.class, rest.method, 'class', p.pos FROM rest JOIN p ON p.class = rest.class AND p.pos % 3 > 0 AND (called_from = rest.method OR suffix(called_from, '&' || rest.method) OR suffix(called_from, '#' || rest.method) OR suffix(called_from, '.' || rest.method))"""
+
+
+@query(_SITES)
+def n3_call_sites(spark, sf):
+    """Brands are classes, their sizes methods; parts are calls, a third of them listed with a method."""
+    k, size = F.col("p_partkey"), F.concat(F.lit("m"), "p_size")
+    named = F.when(k % 5 == 0, F.concat(F.lit("x.Y#"), size)).when(k % 5 == 1, size).when(k % 5 == 2, F.concat(F.lit("z"), size)).when(k % 5 == 3, F.concat(F.lit("a&b."), size))
+    p = _t(spark, sf, "part").select(F.col("p_brand").alias("class"), size.alias("method"), k.alias("pos"), named.alias("called_from"), F.lit("Endpoint").alias("type"))
+    return policy.call_sites(p, p.where("pos % 3 = 0"), p.where("pos % 3 > 0").drop("method"), endpoints_only=True)
