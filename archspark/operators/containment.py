@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archspark.operators.enrich import first_of
-
 GRAM = 4
 
 
@@ -63,7 +61,8 @@ def role_masks(endpoints: DataFrame, rules: DataFrame, files: DataFrame, initial
     method fits the first endpoint of that very name in any service, and with `**` those of its own service (hasRole: of all);
     a rule for all methods fits endpoints of its service that hold the pattern. The first rule that fits an endpoint sets its
     roles: its own, or for permitAll all that are known by then. At the end of its service's file an endpoint without roles
-    gets all that are known, but for UNAUTHENTICATED where the file asks for authentication. A role gets the next free bit when
+    gets all that are known, but for UNAUTHENTICATED where the file asks for authentication. Of rules with one pattern only the
+    first counts and endpoints of one name share theirs, so that rows are in proportion to endpoints and rules. A role gets the next free bit when
     a hasRole rule names it, or a hasAnyRole rule that sets an endpoint's roles. Endpoints of services without a file keep 0.
     """
     e = endpoints.select("service", F.col("pos").alias("e_pos"), F.concat_ws(" ", "method", "url").alias("name"))
@@ -71,15 +70,19 @@ def role_masks(endpoints: DataFrame, rules: DataFrame, files: DataFrame, initial
     open_ = F.col("pattern").endswith("**")
     plain = F.when(open_, F.regexp_replace(F.regexp_replace("pattern", r"\*", ""), "/+$", "")).otherwise(F.regexp_replace("pattern", r"\*", "{?}"))
     r = r.withColumns({"needle": F.when(F.col("method").isNotNull(), F.concat_ws(" ", "method", plain)).otherwise(plain), "how": F.when(F.col("method").isNotNull() & ~open_, "first").when(F.col("method").isNotNull() & (F.col("kind") == "hasRole"), "all").otherwise("own")})
-    order = F.struct("file", "rule", "nth").alias("order")
-    named = e.select("service", F.struct("e_pos", "name").alias("id"), F.col("name").alias("text"))
-    own = holding(named, r.where("how = 'own'").select("service", "needle"), ["service"]).join(r.where("how = 'own'"), ["service", "needle"]).select("id.e_pos", order, "kind", "roles")
-    every = e.join(r.where("how = 'own' and needle = ''"), "service").select("e_pos", order, "kind", "roles")  # `/**` fits all
-    anyone = holding(named.drop("service"), r.where("how = 'all'").select("needle")).join(r.where("how = 'all'"), "needle").select("id.e_pos", order, "kind", "roles")
-    very = first_of(e, ["name"], "e_pos").join(r.where("how = 'first'").drop("service"), F.col("name") == F.col("needle")).select("e_pos", order, "kind", "roles")
+    sets = F.min(F.struct(F.struct("file", "rule", "nth").alias("order"), "kind", "roles")).alias("x")
+    first_rule = lambda how, *by: r.where(how).groupBy(*by).agg(sets)  # noqa: E731  # of rules that fit the same endpoints
+    names = e.select("service", "name").distinct()
+    named = names.select("service", F.col("name").alias("id"), F.col("name").alias("text"))
+    own = holding(named, r.where("how = 'own'").select("service", "needle"), ["service"]).join(first_rule("how = 'own'", "service", "needle"), ["service", "needle"]).select("service", F.col("id").alias("name"), "x")
+    every = names.join(first_rule("how = 'own' and needle = ''", "service"), "service").select("service", "name", "x")  # `/**` fits all
+    anyone = holding(named.select("id", "text").distinct(), r.where("how = 'all'").select("needle")).join(first_rule("how = 'all'", "needle"), "needle").groupBy(F.col("id").alias("name")).agg(F.min("x").alias("any_x"))
+    very = e.groupBy("name").agg(F.min("e_pos").alias("e_pos")).join(first_rule("how = 'first'", F.col("needle").alias("name")), "name").select("e_pos", F.col("x").alias("very_x"))
     ends = files.groupBy("service").agg(F.min_by(F.struct("file", "authenticated"), "file").alias("f")).select("service", "f.*")
-    rest = e.join(ends, "service").select("e_pos", F.struct("file", F.lit(2**31 - 1).alias("rule"), F.lit(0).alias("nth")).alias("order"), F.when(F.col("authenticated"), "authenticated").otherwise("all").alias("kind"), F.lit(None).cast("array<string>").alias("roles"))
-    first = own.unionByName(every).unionByName(anyone).unionByName(very).unionByName(rest).groupBy("e_pos").agg(F.min_by(F.struct("order", "kind", "roles"), "order").alias("x")).select("e_pos", "x.*")
+    end = F.struct(F.struct("file", F.lit(2**31 - 1).alias("rule"), F.lit(0).alias("nth")).alias("order"), F.when(F.col("authenticated"), "authenticated").otherwise("all").alias("kind"), F.lit(None).cast("array<string>").alias("roles"))
+    rest = names.join(ends, "service").select("service", "name", end.alias("x"))
+    by_name = own.unionByName(every).unionByName(rest).groupBy("service", "name").agg(F.min("x").alias("x"))
+    first = e.join(by_name, ["service", "name"], "left").join(anyone, "name", "left").join(very, "e_pos", "left").select("service", "e_pos", F.least("x", "any_x", "very_x").alias("x")).select("service", "e_pos", "x.*")
     asked = r.where("kind = 'hasRole'").select("file", "rule", "roles").distinct().unionByName(first.where("kind = 'hasAnyRole'").select("order.file", "order.rule", "roles").distinct())
     seen = asked.select("file", "rule", F.posexplode("roles").alias("at", "role")).groupBy("role").agg(F.min(F.struct("file", "rule", "at")).alias("first")).where(~F.col("role").isin(*initial.values()) if initial else F.lit(True))
     new = seen.orderBy("first").limit(ROLES + 1).collect()  # as many as a mask has bits
@@ -91,4 +94,4 @@ def role_masks(endpoints: DataFrame, rules: DataFrame, files: DataFrame, initial
     before = lambda x: (x["file"] < F.col("order.file")) | ((x["file"] == F.col("order.file")) & (x["rule"] < F.col("order.rule")))
     bits = lambda keep: F.aggregate(F.filter(table, keep), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x["bit"]))
     kinds = F.when(F.col("kind").isin("hasRole", "hasAnyRole"), bits(lambda x: F.array_contains("roles", x["role"]))).when(F.col("kind") == "authenticated", bits(lambda x: before(x) & (x["role"] != UNAUTHENTICATED))).otherwise(bits(before))
-    return e.join(first.select("e_pos", kinds.alias("mask")), "e_pos", "left").select("service", F.col("e_pos").alias("pos"), F.coalesce("mask", F.lit(0)).alias("mask"))
+    return first.select("service", F.col("e_pos").alias("pos"), F.when(F.col("order").isNull(), 0).otherwise(kinds).alias("mask"))

@@ -44,3 +44,16 @@ def same(spark_df, duck_rel):
     at = [duck_rel.columns.index(n) for n in names]
     b = sorted([tuple(text(r[i]) for i in at) for r in duck_rel.fetchall()])
     assert a == b
+
+
+def most_rows(df):
+    """The most rows that one operator of the query's plan gives, by the plan's own count."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        counted = plan.metrics().get("numOutputRows")
+        most = max(most, counted.get().value() if counted.isDefined() else 0)
+        kind = plan.getClass().getSimpleName()
+        todo += [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+    return most

@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from conftest import most_rows
+from pyspark.sql import functions as F
 
 from archspark.operators import containment
 
@@ -79,3 +81,12 @@ def test_role_masks_equal_a_loop(spark, seed):
     initial = {1: containment.UNAUTHENTICATED, 2: "user", 8: "admin"}
     got = containment.role_masks(spark.createDataFrame(endpoints, "service string, pos int, method string, url string"), spark.createDataFrame(rules, "service string, file int, pos int, kind string, method string, patterns array<string>, roles array<string>"), spark.createDataFrame(files, "service string, file int, authenticated boolean"), initial)
     assert {tuple(x) for x in got.collect()} == plain_masks(endpoints, rules, files, initial)
+
+
+def test_rules_of_one_pattern_do_not_multiply_endpoints(spark):
+    n, m = 400, 300
+    endpoints = spark.range(n).select(F.lit("s").alias("service"), F.col("id").cast("int").alias("pos"), F.lit("GET").alias("method"), F.concat(F.lit("/a/"), F.col("id") % 5).alias("url"))
+    rules = spark.range(m).select(F.lit("s").alias("service"), F.lit(0).alias("file"), F.col("id").cast("int").alias("pos"), F.lit("hasAnyRole").alias("kind"), F.lit(None).cast("string").alias("method"), F.array(F.lit("/a/**")).alias("patterns"), F.array(F.lit("u")).alias("roles"))
+    got = containment.role_masks(endpoints, rules, spark.createDataFrame([("s", 0, False)], "service string, file int, authenticated boolean"), {1: "user"})
+    assert got.where("mask = 2").count() == n
+    assert most_rows(got) <= 4 * (n + m)  # each endpoint met each rule before
