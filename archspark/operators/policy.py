@@ -88,20 +88,23 @@ def inconsistent_touches(endpoints: DataFrame, touches: DataFrame, links: DataFr
 
     endpoints(name, mask), touches(endpoint, repo, ops), links(caller, callee). A role that may call e1, which does to a
     repository all that e2 does to it, should be allowed to call e2; unless an endpoint that e2 calls denies the role, or e1
-    doesn't do to another repository of both all that e2 does. Only pairs on one repository with ops that hold each other
-    meet, grouped by their masks first.
+    doesn't do to another repository of both all that e2 does. Endpoints of one repository meet once for all roles, held as
+    bits. What excuses a pair is the same for each of its repositories and roles: it is a meeting of the pair on any repository
+    where e1 doesn't do all that e2 does, so that meetings are compared by pair and never with all that both touch.
     """
-    t = touches.groupBy("endpoint", "repo").agg(F.bit_or("ops").alias("ops")).join(endpoints.withColumnRenamed("name", "endpoint"), "endpoint")
-    each = t.select("*", F.explode(F.array(*map(F.lit, roles))).alias("role")).withColumn("may", F.col("mask").bitwiseAND(F.col("role")) > 0)
-    deeper = links.select("caller", "callee").distinct().join(endpoints.select(F.col("name").alias("callee"), F.col("mask").alias("m")), "callee")
-    denied = deeper.select(F.col("caller").alias("e2"), F.explode(F.array(*map(F.lit, roles))).alias("role"), "m").where(F.col("m").bitwiseAND(F.col("role")) == 0).select("e2", "role").distinct()
-    a = each.where("may").select("role", "repo", F.col("endpoint").alias("e1"), F.col("ops").alias("ops1"))
-    b = each.where("not may").select("role", "repo", F.col("endpoint").alias("e2"), F.col("ops").alias("ops2")).join(denied, ["e2", "role"], "left_anti")
-    broken = a.join(b, ["role", "repo"]).where(F.col("ops1").bitwiseAND(F.col("ops2")) == F.col("ops2"))
-    o = t.select("endpoint", "repo", "ops")
-    other = broken.join(o.select(F.col("endpoint").alias("e1"), F.col("repo").alias("r"), F.col("ops").alias("o1")), "e1").join(o.select(F.col("endpoint").alias("e2"), F.col("repo").alias("r"), F.col("ops").alias("o2")), ["e2", "r"])
-    excused = other.where((F.col("r") != F.col("repo")) & (F.col("o1").bitwiseAND(F.col("o2")) != F.col("o2"))).select("role", "repo", "e1", "e2").distinct()
-    return broken.select("role", "repo", "e1", "e2").join(excused, ["role", "repo", "e1", "e2"], "left_anti")
+    bits = lambda keep: sum((F.when(keep(r), 1 << k).otherwise(0) for k, r in enumerate(roles)), F.lit(0))
+    may = bits(lambda r: F.col("mask").bitwiseAND(r) > 0)
+    barred = bits(lambda r: (F.col("mask").bitwiseAND(r) > 0) | F.col("m").bitwiseAND(r).eqNullSafe(0))
+    known = endpoints.where("mask is not null").select(F.col("name").alias("endpoint"), "mask")
+    deeper = links.select("caller", "callee").distinct().join(endpoints.select(F.col("name").alias("callee"), F.col("mask").alias("m")), "callee").select(F.col("caller").alias("endpoint"), "m")
+    known = known.join(deeper, "endpoint", "left").groupBy("endpoint", "mask").agg(F.bit_or(may).alias("may"), F.bit_or(barred).alias("barred"))
+    t = touches.groupBy("endpoint", "repo").agg(F.bit_or("ops").alias("ops")).join(known, "endpoint")
+    a = t.where("may != 0").select("repo", F.col("endpoint").alias("e1"), F.col("ops").alias("ops1"), "may")
+    b = t.select("repo", F.col("endpoint").alias("e2"), F.col("ops").alias("ops2"), F.lit((1 << len(roles)) - 1).bitwiseAND(F.bitwise_not("barred")).alias("open")).where("open != 0")
+    met = a.join(b, "repo").select("e1", "e2", "repo", F.col("may").bitwiseAND(F.col("open")).alias("bits"), (F.col("ops1").bitwiseAND(F.col("ops2")) == F.col("ops2")).alias("all")).where("bits != 0")
+    broken = met.where("all").select("e1", "e2", "repo", "bits").join(met.where("not all").select("e1", "e2"), ["e1", "e2"], "left_anti")
+    of = F.array_compact(F.array(*(F.when(F.col("bits").bitwiseAND(1 << k) > 0, F.lit(r)) for k, r in enumerate(roles))))
+    return broken.select(F.explode(of).alias("role"), "repo", "e1", "e2")
 
 
 def role_order(endpoints: DataFrame, priorities: DataFrame, other: int = 999) -> DataFrame:
