@@ -158,11 +158,61 @@ def longest_chain(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def call_chain(calls: DataFrame, roots: DataFrame) -> DataFrame:
     """calls(src, pos, dst), roots(id) -> (root, node, position, depth, cycles): depth-first order from each root, calls of a node by pos, each node visited once.
 
+    cycles says whether any call leads to a node visited before (also where two ways meet). Where most of what the roots reach
+    are roots themselves, a node's order is put together from those of the nodes it calls (`_put_together`). What is left, roots
+    that reach a cycle or a few roots of a large graph, is searched by path (`_searched`).
+    """
+    calls = checkpointed(calls.select("src", F.col("pos").cast("int").alias("pos"), "dst").where("dst is not null").distinct())
+    roots = checkpointed(roots.select("id").where("id is not null").distinct())
+    reached = frontier = roots
+    while not frontier.isEmpty():
+        frontier = checkpointed(frontier.join(calls, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(reached, "id", "left_anti"))
+        reached = reached.union(frontier)
+    reached = checkpointed(reached)
+    n_roots, n_reached = roots.count(), reached.count()
+    if n_reached > 2 * n_roots:
+        return _searched(calls, roots)
+    done, left = _put_together(checkpointed(calls.join(reached.select(F.col("id").alias("src")), "src", "left_semi")), reached)
+    if n_reached > n_roots:
+        done = done.join(roots.select(F.col("id").alias("root")), "root", "left_semi")
+    left = checkpointed(roots.join(left, "id", "left_semi"))
+    return done if left.isEmpty() else done.unionByName(_searched(calls, left))
+
+
+def _put_together(calls: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of `call_chain` for every node that reaches no cycle, and the nodes that do.
+
+    From the nodes without calls upwards: a node's order is itself, then the orders of the nodes it calls, one behind the other,
+    each node where it comes first. For what the first of them reaches is closed: no way to other nodes leads through it. Each
+    row is made once for each call that leads to it, and not again for each way.
+    """
+    by = Window.partitionBy("root")
+    waiting = checkpointed(calls.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("calls")))
+    ready, levels = checkpointed(nodes.join(waiting, "id", "left_anti")), []
+    while not ready.isEmpty():
+        rows = ready.select(F.col("id").alias("root"), F.col("id").alias("node"), F.struct(F.lit(0).alias("behind"), F.lit(0).alias("pos"), F.col("id").alias("dst"), F.lit(0).cast("long").alias("position"), F.lit(0).alias("depth")).alias("key"), F.lit(False).alias("cycles"))
+        if levels:
+            below = reduce(DataFrame.union, levels).withColumnRenamed("root", "dst")
+            made = calls.join(ready.select(F.col("id").alias("src")), "src", "left_semi").join(below, "dst")
+            rows = rows.union(made.select("src", "node", F.struct(F.lit(1).alias("behind"), "pos", "dst", "position", (F.col("depth") + 1).alias("depth")), "cycles"))
+        met = rows.repartition("root").groupBy("root", "node").agg(F.min("key").alias("key"), (F.bool_or("cycles") | (F.count("*") > 1)).alias("cycles"))
+        place = (F.row_number().over(by.orderBy("key")) - 1).cast("long")
+        levels.append(checkpointed(met.select("root", "node", place.alias("position"), F.col("key.depth").alias("depth"), F.max("cycles").over(by).alias("cycles"))))
+        told = calls.join(ready.select(F.col("id").alias("dst")), "dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+        heard = checkpointed(waiting.join(told, "id", "left").select("id", (F.col("calls") - F.coalesce("n", F.lit(0))).alias("calls")))
+        ready, waiting = heard.where("calls = 0").select("id"), heard.where("calls > 0")
+    if not levels:
+        return nodes.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).cast("long").alias("position"), F.lit(0).alias("depth"), F.lit(False).alias("cycles")).where("false"), waiting.select("id")
+    return reduce(DataFrame.union, levels), waiting.select("id")
+
+
+def _searched(calls: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of `call_chain` by path.
+
     The path by which a depth-first search finds a node is the least, by positions, of all paths to it without a repeated node,
     so every node keeps its least path so far, and improved paths are passed on until none improves. Sorting by path gives the
-    order. cycles says whether any call leads to a node visited before (also where two ways meet).
+    order.
     """
-    calls = checkpointed(calls.select("src", F.col("pos").cast("int").alias("pos"), "dst").where("dst is not null").distinct())
     best = checkpointed(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.array().cast("array<int>").alias("path"), F.array("id").alias("nodes")).distinct())
     moved = best
     while not moved.isEmpty():
