@@ -20,6 +20,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that a round of a search may send to all tasks, by way of the driver.
+FEW = 20_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A checkpointed side of a join: sent to all tasks where it has few rows, else both sides are shuffled, so that what passes through the driver doesn't grow with the graph."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df.hint("merge")
+
+
 def degrees(nodes: DataFrame, edges: DataFrame, bottleneck: int = 2, megaservice: int = 2) -> DataFrame:
     """In- and out-degree of every node (0 without links), and whether they exceed the thresholds."""
     ends = edges.select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(edges.select("src", F.lit(0), F.lit(1)))
@@ -60,27 +69,27 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         colour = _coloured(left)
         c = lambda end: colour.select(F.col("id").alias(end), F.col("colour").alias(f"c_{end}"))
-        within = checkpointed(left.join(c("src"), "src").join(c("dst"), "dst").where("c_src = c_dst").select("src", "dst"))
+        within = checkpointed(left.join(c("src").hint("merge"), "src").join(c("dst").hint("merge"), "dst").where("c_src = c_dst").select("src", "dst"))
         members = frontier = checkpointed(colour.where("id = colour"))
         while not frontier.isEmpty():
-            step = within.join(frontier.select(F.col("id").alias("dst"), "colour"), "dst").select(F.col("src").alias("id"), "colour").distinct()
-            frontier = checkpointed(step.join(members, "id", "left_anti"))
+            step = within.join(sent(frontier).select(F.col("id").alias("dst"), "colour"), "dst").select(F.col("src").alias("id"), "colour").distinct()
+            frontier = checkpointed(step.join(members.hint("merge"), "id", "left_anti"))
             members = members.union(frontier)
         members = checkpointed(members)
         cycles.append(members)
-        left = checkpointed(left.join(members.select(F.col("id").alias("src")), "src", "left_anti").join(members.select(F.col("id").alias("dst")), "dst", "left_anti"))
+        left = checkpointed(left.join(members.select(F.col("id").alias("src")).hint("merge"), "src", "left_anti").join(members.select(F.col("id").alias("dst")).hint("merge"), "dst", "left_anti"))
     named = nodes.select("id", F.col("id").alias("scc"))
     if cycles:
         of = reduce(DataFrame.union, cycles)
-        named = nodes.select("id").join(of, "id", "left").select("id", F.coalesce("colour", "id").alias("scc"))
+        named = nodes.select("id").join(of.hint("merge"), "id", "left").select("id", F.coalesce("colour", "id").alias("scc"))
     sizes = named.groupBy("scc").agg(F.count("*").alias("size"))
-    return named.join(sizes, "scc").select("id", "scc", "size", (F.col("size") > 1).alias("cyclic"))
+    return named.join(sizes.hint("merge"), "scc").select("id", "scc", "size", (F.col("size") > 1).alias("cyclic"))
 
 
 def condensation(members: DataFrame, edges: DataFrame) -> DataFrame:
     """members(id, scc) of `components` -> (src, dst): the distinct links between different components; no path of them comes back."""
     m = members.select("id", "scc")
-    ends = edges.join(m.select(F.col("id").alias("src"), F.col("scc").alias("a")), "src").join(m.select(F.col("id").alias("dst"), F.col("scc").alias("b")), "dst")
+    ends = edges.join(m.select(F.col("id").alias("src"), F.col("scc").alias("a")).hint("merge"), "src").join(m.select(F.col("id").alias("dst"), F.col("scc").alias("b")).hint("merge"), "dst")
     return ends.where("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
@@ -93,24 +102,24 @@ def accumulated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edges = checkpointed(edges.select("src", "dst").distinct())
     members = checkpointed(components(nodes.select("id"), edges).select("id", "scc"))
     open_ = checkpointed(condensation(members, edges))
-    own = checkpointed(nodes.join(members, "id").groupBy("scc").agg(F.bit_or("bits").alias("bits")))
-    level = own.join(open_.select(F.col("src").alias("scc")).distinct(), "scc", "left_anti")
+    own = checkpointed(nodes.join(members.hint("merge"), "id").groupBy("scc").agg(F.bit_or("bits").alias("bits")))
+    level = own.join(open_.select(F.col("src").alias("scc")).distinct().hint("merge"), "scc", "left_anti")
     done = [level := checkpointed(level)]
-    waiting = checkpointed(own.join(level.select("scc"), "scc", "left_anti").join(open_.groupBy(F.col("src").alias("scc")).agg(F.count("*").alias("calls")), "scc"))
+    waiting = checkpointed(own.join(open_.groupBy(F.col("src").alias("scc")).agg(F.count("*").alias("calls")).hint("merge"), "scc"))
     while not waiting.isEmpty():
-        told = open_.join(level.select(F.col("scc").alias("dst"), F.col("bits").alias("theirs")), "dst").groupBy(F.col("src").alias("scc")).agg(F.bit_or("theirs").alias("theirs"), F.count("*").alias("n"))
-        heard = waiting.join(told, "scc", "left").select("scc", F.col("bits").bitwiseOR(F.coalesce("theirs", F.lit(0))).alias("bits"), (F.col("calls") - F.coalesce("n", F.lit(0))).alias("calls"))
+        told = open_.join(sent(level).select(F.col("scc").alias("dst"), F.col("bits").alias("theirs")), "dst").groupBy(F.col("src").alias("scc")).agg(F.bit_or("theirs").alias("theirs"), F.count("*").alias("n"))
+        heard = waiting.join(told.hint("merge"), "scc", "left").select("scc", F.col("bits").bitwiseOR(F.coalesce("theirs", F.lit(0))).alias("bits"), (F.col("calls") - F.coalesce("n", F.lit(0))).alias("calls"))
         heard = checkpointed(heard)
         done.append(level := heard.where("calls = 0").select("scc", "bits"))
         waiting = heard.where("calls > 0")
-    return members.join(reduce(DataFrame.union, done), "scc").select("id", "bits")
+    return members.join(reduce(DataFrame.union, done).hint("merge"), "scc").select("id", "bits")
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges whose start has a way in and whose end a way out, again and again."""
     n = edges.count()
     while True:
-        edges = checkpointed(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        edges = checkpointed(edges.join(edges.select(F.col("dst").alias("src")).distinct().hint("merge"), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct().hint("merge"), "dst", "left_semi"))
         before, n = n, edges.count()
         if n == before:
             return edges
@@ -121,8 +130,8 @@ def _coloured(edges: DataFrame) -> DataFrame:
     now = checkpointed(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.col("id").alias("colour")))
     moved = now
     while not moved.isEmpty():
-        passed = edges.join(moved.select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("offered"))
-        both = checkpointed(now.join(passed, "id", "left").select("id", F.least("colour", F.coalesce("offered", "colour")).alias("colour"), (F.col("offered") < F.col("colour")).alias("changed")))
+        passed = edges.join(sent(moved).select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("offered"))
+        both = checkpointed(now.join(passed.hint("merge"), "id", "left").select("id", F.least("colour", F.coalesce("offered", "colour")).alias("colour"), (F.col("offered") < F.col("colour")).alias("changed")))
         now, moved = both.select("id", "colour"), both.where("changed").select("id", "colour")
     return now
 
