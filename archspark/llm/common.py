@@ -105,6 +105,7 @@ def kept_in_worker(owner: str, make: Callable[[], object]) -> object:
 def nothing_kept() -> None:
     """Let go of what tasks of another operator kept in this Python worker, and give the memory back, where the C library can: workers stay for the operators that follow."""
     _KEPT.clear()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

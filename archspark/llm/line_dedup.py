@@ -275,5 +275,6 @@ def without_lines(documents: DataFrame, removed: DataFrame) -> DataFrame:
     def remaining(text: pa.Array, gone: pa.Array) -> pa.Array:
         return pa.array([cut(t, g) if g and t else t for t, g in zip(text.to_pylist(), gone.to_pylist())], pa.string())
 
-    kept = joined.withColumn(left, remaining("text", gone)).where(F.col(gone).isNull() | (F.trim(left) != "")).withColumn("text", F.col(left))
+    # not deterministic to the optimizer, or the filter would ask a second Python worker of each task for the same texts
+    kept = joined.withColumn(left, remaining.asNondeterministic()("text", gone)).where(F.col(gone).isNull() | (F.trim(left) != "")).withColumn("text", F.col(left))
     return (kept.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(documents.schema["n_chars"].dataType)) if "n_chars" in columns else kept).select(*columns)

@@ -616,3 +616,9 @@ def test_pipeline(spark, duck):
         before = after
     pieces = p.STAGES[-1][1](spark, before, SF).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in before.collect()} and all(r.n == r.all for r in pieces)
+
+
+def test_texts_are_cut_by_one_python_worker_a_task(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a b\nc")], "doc_id long, text string")
+    plan = line_dedup.without_lines(df, spark.createDataFrame([(2, 0, 3)], "doc_id long, start long, length long"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
