@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,10 @@ LENGTH, END = 2048, 1
 DIMS, BITS = 4, 8
 #: Runs whose ids a worker keeps; about 200 bytes each.
 CACHED_RUNS = 800_000
+#: Texts whose runs are told apart together.
+TOGETHER = 1500
+#: ASCII marks but for the apostrophe, which may begin a word.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -42,7 +47,7 @@ class Encoder:
     """Token ids of texts. No token of this tokenizer spans white space, so ids are cached by run of other bytes, and texts joined from them.
 
     Runs of letters are one word each to the tokenizer, so many are encoded as one text and told apart by the tokens that end
-    a word; a full stop or comma after letters is a word of its own.
+    a word; MARKS after letters are a word of their own.
     """
 
     JOINED = 200
@@ -52,43 +57,64 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
+        self.marks: dict[str, bytes] = {}
 
-    def encode(self, batch: list[bytes]) -> list[np.ndarray]:
+    def encode(self, batch: list[bytes] | pa.Array) -> list[np.ndarray]:
         if len(self.cache) >= CACHED_RUNS:
             self.cache.clear()
+        self.cache[b""] = b""
+        texts = pa.array(batch, pa.large_binary()).cast(pa.large_string())
         # special tokens are looked up before lower-casing
-        runs = [t.split() if b"<|" in t else t.lower().split() for t in batch]
-        self._add(set().union(*runs) - self.cache.keys())
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4") for words in runs]
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        # splits at the bytes that bytes.split() splits at; leaves an empty run where a text begins or ends with one
+        runs = pc.ascii_split_whitespace(texts)
+        coded = runs.values.dictionary_encode()  # each distinct run is looked up once
+        distinct = coded.dictionary
+        word = pc.ascii_rtrim(distinct, characters=MARKS)
+        apart = pc.and_(pc.utf8_is_alpha(word), pc.equal(word, pc.utf8_lower(word)))
+        word = pc.if_else(apart, word, distinct)
+        words = word.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        of = list(map(self.cache.get, words))
+        new = [k for k, ids in enumerate(of) if ids is None]
+        self._add({words[k] for k in new})
+        for k in new:
+            of[k] = self.cache[words[k]]
+        marked = np.flatnonzero(pc.not_equal(pc.binary_length(word), pc.binary_length(distinct)).to_numpy(zero_copy_only=False))
+        for k, run in zip(marked.tolist(), distinct.take(pa.array(marked)).to_numpy(zero_copy_only=False).tolist()):
+            of[k] += self._mark(run[len(words[k].decode()) :])
+        lengths = np.fromiter(map(len, of), np.int64, len(of)) // 4
+        flat, first = np.frombuffer(b"".join(of), "<u4"), lengths.cumsum() - lengths
+        places = coded.indices.to_numpy()
+        n = lengths[places]
+        stops = n.cumsum()
+        ids = flat[np.repeat(first[places] - stops + n, n) + np.arange(n.sum())]
+        return np.split(ids, np.r_[0, stops][runs.offsets.to_numpy()[1:-1]]) if len(runs) else []
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            if len(self.marks) >= 10_000:
+                self.marks.clear()
+            self.marks[mark] = array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
+        return self.marks[mark]
 
     def _add(self, new: set[bytes]) -> None:
-        cache, marked, letters, other = self.cache, [], set(), set()
+        cache, letters, other = self.cache, [], []
         for run in new:
-            word = run.decode()
-            if word[-1] in ".," and word[:-1].isalpha() and word == word.lower():
-                marked.append((run, run[:-1], word[-1]))
-                run, word = run[:-1], word[:-1]
-                if run in cache:
-                    continue
-            (letters if word.isalpha() and word == word.lower() else other).add(word)
-        words = list(letters)
-        parts = [words[i : i + self.JOINED] for i in range(0, len(words), self.JOINED)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            word = None if run.isalpha() and run.islower() else run.decode()  # None: of ASCII letters alone
+            (letters if word is None or (word.isalpha() and word == word.lower()) else other).append(run)
+        parts = [letters[i : i + self.JOINED] for i in range(0, len(letters), self.JOINED)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
             stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(stops) != len(part):
-                other.update(part)
+                other += part
                 continue
             raw, at = ids.tobytes(), 0
             for word, stop in zip(part, stops):
-                cache[word.encode()] = raw[at:stop]
+                cache[word] = raw[at:stop]
                 at = stop
-        single = list(other)
-        for word, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False)):
-            cache[word.encode()] = array("I", e.ids).tobytes()
-        for run, word, mark in marked:
-            cache[run] = cache[word] + self.marks[mark]
+        for word, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)):
+            cache[word] = array("I", e.ids).tobytes()
 
 
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -130,8 +156,8 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encoder = kept_in_worker(f"encoder {path}", lambda: Encoder(path))  # tasks that follow each other share its cache
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for at in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(at, TOGETHER)
             ids = encoder.encode(texts(part.column(1)))
             keys = hilbert_keys(np.array([cell(i) for i in ids]))
             raw = [i.astype("<u2" if not len(i) or i.max() < 1 << 16 else "<u4") for i in ids]

@@ -618,6 +618,19 @@ def test_pipeline(spark, duck):
     assert {r.doc_id for r in pieces} == {r.doc_id for r in before.collect()} and all(r.n == r.all for r in pieces)
 
 
+def test_marks_after_a_word_cost_no_entry_of_their_own():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    encoder, tok = packing.Encoder(path), Tokenizer.from_file(path)
+    texts = ["ab ab, ab. ab!! ab$$$ ab.%%%", " ab's ab'. ÄB. äb. İ. i̇. é, ab<| ab<|endoftext|>. ª. 1. a1. ﬁ, ", "", "\t"]
+    assert [a.tolist() for a in encoder.encode([t.encode() for t in texts])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = packing.Encoder(path)
+    encoder.encode([texts[0].encode()])
+    assert encoder.cache.keys() - {b""} == {b"ab"}
+
+
 def test_texts_are_cut_by_one_python_worker_a_task(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a b\nc")], "doc_id long, text string")
     plan = line_dedup.without_lines(df, spark.createDataFrame([(2, 0, 3)], "doc_id long, start long, length long"))._jdf.queryExecution().executedPlan().toString()
