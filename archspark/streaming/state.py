@@ -62,7 +62,7 @@ def latest(written: DataFrame, key: str) -> DataFrame:
 class _Visits(StatefulProcessor):
     """Per visitor: first and last time, number of visits, and for each answer its latest value with time and order."""
 
-    def __init__(self, answers: list[str], state: StructType, idle_ms: int | None):
+    def __init__(self, answers: list[str], state: StructType, idle_ms: int):
         self.answers, self.state, self.idle_ms = answers, state, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -85,10 +85,9 @@ class _Visits(StatefulProcessor):
                         value = last[name]
                         held[at : at + 3] = value.item() if hasattr(value, "item") else value, int(last["us"]), int(last["seq"])
         self.seen.update(tuple(held))
-        if self.idle_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(held[1] // 1000 + self.idle_ms)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(held[1] // 1000 + self.idle_ms)
         yield self._row(key, held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -116,8 +115,12 @@ def visits(events: DataFrame, delay: str = "10 minutes", idle_s: int | None = No
     state = StructType([*StructType.fromDDL("first long, last long, n long"), *(x for i, n in enumerate(answers) for x in (StructField(f"value{i}", fields[n]), *StructType.fromDDL(f"us{i} long, seq{i} long")))])
     shown = StructType([StructField("visitor", fields["visitor"]), *StructType.fromDDL("first_us long, last_us long, n_visits long"), *(StructField(n, fields[n]) for n in answers)])
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    timed = (timed.withWatermark("ts", delay) if idle_s is not None else timed).withColumn("us", _micros("ts"))
-    return timed.groupBy("visitor").transformWithStateInPandas(_Visits(answers, state, None if idle_s is None else idle_s * 1000), shown, "Update", "EventTime" if idle_s is not None else "None")
+    if idle_s is None:  # nothing is forgotten, so a profile is an aggregate; Spark adds up a batch's rows before they meet the state
+        timed = timed.withColumn("us", _micros("ts"))
+        of = lambda n: F.max_by(n, F.when(~F.coalesce("skipped", F.lit(True)) & F.col(n).isNotNull(), F.struct("us", "seq"))).alias(n)
+        return timed.groupBy("visitor").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("n_visits"), *map(of, answers))
+    timed = timed.withWatermark("ts", delay).withColumn("us", _micros("ts"))
+    return timed.groupBy("visitor").transformWithStateInPandas(_Visits(answers, state, idle_s * 1000), shown, "Update", "EventTime")
 
 
 class _Sessions(StatefulProcessor):

@@ -67,3 +67,10 @@ def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
         f.unlink()
     again = state.run(state.rate_limited(source(spark, schema, f"{tmp_path}/in")), f"{tmp_path}/q").collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, first))
+
+
+def test_profiles_without_a_timer_need_no_call_to_the_state_server(spark, tmp_path):
+    feed(spark, [(1, at(0), 0, False, "a")], "visitor long, ts timestamp, seq long, skipped boolean, name string", f"{tmp_path}/v")
+    rows = source(spark, "visitor long, ts timestamp, seq long, skipped boolean, name string", f"{tmp_path}/v")
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" in plan(state.visits(rows, idle_s=60)) and "TransformWithState" not in plan(state.visits(rows))
