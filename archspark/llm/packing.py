@@ -27,9 +27,9 @@ from archspark.llm.common import kept_in_worker, mixed, partitions, row_batches,
 LENGTH, END = 2048, 1
 DIMS, BITS = 4, 8
 #: Runs whose ids a worker keeps; about 200 bytes each.
-CACHED_RUNS = 800_000
+CACHED_RUNS = 400_000
 #: Texts whose runs are told apart together.
-TOGETHER = 1500
+TOGETHER = 750
 #: ASCII marks but for the apostrophe, which may begin a word.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 TOKENIZER = "word_bpe_49k.json"
