@@ -169,22 +169,24 @@ def call_chain(calls: DataFrame, roots: DataFrame) -> DataFrame:
 
     cycles says whether any call leads to a node visited before (also where two ways meet). Where most of what the roots reach
     are roots themselves, a node's order is put together from those of the nodes it calls (`_put_together`). What is left, roots
-    that reach a cycle or a few roots of a large graph, is searched by path (`_searched`).
+    that reach a cycle or a few roots of a large graph, is searched by path (`_searched`). No side of a join that grows with the
+    graph is sent to all tasks, whatever Spark takes its size to be.
     """
     calls = checkpointed(calls.select("src", F.col("pos").cast("int").alias("pos"), "dst").where("dst is not null").distinct())
     roots = checkpointed(roots.select("id").where("id is not null").distinct())
     reached = frontier = roots
     while not frontier.isEmpty():
-        frontier = checkpointed(frontier.join(calls, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(reached, "id", "left_anti"))
+        called = calls.join(sent(frontier.select(F.col("id").alias("src"))), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        frontier = checkpointed(called.join(reached.hint("merge"), "id", "left_anti"))
         reached = reached.union(frontier)
     reached = checkpointed(reached)
     n_roots, n_reached = roots.count(), reached.count()
     if n_reached > 2 * n_roots:
         return _searched(calls, roots)
-    done, left = _put_together(checkpointed(calls.join(reached.select(F.col("id").alias("src")), "src", "left_semi")), reached)
+    done, left = _put_together(checkpointed(calls.join(reached.select(F.col("id").alias("src")).hint("merge"), "src", "left_semi")), reached)
     if n_reached > n_roots:
-        done = done.join(roots.select(F.col("id").alias("root")), "root", "left_semi")
-    left = checkpointed(roots.join(left, "id", "left_semi"))
+        done = done.join(roots.select(F.col("id").alias("root")).hint("merge"), "root", "left_semi")
+    left = checkpointed(roots.join(left.hint("merge"), "id", "left_semi"))
     return done if left.isEmpty() else done.unionByName(_searched(calls, left))
 
 
@@ -197,18 +199,19 @@ def _put_together(calls: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFr
     """
     by = Window.partitionBy("root")
     waiting = checkpointed(calls.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("calls")))
-    ready, levels = checkpointed(nodes.join(waiting, "id", "left_anti")), []
+    ready, levels = checkpointed(nodes.join(waiting.hint("merge"), "id", "left_anti")), []
     while not ready.isEmpty():
+        now = sent(ready)
         rows = ready.select(F.col("id").alias("root"), F.col("id").alias("node"), F.struct(F.lit(0).alias("behind"), F.lit(0).alias("pos"), F.col("id").alias("dst"), F.lit(0).cast("long").alias("position"), F.lit(0).alias("depth")).alias("key"), F.lit(False).alias("cycles"))
         if levels:
             below = reduce(DataFrame.union, levels).withColumnRenamed("root", "dst")
-            made = calls.join(ready.select(F.col("id").alias("src")), "src", "left_semi").join(below, "dst")
+            made = calls.join(now.select(F.col("id").alias("src")), "src", "left_semi").join(below.hint("merge"), "dst")
             rows = rows.union(made.select("src", "node", F.struct(F.lit(1).alias("behind"), "pos", "dst", "position", (F.col("depth") + 1).alias("depth")), "cycles"))
         met = rows.repartition("root").groupBy("root", "node").agg(F.min("key").alias("key"), (F.bool_or("cycles") | (F.count("*") > 1)).alias("cycles"))
         place = (F.row_number().over(by.orderBy("key")) - 1).cast("long")
         levels.append(checkpointed(met.select("root", "node", place.alias("position"), F.col("key.depth").alias("depth"), F.max("cycles").over(by).alias("cycles"))))
-        told = calls.join(ready.select(F.col("id").alias("dst")), "dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
-        heard = checkpointed(waiting.join(told, "id", "left").select("id", (F.col("calls") - F.coalesce("n", F.lit(0))).alias("calls")))
+        told = calls.join(now.select(F.col("id").alias("dst")), "dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+        heard = checkpointed(waiting.join(told.hint("merge"), "id", "left").select("id", (F.col("calls") - F.coalesce("n", F.lit(0))).alias("calls")))
         ready, waiting = heard.where("calls = 0").select("id"), heard.where("calls > 0")
     if not levels:
         return nodes.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).cast("long").alias("position"), F.lit(0).alias("depth"), F.lit(False).alias("cycles")).where("false"), waiting.select("id")
@@ -225,15 +228,15 @@ def _searched(calls: DataFrame, roots: DataFrame) -> DataFrame:
     best = checkpointed(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.array().cast("array<int>").alias("path"), F.array("id").alias("nodes")).distinct())
     moved = best
     while not moved.isEmpty():
-        step = moved.join(calls, moved["node"] == calls["src"]).where("not array_contains(nodes, dst)").select("root", F.col("dst").alias("node"), F.array_append("path", F.col("pos")).alias("path"), F.array_append("nodes", F.col("dst")).alias("nodes"))
+        step = moved.join(calls.hint("merge"), moved["node"] == calls["src"]).where("not array_contains(nodes, dst)").select("root", F.col("dst").alias("node"), F.array_append("path", F.col("pos")).alias("path"), F.array_append("nodes", F.col("dst")).alias("nodes"))
         offered = step.groupBy("root", "node").agg(F.min(F.struct("path", "nodes")).alias("new"))
-        moved = checkpointed(offered.join(best, ["root", "node"], "left").where("path is null or new.path < path").select("root", "node", "new.path", "new.nodes"))
-        best = checkpointed(best.join(moved, ["root", "node"], "left_anti").unionByName(moved))
-    made = best.join(calls, best["node"] == calls["src"]).groupBy("root").agg(F.count("*").alias("n_calls"))
+        moved = checkpointed(offered.join(best.hint("merge"), ["root", "node"], "left").where("path is null or new.path < path").select("root", "node", "new.path", "new.nodes"))
+        best = checkpointed(best.join(moved.hint("merge"), ["root", "node"], "left_anti").unionByName(moved))
+    made = best.join(calls.hint("merge"), best["node"] == calls["src"]).groupBy("root").agg(F.count("*").alias("n_calls"))
     reached = best.groupBy("root").agg(F.count("*").alias("n"))
-    cycles = reached.join(made, "root", "left").select("root", (F.coalesce("n_calls", F.lit(0)) > F.col("n") - 1).alias("cycles"))
+    cycles = reached.join(made.hint("merge"), "root", "left").select("root", (F.coalesce("n_calls", F.lit(0)) > F.col("n") - 1).alias("cycles"))
     place = (F.row_number().over(Window.partitionBy("root").orderBy("path")) - 1).cast("long")
-    return best.select("root", "node", place.alias("position"), F.size("path").alias("depth")).join(cycles, "root")
+    return best.select("root", "node", place.alias("position"), F.size("path").alias("depth")).join(cycles.hint("merge"), "root")
 
 
 def local_descent(local: DataFrame, remote: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
