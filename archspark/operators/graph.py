@@ -263,7 +263,7 @@ def local_descent(local: DataFrame, remote: DataFrame, roots: DataFrame) -> tupl
 
 def chain_statistics(chain: DataFrame, required: DataFrame) -> DataFrame:
     """chain of `call_chain`, required(node, roles: array; no row where unresolved) -> by root: calls in all, resolved and not, greatest depth, public (no roles) and restricted ones, cycles."""
-    rows = chain.join(required, "node", "left")
+    rows = chain.join(required.hint("merge"), "node", "left")
     n = lambda c: F.count_if(c)
     return rows.groupBy("root").agg(F.count("*").alias("total"), n(F.col("roles").isNotNull()).alias("resolved"), n(F.col("roles").isNull()).alias("unresolved"), F.max("depth").alias("max_depth"), n(F.size("roles") == 0).alias("public"), n(F.size("roles") > 0).alias("restricted"), F.bool_or("cycles").alias("cycles"))
 

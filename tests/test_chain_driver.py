@@ -38,3 +38,10 @@ def test_chains(spark, plans, roots):
     got = chain(spark, roots)
     assert {tuple(x) for x in got.select("root", "node", "position", "depth", "cycles").collect()} == plain(CALLS, roots)
     assert not sent_whole(plans, got)
+
+
+def test_statistics(spark, plans):
+    required = spark.sql("select * from values (0, array('USER')), (1, cast(array() as array<string>)), (11, array('ADMIN')) as t(node, roles)")
+    got = graph.chain_statistics(chain(spark, (0, 3, 10)), required)
+    assert {tuple(x) for x in got.collect()} == {(0, 1, 1, 0, 0, 0, 1, False), (3, 4, 2, 2, 2, 1, 1, True), (10, 6, 3, 3, 4, 1, 2, True)}
+    assert not sent_whole(plans, got)
