@@ -1,9 +1,11 @@
 """What passes through the driver in call chains and their statistics: no side of a join that grows with the graph."""
 
 import pytest
+from conftest import SF
 from test_call_chain import plain
 
 from archspark.operators import graph
+from archspark.plans import catalogue as bindings
 
 CALLS = [(3, 0, 2), (3, 1, 1), (2, 0, 1), (2, 1, 0), (10, 0, 11), (11, 0, 10), (11, 1, 3)]
 
@@ -45,3 +47,9 @@ def test_statistics(spark, plans):
     got = graph.chain_statistics(chain(spark, (0, 3, 10)), required)
     assert {tuple(x) for x in got.collect()} == {(0, 1, 1, 0, 0, 0, 1, False), (3, 4, 2, 2, 2, 1, 1, True), (10, 6, 3, 3, 4, 1, 2, True)}
     assert not sent_whole(plans, got)
+
+
+def test_corpus_statistics_of_a_table(spark, plans):
+    got = bindings.QUERIES["g2_corpus_statistics"](spark, SF)
+    assert got.count() == 1
+    assert not sent_whole(plans, got)
